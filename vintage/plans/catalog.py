@@ -170,3 +170,72 @@ def q_traditional_ltv(spark, sf):
 def q_cohort_cells(spark, sf):
     """K13 — flagship."""
     return C.cohort_cells(txn(spark, sf), P)
+
+
+# ---------------------------------------------------------------- profile
+from vintage.operators import profile as PR  # noqa: E402
+
+
+def _info_sql(final):
+    return lambda: with_ctes(O.profile_info_ctes(), final)
+
+
+@register("head5", lambda: O.head_sql(5))
+def q_head5(spark, sf):
+    """P1."""
+    return PR.head(txn(spark, sf), 5)
+
+
+@register("columns", _info_sql('SELECT position, "column" FROM info'))
+def q_columns(spark, sf):
+    """P2."""
+    return PR.columns(txn(spark, sf))
+
+
+@register("describe", O.describe_sql)
+def q_describe(spark, sf):
+    """P3."""
+    return PR.describe(txn(spark, sf))
+
+
+@register("dtypes", _info_sql('SELECT "column", type FROM info'))
+def q_dtypes(spark, sf):
+    """P4."""
+    return PR.dtypes(txn(spark, sf))
+
+
+@register("columns_by_type", _info_sql(
+    "SELECT type, string_agg(\"column\", ', ' ORDER BY \"column\") AS columns FROM info GROUP BY type"))
+def q_columns_by_type(spark, sf):
+    """P5."""
+    return PR.columns_by_type(txn(spark, sf))
+
+
+@register("non_null_info", _info_sql('SELECT position, "column", non_null, type FROM info'))
+def q_non_null_info(spark, sf):
+    """P6."""
+    return PR.non_null_info(txn(spark, sf))
+
+
+@register("any_null", _info_sql('SELECT "column", (_rows - non_null) > 0 AS has_null FROM info'))
+def q_any_null(spark, sf):
+    """P7."""
+    return PR.any_null(txn(spark, sf))
+
+
+@register("null_counts", _info_sql('SELECT "column", _rows - non_null AS n_null FROM info'))
+def q_null_counts(spark, sf):
+    """P8."""
+    return PR.null_counts(txn(spark, sf))
+
+
+@register("n_unique", O.n_unique_sql)
+def q_n_unique(spark, sf):
+    """P9."""
+    return PR.n_unique(txn(spark, sf))
+
+
+@register("unique_values", O.unique_values_sql)
+def q_unique_values(spark, sf):
+    """P10."""
+    return PR.unique_values(txn(spark, sf))

@@ -135,3 +135,73 @@ FROM avg_c"""
 FROM marg"""
     return ([*transactions_ctes(), *cells_ctes(p), *branch_b_ctes(p), *purchases_ctes(p),
              ("joined", joined), ("nxt", nxt), ("avg_c", avg), ("marg", marg), ("cells", ltv)])
+
+
+# ---------------------------------------------------------------- quantiles / profile
+def quantile_sql(src: str, col: str, p: float, where: str = "TRUE") -> str:
+    """Scalar subquery: exact quantile with numpy's linear interpolation."""
+    q = (float(p) * 100.0) / 100.0
+    return f"""(SELECT CASE WHEN t >= 0.5 THEN b - (b - a) * ({dbl(1.0)} - t) ELSE a + (b - a) * t END FROM (
+  SELECT CAST(max(CASE WHEN k = lo THEN v END) AS DOUBLE) AS a,
+         CAST(max(CASE WHEN k = hi THEN v END) AS DOUBLE) AS b, max(t) AS t FROM (
+    SELECT v, k,
+      CASE WHEN h >= n - 1 THEN n - 1 ELSE CAST(floor(h) AS BIGINT) END AS lo,
+      CASE WHEN h >= n - 1 THEN n - 1 ELSE CAST(floor(h) AS BIGINT) + 1 END AS hi,
+      h - floor(h) AS t
+    FROM (SELECT {col} AS v, row_number() OVER (ORDER BY {col}) - 1 AS k,
+                 count(*) OVER () AS n, (count(*) OVER () - 1) * {dbl(q)} AS h
+          FROM {src} WHERE {col} IS NOT NULL AND ({where})))))"""
+
+
+TXN_TYPES = [
+    ("transaction_id", "string"), ("customer_id", "string"), ("transaction_date", "date"),
+    ("first_transaction_month", "date"), ("transaction_amount", "decimal(18,2)"), ("quantity", "int"),
+    ("frequency_of_payment", "string"), ("product_type", "string"), ("country", "string"),
+    ("transaction_item_code", "string"), ("transaction_item_description", "string"),
+]
+
+
+def profile_info_ctes() -> CTE:
+    counts = "SELECT count(*) AS _rows, " + ", ".join(f"count({c}) AS {c}" for c, _ in TXN_TYPES) + " FROM transactions"
+    rows = "\nUNION ALL ".join(
+        f"SELECT {i} AS position, '{c}' AS \"column\", {c} AS non_null, '{t}' AS type, _rows FROM counts"
+        for i, (c, t) in enumerate(TXN_TYPES))
+    return [*transactions_ctes(), ("counts", counts), ("info", rows)]
+
+
+def head_sql(n: int = 5) -> str:
+    order = ", ".join(f"{c} ASC NULLS FIRST" for c, _ in TXN_TYPES)
+    return with_ctes(transactions_ctes(), f"SELECT * FROM transactions ORDER BY {order} LIMIT {n}")
+
+
+def describe_sql(cols_: tuple[str, ...] = ("transaction_amount", "quantity")) -> str:
+    parts = []
+    for c in cols_:
+        s, ss, n = f"CAST(sum({c}) AS DOUBLE)", f"CAST(sum({c} * {c}) AS DOUBLE)", f"count({c})"
+        var = f"(({ss} - ({s} * {s}) / {n}) / ({n} - 1))"
+        parts.append(f"""SELECT '{c}' AS "column", {n} AS count,
+  CASE WHEN {n} > 0 THEN {s} / {n} END AS mean,
+  CASE WHEN {n} > 1 THEN {rnd(f"sqrt(greatest({var}, {dbl(0.0)}))", 6)} END AS std,
+  CAST(min({c}) AS DOUBLE) AS min,
+  {quantile_sql("transactions", c, 0.25)} AS p25,
+  {quantile_sql("transactions", c, 0.5)} AS p50,
+  {quantile_sql("transactions", c, 0.75)} AS p75,
+  CAST(max({c}) AS DOUBLE) AS max
+FROM transactions""")
+    return with_ctes(transactions_ctes(), "\nUNION ALL\n".join(parts))
+
+
+CATEGORICAL = ("frequency_of_payment", "product_type", "country")
+
+
+def n_unique_sql() -> str:
+    body = "\nUNION ALL ".join(
+        f"SELECT '{c}' AS \"column\", count(DISTINCT {c}) AS n_unique FROM transactions" for c in CATEGORICAL)
+    return with_ctes(transactions_ctes(), body)
+
+
+def unique_values_sql() -> str:
+    body = "\nUNION ALL ".join(
+        f"SELECT '{c}' AS \"column\", CAST({c} AS VARCHAR) AS value, count(*) AS n_rows FROM transactions GROUP BY {c}"
+        for c in CATEGORICAL)
+    return with_ctes(transactions_ctes(), body)
