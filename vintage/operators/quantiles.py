@@ -45,30 +45,28 @@ def exact_quantiles(df: DataFrame, col: str, probs: list[float],
     """Exact quantiles of ``col`` (nulls skipped): one row per group (one
     row overall without groups); NULL when a group has no value."""
     names = names or [f"q{int(round(p * 100))}" for p in probs]
-    g = list(group_cols)
+    g = list(group_cols) or ["_all"]
+    if not group_cols:
+        df = df.withColumn("_all", F.lit(0))
     hist = (df.where(F.col(col).isNotNull()).groupBy(*g, col)
             .agg(F.count(F.lit(1)).alias("_n")))
     cum = running_sum(hist, g, [col], weight="_n", out="_cum")
     v = F.col(col).cast("double")
-    if not g:
-        n = cum.agg(F.sum("_n")).scalar()
-        pos = [_positions(n, p) for p in probs]
-        picked = cum.agg(*[x for i, (lo, hi, _) in enumerate(pos)
-                           for x in (F.max(F.when(_inside(lo), v)).alias(f"_a{i}"),
-                                     F.max(F.when(_inside(hi), v)).alias(f"_b{i}"))])
-        return picked.select(*[lerp(F.col(f"_a{i}"), F.col(f"_b{i}"), t).alias(nm)
-                               for i, ((_, _, t), nm) in enumerate(zip(pos, names))])
     tot = cum.groupBy(*g).agg(F.sum("_n").alias("_N"))
+    if not group_cols:
+        # one row even when the column has no value at all
+        tot = df.sparkSession.range(1).select(F.lit(0).alias("_all")).join(tot, g, "left")
     cols = []
     for i, p in enumerate(probs):
         lo, hi, t = _positions(F.col("_N"), p)
         cols += [lo.alias(f"_lo{i}"), hi.alias(f"_hi{i}"), t.alias(f"_t{i}")]
     pos = tot.select(*g, *cols)
-    j = cum.join(pos, g)
+    j = pos.join(cum, g, "left")
     picked = j.groupBy(*g).agg(
         *[x for i in range(len(probs))
           for x in (F.max(F.when(_inside(F.col(f"_lo{i}")), v)).alias(f"_a{i}"),
                     F.max(F.when(_inside(F.col(f"_hi{i}")), v)).alias(f"_b{i}"),
                     F.first(f"_t{i}").alias(f"_t{i}"))])
-    return picked.select(*g, *[lerp(F.col(f"_a{i}"), F.col(f"_b{i}"), F.col(f"_t{i}")).alias(nm)
-                               for i, nm in enumerate(names)])
+    out = picked.select(*g, *[lerp(F.col(f"_a{i}"), F.col(f"_b{i}"), F.col(f"_t{i}")).alias(nm)
+                              for i, nm in enumerate(names)])
+    return out.drop("_all") if not group_cols else out

@@ -239,3 +239,66 @@ def q_n_unique(spark, sf):
 def q_unique_values(spark, sf):
     """P10."""
     return PR.unique_values(txn(spark, sf))
+
+
+# ---------------------------------------------------------------- customers
+from vintage.operators import customers as CU  # noqa: E402
+
+
+def _cust_sql(final):
+    return lambda: with_ctes(O.customers_ctes(P), final)
+
+
+def _rows_b(spark, sf):
+    return K.branch_b(txn(spark, sf), P)
+
+
+@register("profile_agg", _cust_sql("SELECT * FROM prof"))
+def q_profile_agg(spark, sf):
+    """A7."""
+    return CU.profile_agg(_rows_b(spark, sf), P)
+
+
+@register("profile_rn", _cust_sql("SELECT * FROM prof_rn"))
+def q_profile_rn(spark, sf):
+    """W4."""
+    return CU.profile_rn(CU.profile_agg(_rows_b(spark, sf), P), P)
+
+
+@register("customer_profile", _cust_sql("SELECT * FROM attributed"))
+def q_customer_profile(spark, sf):
+    """K14 (J8, T9)."""
+    t = txn(spark, sf)
+    return CU.customer_profile(K.branch_b(t, P), C.cohort_cells(t, P), P)
+
+
+def _cohort_customers(spark, sf):
+    t = txn(spark, sf)
+    cells = C.cohort_cells(t, P)
+    return cells, CU.cohort_customers(K.branch_b(t, P), cells, P)
+
+
+@register("cohort_customers", _cust_sql("SELECT * FROM cohort_customers"))
+def q_cohort_customers(spark, sf):
+    """K15 (A8, J9, F9)."""
+    return _cohort_customers(spark, sf)[1]
+
+
+@register("customer_ltv", _cust_sql("SELECT * FROM customers_ltv"))
+def q_customer_ltv(spark, sf):
+    """A9."""
+    return CU.customer_ltv(_cohort_customers(spark, sf)[1], P)
+
+
+@register("ltv_quantiles", _cust_sql("SELECT * FROM thresholds"))
+def q_ltv_quantiles(spark, sf):
+    """A10, A11."""
+    cells, cc = _cohort_customers(spark, sf)
+    return CU.ltv_thresholds(cells, CU.customer_ltv(cc, P))
+
+
+@register("segments", _cust_sql("SELECT * FROM segments"))
+def q_segments(spark, sf):
+    """K16."""
+    cells, cc = _cohort_customers(spark, sf)
+    return CU.segments(cells, cc, P)

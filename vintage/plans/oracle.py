@@ -205,3 +205,58 @@ def unique_values_sql() -> str:
         f"SELECT '{c}' AS \"column\", CAST({c} AS VARCHAR) AS value, count(*) AS n_rows FROM transactions GROUP BY {c}"
         for c in CATEGORICAL)
     return with_ctes(transactions_ctes(), body)
+
+
+# ---------------------------------------------------------------- customers
+ITEM_KEYS = "customer_id, product_type, transaction_item_code, transaction_item_description"
+CELL_KEY = "cohort, txn_month, period_number"
+CELL_METRICS = [c.strip() for c in CELL_COLUMNS.split(",")][3:]
+ZEROED_DOUBLE = ("no_of_cust_purchases", "retention_rate_pc", "retention_rate_for_cltv",
+                 "retention_rate_cohort_avg", "churn_rate_pc", "revenue", "cumulative_revenue",
+                 "avg_revenue_per_user", "avg_profit_margin_per_cohort", "traditional_ltv")
+ZEROED_LONG = ("active_cust", "lost_cust")
+
+
+def customers_ctes(p: Params) -> CTE:
+    prof = f"""SELECT {CELL_KEY}, {ITEM_KEYS},
+  count(DISTINCT transaction_id) AS transaction_id,
+  CAST(COALESCE(sum(quantity), 0) AS BIGINT) AS quantity,
+  CAST(COALESCE(sum(transaction_amount), 0) AS DOUBLE) AS transaction_amount
+FROM rows_b
+WHERE customer_id IS NOT NULL AND product_type IS NOT NULL AND transaction_item_code IS NOT NULL
+  AND transaction_item_description IS NOT NULL
+GROUP BY {CELL_KEY}, {ITEM_KEYS}"""
+    rn = f"""SELECT *, row_number() OVER (PARTITION BY {CELL_KEY} ORDER BY {ITEM_KEYS}) AS RN FROM prof"""
+    sel = []
+    for c in CELL_METRICS:
+        if c in ZEROED_DOUBLE:
+            sel.append(f"CASE WHEN r.RN = 1 THEN c.{c} ELSE {dbl(0.0)} END AS {c}")
+        elif c in ZEROED_LONG:
+            sel.append(f"CASE WHEN r.RN = 1 THEN c.{c} ELSE CAST(0 AS BIGINT) END AS {c}")
+        elif c == "total_customers":
+            sel.append("COALESCE(CASE WHEN r.RN = 1 THEN c.no_of_customers ELSE c.total_customers END, 0) AS total_customers")
+        elif c == "total_transactions":
+            sel.append("COALESCE(c.total_transactions, 0) AS total_transactions")
+        else:
+            sel.append(f"c.{c}")
+    attributed = f"""SELECT r.*, {", ".join(sel)},
+  CASE WHEN r.RN = 1 THEN COALESCE(c.total_customers, 0) ELSE 0 END AS total_acquired_customers
+FROM prof_rn r LEFT JOIN cells c USING ({CELL_KEY})"""
+    cc0 = f"""SELECT {CELL_KEY}, customer_id, min(traditional_ltv) AS cltv_interim
+FROM attributed GROUP BY {CELL_KEY}, customer_id"""
+    cc = f"""SELECT k.{CELL_KEY.replace(", ", ", k.")}, k.customer_id, k.cltv_interim,
+  {", ".join("c." + m for m in CELL_METRICS)}, 1 AS ltv_flag
+FROM cc0 k LEFT JOIN cells c USING ({CELL_KEY}) WHERE c.traditional_ltv IS NOT NULL"""
+    cust = """SELECT customer_id, max(cohort) AS cohort, max(period_number) AS period_number,
+  max(traditional_ltv) AS traditional_ltv FROM cohort_customers GROUP BY customer_id"""
+    th = f"""SELECT {quantile_sql("cells", "traditional_ltv", 0.5)} AS cells_q50,
+  {quantile_sql("cells", "traditional_ltv", 0.8)} AS cells_q80,
+  {quantile_sql("customers_ltv", "traditional_ltv", 0.5)} AS customers_q50,
+  {quantile_sql("customers_ltv", "traditional_ltv", 0.8)} AS customers_q80"""
+    segs = """SELECT u.*, CASE WHEN u.traditional_ltv < t.cells_q50 THEN 'low_cltv'
+  WHEN t.customers_q50 <= u.traditional_ltv AND u.traditional_ltv < t.customers_q80 THEN 'medium_cltv'
+  WHEN u.traditional_ltv >= t.cells_q80 THEN 'high_cltv' ELSE 'unknown' END AS traditional_ltv_segments
+FROM customers_ltv u, thresholds t"""
+    return [*full_cells_ctes(p), ("prof", prof), ("prof_rn", rn), ("attributed", attributed),
+            ("cc0", cc0), ("cohort_customers", cc), ("customers_ltv", cust), ("thresholds", th),
+            ("segments", segs)]
