@@ -302,3 +302,64 @@ def q_segments(spark, sf):
     """K16."""
     cells, cc = _cohort_customers(spark, sf)
     return CU.segments(cells, cc, P)
+
+
+# ---------------------------------------------------------------- matrices
+from vintage.operators import matrix as MX  # noqa: E402
+
+
+def _cells(spark, sf):
+    return C.cohort_cells(txn(spark, sf), P)
+
+
+@register("abs_rates", lambda: with_ctes(O.matrix_ctes(P),
+          f"SELECT {_K}, retention_rate_pc, churn_rate_pc, retention_rate_abs_val, churn_rate_abs_val FROM abs_cells"))
+def q_abs_rates(spark, sf):
+    """K17."""
+    return MX.abs_rates(_cells(spark, sf)).select(
+        *_K.split(", "), "retention_rate_pc", "churn_rate_pc", "retention_rate_abs_val", "churn_rate_abs_val")
+
+
+def _register_measure(measure: str, column: str, places: int):
+    def piv(spark, sf):
+        return MX.pivot(_cells(spark, sf), column, P)
+    piv.__doc__ = f"M1 on {column}."
+    register(f"pivot_{measure}", lambda: O.pivot_sql(P, column))(piv)
+
+    def piv_t(spark, sf):
+        return MX.pivot_t(_cells(spark, sf), column, P)
+    piv_t.__doc__ = f"M2 on {column}."
+    register(f"pivot_t_{measure}", lambda: O.pivot_t_sql(P, column))(piv_t)
+
+    def heat(spark, sf):
+        return MX.heatmap_frame(_cells(spark, sf), measure, P)
+    heat.__doc__ = f"K20 for {measure}."
+    register(f"heatmap_{measure}", lambda: O.heatmap_sql(P, measure))(heat)
+
+
+for _m, (_col, _pl) in MX.MEASURES.items():
+    _register_measure(_m, _col, _pl)
+
+
+@register("cohort_size", lambda: O.cohort_size_sql(P, "no_of_customers"))
+def q_cohort_size(spark, sf):
+    """M3 (customers at the first period)."""
+    return MX.cohort_size(_cells(spark, sf), "no_of_customers", P)
+
+
+@register("cohort_size_ltv", lambda: O.cohort_size_sql(P, "traditional_ltv"))
+def q_cohort_size_ltv(spark, sf):
+    """M3 as drawn beside the LTV heatmap (first LTV column)."""
+    return MX.cohort_size(_cells(spark, sf), "traditional_ltv", P)
+
+
+@register("curve_retention", lambda: O.curve_sql(P, "retention_rate_pc", 2, None, "%.1f%%"))
+def q_curve_retention(spark, sf):
+    """K18 + K21."""
+    return MX.curve(_cells(spark, sf), "retention_rate_pc", 2, P, None, "%.1f%%")
+
+
+@register("curve_ltv", lambda: O.curve_sql(P, "traditional_ltv", 1, P.max_period, "$%.1f"))
+def q_curve_ltv(spark, sf):
+    """K19 + K21."""
+    return MX.curve(_cells(spark, sf), "traditional_ltv", 1, P, P.max_period, "$%.1f")

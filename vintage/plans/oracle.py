@@ -260,3 +260,70 @@ FROM customers_ltv u, thresholds t"""
     return [*full_cells_ctes(p), ("prof", prof), ("prof_rn", rn), ("attributed", attributed),
             ("cc0", cc0), ("cohort_customers", cc), ("customers_ltv", cust), ("thresholds", th),
             ("segments", segs)]
+
+
+# ---------------------------------------------------------------- matrices
+MEASURES = {
+    "retention": ("retention_rate_pc", 2),
+    "churn": ("churn_rate_pc", 2),
+    "ltv": ("traditional_ltv", 1),
+    "active": ("active_cust", 0),
+    "lost": ("lost_cust", 0),
+}
+
+
+def matrix_ctes(p: Params) -> CTE:
+    ab = f"""SELECT *, retention_rate_pc / {dbl(100.0)} AS retention_rate_abs_val,
+  churn_rate_pc / {dbl(100.0)} AS churn_rate_abs_val FROM cells"""
+    return [*full_cells_ctes(p), ("abs_cells", ab)]
+
+
+def obs_sql(value: str) -> str:
+    return (f"SELECT strftime(cohort, '%Y-%m') AS cohort, period_number, {value} AS value "
+            f"FROM abs_cells WHERE {value} IS NOT NULL")
+
+
+def pivot_sql(p: Params, value: str) -> str:
+    return with_ctes(matrix_ctes(p), f"SELECT * FROM (PIVOT ({obs_sql(value)}) ON period_number "
+                                     f"USING avg(value) GROUP BY cohort)")
+
+
+def pivot_t_sql(p: Params, value: str) -> str:
+    return with_ctes(matrix_ctes(p), f"SELECT * FROM (PIVOT ({obs_sql(value)}) ON cohort "
+                                     f"USING avg(value) GROUP BY period_number)")
+
+
+def cohort_size_ctes(p: Params, value: str, name: str = "size") -> CTE:
+    o = f"obs_{name}"
+    sz = f"""SELECT r.cohort, a.value AS cohort_size
+FROM (SELECT DISTINCT cohort FROM {o}) r
+LEFT JOIN (SELECT cohort, value FROM {o} WHERE period_number = (SELECT min(period_number) FROM {o})) a
+USING (cohort)"""
+    return [(o, obs_sql(value)), (name, sz)]
+
+
+def cohort_size_sql(p: Params, value: str) -> str:
+    return with_ctes([*matrix_ctes(p), *cohort_size_ctes(p, value)], "SELECT * FROM size")
+
+
+def curve_sql(p: Params, value: str, places: int, max_period: int | None, fmt: str | None) -> str:
+    where = f"WHERE period_number <= {max_period}" if max_period is not None else ""
+    y = stable_avg(value, places)
+    lab = f", CASE WHEN {y} IS NOT NULL THEN printf('{fmt}', {rnd(y, 1)}) END AS label" if fmt else ""
+    return with_ctes(matrix_ctes(p),
+                     f"SELECT period_number, {y} AS {value}{lab} FROM abs_cells {where} GROUP BY period_number")
+
+
+def heatmap_sql(p: Params, measure: str) -> str:
+    col, _ = MEASURES[measure]
+    if measure in ("retention", "churn"):
+        col = col.replace("_pc", "_abs_val")
+        lab = f"printf('%.0f%%', round_even(value * {dbl(100.0)}, 0))"
+    elif measure == "ltv":
+        lab = f"printf('%.1f', {rnd('value', 1)})"
+    else:
+        lab = "CAST(value AS VARCHAR)"
+    size_col = "traditional_ltv" if measure == "ltv" else "no_of_customers"
+    ctes = [*matrix_ctes(p), ("obs_m", obs_sql(col)), *cohort_size_ctes(p, size_col)]
+    return with_ctes(ctes, f"SELECT o.cohort, o.period_number, o.value, {lab} AS label, s.cohort_size "
+                           f"FROM obs_m o LEFT JOIN size s USING (cohort)")
