@@ -15,6 +15,7 @@ from vintage.operators import clean as K
 from vintage.params import FIXTURE_PARAMS as P
 from vintage.plans import oracle as O
 from vintage.plans.sqlfrag import with_ctes
+from vintage.session import materialize
 from vintage.sources import transactions_from_tables
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -274,7 +275,7 @@ def q_customer_profile(spark, sf):
 
 def _cohort_customers(spark, sf):
     t = txn(spark, sf)
-    cells = C.cohort_cells(t, P)
+    cells = materialize(C.cohort_cells(t, P))
     return cells, CU.cohort_customers(K.branch_b(t, P), cells, P)
 
 
@@ -309,7 +310,9 @@ from vintage.operators import matrix as MX  # noqa: E402
 
 
 def _cells(spark, sf):
-    return C.cohort_cells(txn(spark, sf), P)
+    """The cell table, written once: every matrix and model query reads it
+    several times (pivot values, sizes, splits, k-NN rounds)."""
+    return materialize(C.cohort_cells(txn(spark, sf), P))
 
 
 @register("abs_rates", lambda: with_ctes(O.matrix_ctes(P),
@@ -363,3 +366,56 @@ def q_curve_retention(spark, sf):
 def q_curve_ltv(spark, sf):
     """K19 + K21."""
     return MX.curve(_cells(spark, sf), "traditional_ltv", 1, P, P.max_period, "$%.1f")
+
+
+# ---------------------------------------------------------------- imputation
+from vintage.operators import impute as IM  # noqa: E402
+
+
+def _register_impute(measure: str):
+    def sql(final):
+        return lambda: O.impute_sql(P, measure, final)
+
+    def observed_cells(spark, sf):
+        return IM.matrix_cells(_cells(spark, sf), measure, P)
+    observed_cells.__doc__ = f"M4 ({measure})."
+    register(f"observed_cells_{measure}", sql("SELECT * FROM mcells"))(observed_cells)
+
+    def missing(spark, sf):
+        return IM.missing_cells(_cells(spark, sf), measure, P)
+    missing.__doc__ = f"M5 ({measure})."
+    register(f"missing_cells_{measure}", sql("SELECT * FROM miss"))(missing)
+
+    def split_(spark, sf):
+        return IM.split(IM.matrix_cells(_cells(spark, sf), measure, P), P)
+    split_.__doc__ = f"L1 ({measure})."
+    register(f"split_{measure}", sql("SELECT * FROM splitc"))(split_)
+
+    def knn_pred(spark, sf):
+        return IM.knn_test_predictions(_cells(spark, sf), measure, P)
+    knn_pred.__doc__ = f"L4, L5 with k-NN ({measure})."
+    register(f"knn_predict_{measure}", sql("SELECT * FROM test_pred"))(knn_pred)
+
+    def knn_r2(spark, sf):
+        return IM.r2(IM.knn_test_predictions(_cells(spark, sf), measure, P))
+    knn_r2.__doc__ = f"L6 for k-NN ({measure})."
+    register(f"knn_r2_{measure}", sql("SELECT * FROM knn_r2"))(knn_r2)
+
+    def knn_filled(spark, sf):
+        return IM.knn_filled(_cells(spark, sf), measure, P)
+    knn_filled.__doc__ = f"M6, L11, K22 with k-NN ({measure})."
+    register(f"knn_filled_{measure}", sql("SELECT * FROM filled"))(knn_filled)
+
+    def scores(spark, sf):
+        return IM.model_scores(_cells(spark, sf), measure, P)
+    scores.__doc__ = f"L2, L3, L5, L6, L7 ({measure}); rows-only check."
+    register(f"model_scores_{measure}")(scores)
+
+    def best(spark, sf):
+        return IM.best_filled(_cells(spark, sf), measure, P)
+    best.__doc__ = f"L11 with the best model ({measure}); rows-only check."
+    register(f"best_filled_{measure}")(best)
+
+
+for _m in IM.MATRIX_MEASURES:
+    _register_impute(_m)

@@ -327,3 +327,50 @@ def heatmap_sql(p: Params, measure: str) -> str:
     ctes = [*matrix_ctes(p), ("obs_m", obs_sql(col)), *cohort_size_ctes(p, size_col)]
     return with_ctes(ctes, f"SELECT o.cohort, o.period_number, o.value, {lab} AS label, s.cohort_size "
                            f"FROM obs_m o LEFT JOIN size s USING (cohort)")
+
+
+# ---------------------------------------------------------------- imputation
+MATRIX_MEASURES = {"retention": ("retention_rate_abs_val", 4), "ltv": ("traditional_ltv", 1)}
+
+
+def _fold_sum(x: str) -> str:
+    return f"list_reduce(list_sort(list({x})), lambda a, b: a + b)"
+
+
+def impute_ctes(p: Params, measure: str) -> CTE:
+    value, places = MATRIX_MEASURES[measure]
+    ridx = """SELECT cohort, CAST(dense_rank() OVER (ORDER BY cohort) - 1 AS INTEGER) AS row_idx
+FROM (SELECT DISTINCT cohort FROM obs_i)"""
+    cidx = """SELECT period_number, CAST(dense_rank() OVER (ORDER BY period_number) - 1 AS INTEGER) AS col_idx
+FROM (SELECT DISTINCT period_number FROM obs_i)"""
+    mcells = """SELECT r.row_idx, c.col_idx, o.cohort, o.period_number, o.value
+FROM obs_i o JOIN ridx r USING (cohort) JOIN cidx c USING (period_number)"""
+    miss = """SELECT r.row_idx, c.col_idx, r.cohort, c.period_number FROM ridx r CROSS JOIN cidx c
+WHERE NOT EXISTS (SELECT 1 FROM mcells m WHERE m.row_idx = r.row_idx AND m.col_idx = c.col_idx)"""
+    splitc = f"""SELECT *, ((row_idx * 31 + col_idx * 17 + {p.split_seed}) % {p.split_mod}) = 0 AS is_test FROM mcells"""
+
+    def knn(query: str) -> str:
+        return f"""SELECT row_idx, col_idx, {stable_avg("value", places)} AS prediction FROM (
+  SELECT q.row_idx, q.col_idx, t.value,
+    row_number() OVER (PARTITION BY q.row_idx, q.col_idx
+      ORDER BY (t.row_idx - q.row_idx) * (t.row_idx - q.row_idx) + (t.col_idx - q.col_idx) * (t.col_idx - q.col_idx),
+               t.row_idx, t.col_idx) AS rk
+  FROM {query} q CROSS JOIN (SELECT * FROM splitc WHERE NOT is_test) t)
+WHERE rk <= {p.knn_k} GROUP BY row_idx, col_idx"""
+    test_pred = """SELECT s.*, k.prediction FROM splitc s LEFT JOIN knn_t k USING (row_idx, col_idx) WHERE s.is_test"""
+    r2 = f"""SELECT 1.0::DOUBLE - {_fold_sum("(value - prediction) * (value - prediction)")}
+    / {_fold_sum("(value - ybar) * (value - ybar)")} AS r2
+FROM (SELECT *, (SELECT {_fold_sum("value")} / count(*) FROM test_pred WHERE prediction IS NOT NULL) AS ybar
+      FROM test_pred WHERE prediction IS NOT NULL)"""
+    filled = """SELECT row_idx, col_idx, cohort, period_number, value, FALSE AS is_predicted FROM mcells
+UNION ALL
+SELECT m.row_idx, m.col_idx, m.cohort, m.period_number, k.prediction AS value, TRUE AS is_predicted
+FROM miss m LEFT JOIN knn_m k USING (row_idx, col_idx)"""
+    return [*matrix_ctes(p), ("obs_i", obs_sql(value)), ("ridx", ridx), ("cidx", cidx),
+            ("mcells", mcells), ("miss", miss), ("splitc", splitc),
+            ("knn_t", knn("(SELECT * FROM splitc WHERE is_test)")), ("test_pred", test_pred),
+            ("knn_r2", r2), ("knn_m", knn("miss")), ("filled", filled)]
+
+
+def impute_sql(p: Params, measure: str, final: str) -> str:
+    return with_ctes(impute_ctes(p, measure), final)

@@ -48,3 +48,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     path = tempfile.mkdtemp(prefix="vintage-ckpt-")
     sc.setCheckpointDir(path)
     return sc.getCheckpointDir()
+
+
+def materialize(df):
+    """Write a small, reused intermediate (cell tables, matrices) once to the
+    checkpoint directory and cut its lineage, so later branches and loop
+    rounds read it instead of re-deriving it from the transactions, and a lost
+    executor does not send them back to the raw data."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
