@@ -120,8 +120,11 @@ def customer_ltv(cohort_cust: DataFrame, p: Params) -> DataFrame:
 
 
 def _threshold_frames(cells: DataFrame, cust_ltv: DataFrame) -> tuple[DataFrame, DataFrame]:
-    qc = exact_quantiles(cells, "traditional_ltv", [0.5, 0.8], ["cells_q50", "cells_q80"])
-    qk = exact_quantiles(cust_ltv, "traditional_ltv", [0.5, 0.8], ["customers_q50", "customers_q80"])
+    # Both histograms are bounded by the number of cells: customer LTVs are cell LTVs.
+    qc = exact_quantiles(cells, "traditional_ltv", [0.5, 0.8], ["cells_q50", "cells_q80"],
+                         bounded_values=True)
+    qk = exact_quantiles(cust_ltv, "traditional_ltv", [0.5, 0.8], ["customers_q50", "customers_q80"],
+                         bounded_values=True)
     return qc, qk
 
 

@@ -102,7 +102,7 @@ def knn_regress(train: DataFrame, query: DataFrame, k: int, places: int,
     t = materialize(train.select(*seg, F.col("row_idx").alias("_tr"), F.col("col_idx").alias("_tc"),
                                  "value"))
     pending = materialize(q)
-    radius, outs = 1, []
+    radius, outs = _first_radius(k), []
     while True:
         band = pending.select(*qk, F.explode(F.sequence(r - radius, r + radius)).alias("_tr"))
         cand = (band.join(t, [*seg, "_tr"])
@@ -118,7 +118,7 @@ def knn_regress(train: DataFrame, query: DataFrame, k: int, places: int,
         top = (cand.join(settled, qk, "left_semi")
                .withColumn("_rk", F.row_number().over(order)).where(F.col("_rk") <= k)
                .groupBy(*qk).agg(stable_avg("value", places).alias("prediction")))
-        outs.append(materialize(settled.join(top, qk, "left")))
+        outs.append(settled.join(top, qk, "left"))
         pending = materialize(pending.join(settled, qk, "left_anti"))
         if pending.isEmpty():
             break
@@ -127,6 +127,15 @@ def knn_regress(train: DataFrame, query: DataFrame, k: int, places: int,
     return query.join(preds, qk, "left")
 
 
+def _first_radius(k: int) -> int:
+    """Smallest radius whose ball holds k grid cells besides its centre (a
+    smaller ball can never settle a query)."""
+    r = 1
+    while sum(1 for dx in range(-r, r + 1) for dy in range(-r, r + 1) if dx * dx + dy * dy <= r * r) - 1 < k:
+        r += 1
+    return r
+
+
 def _fold_sum(col: str):
     """Sum in ascending value order (deterministic; the group is a test set
     of one matrix, bounded by months²)."""
@@ -203,44 +212,69 @@ def tree_models(max_bins: int = 128):
     return {"Random Forest": rf, "Bayesian": gbt}
 
 
-def model_scores(cells: DataFrame, measure: str, p: Params) -> DataFrame:
-    """Fit each model on the training side, score R² on
-    the test side; one row per model with ``is_best`` (highest R², ties to
-    the earlier model in the reference's order)."""
+def fit_and_score(cells: DataFrame, measure: str, p: Params):
+    """Fit the forest, the boosted trees and k-NN on the
+    training side and score R² on the test side. The three fits run as
+    concurrent Spark jobs (each is a chain of small jobs on a matrix-sized
+    input, so one alone leaves most cores idle). Returns (scores, fitted
+    tree models, split cells)."""
+    from concurrent.futures import ThreadPoolExecutor
+
     _, places = MATRIX_MEASURES[measure]
-    s = split(matrix_cells(cells, measure, p), p).cache()
+    s = materialize(split(matrix_cells(cells, measure, p), p))
     train = _assemble(s.where(~F.col("is_test")), p)
     test = _assemble(s.where(F.col("is_test")), p)
-    scores = []
-    for name, est in tree_models().items():
-        pred = est.fit(train).transform(test)
-        scores.append(r2(pred, p.segment_cols).withColumn("model", F.lit(name)))
-    knn = knn_regress(s.where(~F.col("is_test")), s.where(F.col("is_test")), p.knn_k, places,
-                      p.segment_cols)
-    scores.append(r2(knn, p.segment_cols).withColumn("model", F.lit("KNN")))
-    out = reduce(lambda a, b: a.unionByName(b), scores)
+
+    def fit_tree(item):
+        name, est = item
+        model = est.fit(train)
+        return name, model, materialize(r2(model.transform(test), p.segment_cols))
+
+    def fit_knn():
+        pred = knn_regress(s.where(~F.col("is_test")), s.where(F.col("is_test")), p.knn_k, places,
+                           p.segment_cols)
+        return "KNN", None, materialize(r2(pred, p.segment_cols))
+
+    with ThreadPoolExecutor(max_workers=3) as pool:
+        futures = [pool.submit(fit_tree, it) for it in tree_models().items()] + [pool.submit(fit_knn)]
+        results = [f.result() for f in futures]
+    scores = reduce(lambda a, b: a.unionByName(b),
+                    [sc.withColumn("model", F.lit(name)) for name, _, sc in results])
     rank = F.create_map(*[x for i, m in enumerate(MODEL_ORDER) for x in (F.lit(m), F.lit(i))])
-    out = out.withColumn("_order", rank[F.col("model")])
+    scores = scores.withColumn("_order", rank[F.col("model")])
     w = Window.partitionBy(*p.segment_cols).orderBy(F.col("r2").desc_nulls_last(), "_order")
-    return (out.withColumn("is_best", F.row_number().over(w) == 1).drop("_order")
-            .select(*p.segment_cols, "model", "r2", "is_best"))
+    scores = (scores.withColumn("is_best", F.row_number().over(w) == 1).drop("_order")
+              .select(*p.segment_cols, "model", "r2", "is_best"))
+    return scores, {name: m for name, m, _ in results if m is not None}, s
+
+
+def model_scores(cells: DataFrame, measure: str, p: Params) -> DataFrame:
+    """One row per model with its test R² and ``is_best`` (highest R²,
+    ties to the earlier model in the reference's order)."""
+    return fit_and_score(cells, measure, p)[0]
 
 
 def best_filled(cells: DataFrame, measure: str, p: Params) -> DataFrame:
     """L11 with the best model of ``model_scores`` (trained on the training
-    side only, not refitted), observed cells kept, predictions flagged."""
+    side only, not refitted), observed cells kept, predictions flagged. With
+    segments every segment uses its own best model."""
     _, places = MATRIX_MEASURES[measure]
-    scores = model_scores(cells, measure, p)
-    best = scores.where("is_best").select("model").first()[0] if not p.segment_cols else None
-    s = split(matrix_cells(cells, measure, p), p)
+    scores, models, s = fit_and_score(cells, measure, p)
     miss = missing_cells(cells, measure, p)
-    train = s.where(~F.col("is_test"))
-    if best == "KNN" or best is None:
-        pred = knn_regress(train, miss, p.knn_k, places, p.segment_cols)
-    else:
-        model = tree_models()[best].fit(_assemble(train, p))
-        pred = model.transform(_assemble(miss, p)).drop("features", "_seg_key")
-    return _fill(s.drop("is_test"), pred, p)
+    seg = list(p.segment_cols)
+    # one small row decides which model's predictions are computed at all
+    names = [scores.where("is_best").select("model").first()[0]] if not seg else list(MODEL_ORDER)
+    preds = []
+    for name in names:
+        if name == "KNN":
+            pred = knn_regress(s.where(~F.col("is_test")), miss, p.knn_k, places, p.segment_cols)
+        else:
+            pred = models[name].transform(_assemble(miss, p)).drop("features", "_seg_key")
+        if seg:
+            chosen = scores.where(F.col("is_best") & (F.col("model") == name)).select(*seg)
+            pred = pred.join(chosen, seg, "left_semi")
+        preds.append(pred)
+    return _fill(s.drop("is_test"), reduce(lambda a, b: a.unionByName(b), preds), p)
 
 
 # ---------------------------------------------------------------- random search

@@ -15,7 +15,7 @@ a + (b - a) * t when t < 0.5, else b - (b - a) * (1 - t).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vintage.operators.ranking import running_sum
@@ -41,16 +41,27 @@ def _inside(k: Column) -> Column:
 
 def exact_quantiles(df: DataFrame, col: str, probs: list[float],
                     names: list[str] | None = None,
-                    group_cols: tuple[str, ...] = ()) -> DataFrame:
+                    group_cols: tuple[str, ...] = (),
+                    bounded_values: bool = False) -> DataFrame:
     """Exact quantiles of ``col`` (nulls skipped): one row per group (one
-    row overall without groups); NULL when a group has no value."""
+    row overall without groups); NULL when a group has no value.
+
+    ``bounded_values=True`` declares that a group has few distinct values
+    whatever the data size (e.g. a customer's LTV is one of the cell LTVs):
+    the histogram's running count is then a plain window over the histogram
+    rows of a group. Otherwise it is the range-sliced running sum, which
+    holds for any number of distinct values."""
     names = names or [f"q{int(round(p * 100))}" for p in probs]
     g = list(group_cols) or ["_all"]
     if not group_cols:
         df = df.withColumn("_all", F.lit(0))
     hist = (df.where(F.col(col).isNotNull()).groupBy(*g, col)
             .agg(F.count(F.lit(1)).alias("_n")))
-    cum = running_sum(hist, g, [col], weight="_n", out="_cum")
+    if bounded_values:
+        w = Window.partitionBy(*g).orderBy(col).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        cum = hist.withColumn("_cum", F.sum("_n").over(w))
+    else:
+        cum = running_sum(hist, g, [col], weight="_n", out="_cum")
     v = F.col(col).cast("double")
     tot = cum.groupBy(*g).agg(F.sum("_n").alias("_N"))
     if not group_cols:

@@ -16,7 +16,7 @@ from vintage.params import FIXTURE_PARAMS as P
 from vintage.plans import oracle as O
 from vintage.plans.sqlfrag import with_ctes
 from vintage.session import materialize
-from vintage.sources import transactions_from_tables
+from vintage.sources import staged_transactions, transactions_from_tables
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, tuple[QueryFn, Callable[[], str] | None]] = {}
@@ -30,7 +30,9 @@ def register(name: str, sql: Callable[[], str] | None = None):
 
 
 def txn(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return transactions_from_tables(spark, sf_dir)
+    """The transaction table, staged once per session (see
+    ``staged_transactions``)."""
+    return staged_transactions(spark, sf_dir)
 
 
 def _sql(ctes, final):
@@ -40,8 +42,8 @@ def _sql(ctes, final):
 # ---------------------------------------------------------------- sources / cleaning
 @register("transactions", _sql(O.transactions_ctes, "SELECT * FROM transactions"))
 def q_transactions(spark, sf):
-    """The typed transaction table."""
-    return txn(spark, sf)
+    """The typed transaction table, mapped from the driver tables."""
+    return transactions_from_tables(spark, sf)
 
 
 @register("clean_required", _sql(O.transactions_ctes,
