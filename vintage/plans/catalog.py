@@ -421,3 +421,15 @@ def _register_impute(measure: str):
 
 for _m in IM.MATRIX_MEASURES:
     _register_impute(_m)
+
+
+# ---------------------------------------------------------------- segmented (scale re-aim)
+P_BY_COUNTRY = P.with_(country=None, segment_cols=("country",))
+
+
+@register("cohort_cells_by_country", lambda: with_ctes(O.full_cells_ctes(P_BY_COUNTRY), "SELECT * FROM cells"))
+def q_cohort_cells_by_country(spark, sf):
+    """K13 for every country in one plan (``segment_cols``): the country
+    joins every partition key, so all cohort tables come from the same
+    aggregates and windows."""
+    return C.cohort_cells(txn(spark, sf), P_BY_COUNTRY)

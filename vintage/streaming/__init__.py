@@ -1,0 +1,12 @@
+"""Incremental cell tables over a stream of transaction files.
+
+The reference reads one file once; it has no streaming operator. This module
+only runs the same cell plan (K1–K7) over new files as they arrive: the
+additive part (row counts and revenue per cell) is a streaming aggregate kept
+in Spark's state store, and every micro-batch re-derives the window metrics
+from that small aggregate and writes the cell table out.
+"""
+
+from vintage.streaming.cells_stream import read_transaction_stream, start_cell_stream
+
+__all__ = ["read_transaction_stream", "start_cell_stream"]
