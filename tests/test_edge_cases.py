@@ -64,14 +64,14 @@ def test_infinite_ltv(spark):
     assert cells[0].retention_rate_for_cltv == 104.0
     assert cells[0].traditional_ltv == math.inf
     # +inf is a value, not a missing one: it enters quantiles and maxima
-    cc = CU.cohort_customers(K.branch_b(txn, P), C.cohort_cells(txn, P), P)
+    cc = CU.cohort_customers(txn, C.cohort_cells(txn, P), P)
     assert CU.customer_ltv(cc, P).agg(F.max("traditional_ltv")).first()[0] == math.inf
 
 
 def test_null_item_key_absent_from_profile_but_counted(spark, golden):
     rows = [("z1", "c9", "2010-01-07", "2010-01-01", 20, M, F_, UK, 1, None)]
     txn = golden.unionByName(make_txn(spark, rows))
-    prof = CU.profile_agg(K.branch_b(txn, P), P)
+    prof = CU.profile_agg(txn, P)
     assert prof.where(F.col("customer_id") == "c9").count() == 0
     purch = C.purchases(txn, P).where(F.col("txn_month") == dt.date(2010, 1, 1)).first()
     assert (purch.total_transactions, purch.total_customers) == (5, 4)

@@ -56,7 +56,7 @@ def test_invariants(golden):
 
 def test_profile_and_attribution(golden):
     cells = C.cohort_cells(golden, P)
-    prof = CU.customer_profile(K.branch_b(golden, P), cells, P).collect()
+    prof = CU.customer_profile(golden, cells, P).collect()
     assert len(prof) == 12
     key = {(r.cohort, r.txn_month, r.customer_id, r.transaction_item_code): r for r in prof}
     r = key[(D(2010, 1, 1), D(2010, 1, 1), "c1", "i1")]
@@ -81,7 +81,7 @@ def test_profile_and_attribution(golden):
 
 def test_cohort_customers_matches_literal_definition(golden):
     cells = C.cohort_cells(golden, P)
-    rows_b = K.branch_b(golden, P)
+    rows_b = golden
     cc = {(r.txn_month, r.customer_id): (r.traditional_ltv, r.cltv_interim)
           for r in CU.cohort_customers(rows_b, cells, P).collect()}
     assert cc == {
@@ -102,7 +102,7 @@ def test_cohort_customers_matches_literal_definition(golden):
 
 def test_segments_and_thresholds(golden):
     cells = C.cohort_cells(golden, P)
-    cc = CU.cohort_customers(K.branch_b(golden, P), cells, P)
+    cc = CU.cohort_customers(golden, cells, P)
     th = CU.ltv_thresholds(cells, CU.customer_ltv(cc, P)).first()
     assert abs(th.cells_q50 - (-176.1)) < 1e-9 and abs(th.cells_q80 - 222.06) < 1e-9
     assert th.customers_q50 == 487.5 and th.customers_q80 == 487.5

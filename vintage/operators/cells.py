@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vintage.functions import ltv_quotient, month_diff, nan_to_null, rnd, stable_avg
-from vintage.operators.clean import branch_a, branch_b
+from vintage.operators.clean import branch_a, branch_b_grouped
 from vintage.params import Params
 
 CELL_KEYS = ("cohort", "txn_month")
@@ -89,11 +89,11 @@ def base_cells(txn: DataFrame, p: Params) -> DataFrame:
 
 def purchases(txn: DataFrame, p: Params) -> DataFrame:
     """K8 on branch B: distinct transactions and customers per cell and their
-    ratio. Two distinct counts in one aggregate: Spark expands each row once
-    per distinct column and pre-aggregates on (cell, value), so the shuffle is
-    spread over the values, not over the few cells."""
+    ratio. Rows are first reduced to distinct (customer, month, transaction)
+    before the cohort join; the two distinct counts then run on that."""
     keys = [*p.segment_cols, "cohort", "txn_month", "period_number"]
-    return (branch_b(txn, p).groupBy(*keys)
+    pre = branch_b_grouped(txn, p, [*p.segment_cols, "transaction_id"], [F.count(F.lit(1)).alias("_rows")])
+    return (pre.groupBy(*keys)
             .agg(F.countDistinct("transaction_id").alias("total_transactions"),
                  F.countDistinct("customer_id").alias("total_customers"))
             .withColumn("no_of_cust_purchases",

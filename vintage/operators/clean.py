@@ -69,28 +69,47 @@ def first_transaction(txn: DataFrame) -> DataFrame:
             .agg(F.min("transaction_date").alias("first_transaction_date")))
 
 
-def branch_b(txn: DataFrame, p: Params) -> DataFrame:
-    """Every dated row, cohort = month of the customer's first
-    transaction over *all* countries, products and returns.
+def _dated(txn: DataFrame, p: Params) -> DataFrame:
+    """Branch-B rows that can get a cohort (a date and a customer), minus the
+    current month (F5, F6, half of F8), with their transaction month."""
+    as_of = F.to_date(F.lit(p.as_of))
+    return (txn.where(F.col("transaction_date").isNotNull() & F.col("customer_id").isNotNull())
+            .withColumn("txn_month", month_start("transaction_date"))
+            .where(F.col("txn_month") != as_of))
+
 
-    The per-customer first date is an aggregate joined back on
-    ``customer_id`` (left join then drop null = inner join). With AQE the
-    join is broadcast when the customer table is small at run time and
-    skew-split otherwise; no window partitioned by customer is used.
+def with_cohort(rows: DataFrame, first: DataFrame, p: Params) -> DataFrame:
+    """K2 + F7/F8: attach the cohort (month of the customer's first
+    transaction) and the period; keep cohorts in [min_cohort, as_of).
+
+    The cohort bounds only touch ``first``'s columns, so Catalyst applies them
+    to the per-customer table before the join. With AQE the join is broadcast
+    when the customer table is small at run time and skew-split otherwise; no
+    window partitioned by customer is used.
     """
-    dated = txn.where(F.col("transaction_date").isNotNull())
-    first = first_transaction(txn)
-    rows = dated.join(first, "customer_id", "inner")
-    rows = rows.select(
+    as_of = F.to_date(F.lit(p.as_of))
+    out = (rows.join(first, "customer_id", "inner")
+           .withColumn("cohort", month_start("first_transaction_date"))
+           .withColumn("period_number", month_diff("txn_month", "cohort")))
+    return out.where((F.col("cohort") >= F.to_date(F.lit(p.min_cohort))) & (F.col("cohort") < as_of))
+
+
+def branch_b(txn: DataFrame, p: Params) -> DataFrame:
+    """Every dated row, cohort = month of the customer's first
+    transaction over *all* countries, products and returns (row level)."""
+    rows = with_cohort(_dated(txn, p), first_transaction(txn), p)
+    return rows.select(
         "*",
         F.trunc("first_transaction_date", "YEAR").alias("first_transaction_yr"),
         F.trunc("transaction_date", "YEAR").alias("record_level_transaction_yr"),
-        month_start("first_transaction_date").alias("cohort"),
-        month_start("transaction_date").alias("txn_month"),
-    ).withColumn("period_number", month_diff("txn_month", "cohort"))
-    as_of = F.to_date(F.lit(p.as_of))
-    return rows.where(
-        (F.col("cohort") >= F.to_date(F.lit(p.min_cohort)))
-        & (F.col("cohort") < as_of)
-        & (F.col("txn_month") != as_of)
     )
+
+
+def branch_b_grouped(txn: DataFrame, p: Params, keys: list[str], aggs: list) -> DataFrame:
+    """Branch B aggregated by (customer, month, ``keys``) *before* the cohort
+    join. The cohort is a function of the customer, so grouping by customer
+    and month equals grouping by cell and customer; aggregating first shrinks
+    the join's large side from rows to groups, and the partial aggregate
+    spreads a hot customer over many tasks (its keys vary)."""
+    pre = _dated(txn, p).groupBy("customer_id", "txn_month", *keys).agg(*aggs)
+    return with_cohort(pre, first_transaction(txn), p)

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vintage.operators.cells import CELL_COLUMNS
+from vintage.operators.clean import branch_b_grouped
 from vintage.operators.quantiles import exact_quantiles
 from vintage.operators.ranking import row_number_within
 from vintage.params import Params
@@ -38,16 +39,20 @@ def _cell(p: Params) -> list[str]:
     return [*p.segment_cols, "cohort", "txn_month", "period_number"]
 
 
-def profile_agg(rows_b: DataFrame, p: Params) -> DataFrame:
+def profile_agg(txn: DataFrame, p: Params) -> DataFrame:
     """Per (cell, customer, product type, item code, description):
     distinct transactions, total quantity, total amount. Rows with a null
-    key are dropped (as a pandas group-by does); empty sums are 0."""
-    keys = [*_cell(p), *ITEM_KEYS]
-    return (rows_b.dropna(subset=list(ITEM_KEYS)).groupBy(*keys)
-            .agg(F.countDistinct("transaction_id").alias("transaction_id"),
-                 F.coalesce(F.sum("quantity"), F.lit(0).cast("bigint")).alias("quantity"),
-                 F.coalesce(F.sum("transaction_amount"), F.lit(0).cast("decimal(28,2)"))
-                 .cast("double").alias("transaction_amount")))
+    key are dropped (as a pandas group-by does); empty sums are 0. Aggregated
+    per (customer, month, item) before the cohort join (see
+    ``branch_b_grouped``)."""
+    item = ["product_type", "transaction_item_code", "transaction_item_description"]
+    rows = txn.dropna(subset=list(ITEM_KEYS))
+    pre = branch_b_grouped(rows, p, [*p.segment_cols, *item], [
+        F.countDistinct("transaction_id").alias("transaction_id"),
+        F.coalesce(F.sum("quantity"), F.lit(0).cast("bigint")).alias("quantity"),
+        F.coalesce(F.sum("transaction_amount"), F.lit(0).cast("decimal(28,2)"))
+        .cast("double").alias("transaction_amount")])
+    return pre.select(*_cell(p), *ITEM_KEYS, "transaction_id", "quantity", "transaction_amount")
 
 
 def profile_rn(profile: DataFrame, p: Params) -> DataFrame:
@@ -77,30 +82,28 @@ def attribute(profile_with_rn: DataFrame, cells: DataFrame, p: Params) -> DataFr
     return out
 
 
-def customer_profile(rows_b: DataFrame, cells: DataFrame, p: Params) -> DataFrame:
+def customer_profile(txn: DataFrame, cells: DataFrame, p: Params) -> DataFrame:
     """Aggregated profile, RN, attributed cell metrics."""
-    return attribute(profile_rn(profile_agg(rows_b, p), p), cells, p)
+    return attribute(profile_rn(profile_agg(txn, p), p), cells, p)
 
 
-def cohort_customers(rows_b: DataFrame, cells: DataFrame, p: Params) -> DataFrame:
+def cohort_customers(txn: DataFrame, cells: DataFrame, p: Params) -> DataFrame:
     """Customers behind each cell with ``cltv_interim`` = the minimum
     attributed LTV over the customer's profile rows in the cell, joined to
     the cell metrics, kept where the cell has an LTV.
 
-    Because only the cell's first row keeps the LTV (0 elsewhere), the
-    minimum is: for the first customer, the cell LTV when it has one profile
-    row in the cell, else min(LTV, 0) (0 when the LTV is missing); 0 for
-    every other customer. Computed from two partial aggregates instead of
-    a per-cell sort.
+    Only the cell's first profile row keeps the LTV (0 elsewhere), and the
+    first row belongs to the smallest customer id of the cell. So the minimum
+    is: for that customer, the cell LTV when it has one profile row in the
+    cell, else min(LTV, 0) (0 when the LTV is missing); 0 for every other
+    customer. Computed from the per-(cell, customer) row counts and their
+    per-cell minimum customer — partial aggregates, no per-cell sort.
     """
     cell = _cell(p)
-    prof = profile_agg(rows_b, p)
-    key = F.struct(*[F.col(c) for c in ITEM_KEYS])
-    first = prof.groupBy(*cell).agg(F.min(key).alias("_first"))
-    first = first.select(*cell, F.col("_first.customer_id").alias("_first_customer"))
-    per_cust = prof.groupBy(*cell, "customer_id").agg(F.count(F.lit(1)).alias("_rows"))
-    cc = (per_cust.join(first, cell, "inner")
-          .join(cells, cell, "left"))
+    per_cust = (profile_agg(txn, p).groupBy(*cell, "customer_id")
+                .agg(F.count(F.lit(1)).alias("_rows")))
+    first = per_cust.groupBy(*cell).agg(F.min("customer_id").alias("_first_customer"))
+    cc = per_cust.join(first, cell, "inner").join(cells, cell, "left")
     ltv = F.col("traditional_ltv")
     interim = (F.when(F.col("customer_id") != F.col("_first_customer"), F.lit(0.0))
                .when(F.col("_rows") == 1, ltv)

@@ -252,33 +252,31 @@ def _cust_sql(final):
     return lambda: with_ctes(O.customers_ctes(P), final)
 
 
-def _rows_b(spark, sf):
-    return K.branch_b(txn(spark, sf), P)
 
 
 @register("profile_agg", _cust_sql("SELECT * FROM prof"))
 def q_profile_agg(spark, sf):
     """A7."""
-    return CU.profile_agg(_rows_b(spark, sf), P)
+    return CU.profile_agg(txn(spark, sf), P)
 
 
 @register("profile_rn", _cust_sql("SELECT * FROM prof_rn"))
 def q_profile_rn(spark, sf):
     """W4."""
-    return CU.profile_rn(CU.profile_agg(_rows_b(spark, sf), P), P)
+    return CU.profile_rn(CU.profile_agg(txn(spark, sf), P), P)
 
 
 @register("customer_profile", _cust_sql("SELECT * FROM attributed"))
 def q_customer_profile(spark, sf):
     """K14 (J8, T9)."""
     t = txn(spark, sf)
-    return CU.customer_profile(K.branch_b(t, P), C.cohort_cells(t, P), P)
+    return CU.customer_profile(t, C.cohort_cells(t, P), P)
 
 
 def _cohort_customers(spark, sf):
     t = txn(spark, sf)
     cells = materialize(C.cohort_cells(t, P))
-    return cells, CU.cohort_customers(K.branch_b(t, P), cells, P)
+    return cells, CU.cohort_customers(t, cells, P)
 
 
 @register("cohort_customers", _cust_sql("SELECT * FROM cohort_customers"))
