@@ -123,6 +123,7 @@ def transactions_from_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _STAGED: dict[tuple[str, str], DataFrame] = {}
+_STAGE_LOCK = __import__("threading").Lock()
 
 
 def staged_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -135,11 +136,16 @@ def staged_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     the pushed ``country`` / ``product_type`` / ``frequency_of_payment``
     predicates skip row groups on large inputs.
     """
+    key = (spark.sparkContext.applicationId, sf_dir)
+    with _STAGE_LOCK:
+        return _stage(spark, sf_dir, key)
+
+
+def _stage(spark: SparkSession, sf_dir: str, key: tuple[str, str]) -> DataFrame:
     import hashlib
 
     from vintage.session import ensure_checkpoint_dir
 
-    key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _STAGED:
         root = ensure_checkpoint_dir(spark)
         path = f"{root}/vintage-staging/transactions-{hashlib.sha1(sf_dir.encode()).hexdigest()[:12]}"
