@@ -5,12 +5,12 @@ matrix of a segment is bounded by months x months whatever the data volume,
 so every per-segment group below has a proven bound.
 
 * k-NN (L4) is an exact band join, not a cross join: each query cell is
-  matched to the training cells within Chebyshev radius R (equi-join on the
-  row after exploding the query's row window, then a column filter). A query
-  is settled once k training cells lie inside the Euclidean ball of radius R
-  (then no cell outside the box can be nearer) or the box covers all training
-  cells of its segment; unsettled queries go to the next round with R doubled.
-  Rounds are O(log months); each round's survivors are checkpointed.
+  matched to the training cells within its own Chebyshev radius R (equi-join
+  on the row after exploding the query's row window, then a column filter).
+  R is the distance to the k-th nearest training cell on the query's row or
+  column, so the ball of radius R already holds k cells and no cell outside
+  the box can be nearer; when neither line holds k cells the box covers the
+  whole segment.
 * Ties are broken by (squared distance, row, col), the mean of the k values
   is order independent (``stable_avg``).
 * Random forest and gradient-boosted trees are MLlib estimators on the
@@ -84,56 +84,51 @@ def split(m: DataFrame, p: Params) -> DataFrame:
 def knn_regress(train: DataFrame, query: DataFrame, k: int, places: int,
                 seg: tuple[str, ...] = ()) -> DataFrame:
     """L4: exact k-nearest-neighbour mean of ``value`` for each query cell
-    (``seg`` + row_idx, col_idx); result adds ``prediction``."""
-    spark = train.sparkSession
-    ensure_checkpoint_dir(spark)
+    (``seg`` + row_idx, col_idx); result adds ``prediction``.
+
+    Each query gets its own search radius R: the distance to its k-th
+    nearest training cell in its own row, or in its own column, whichever is
+    smaller (those k cells lie in the ball of radius R, so the k nearest
+    overall do too), or, when neither line holds k training cells, the
+    radius whose box covers every training cell of the segment. One band
+    join then collects the training cells in the box [r-R, r+R] x [c-R, c+R]
+    (equi-join on the exploded row window, filter on the column), and the k
+    best by (squared distance, row, col) are averaged. No loop and no cross
+    join; each query's candidates are bounded by its box.
+    """
     seg = list(seg)
     qk = [*seg, "row_idx", "col_idx"]
-    ext = train.groupBy(*seg).agg(F.min("row_idx").alias("_r0"), F.max("row_idx").alias("_r1"),
-                                  F.min("col_idx").alias("_c0"), F.max("col_idx").alias("_c1"))
+    r, c = F.col("row_idx"), F.col("col_idx")
+    t = materialize(train.select(*seg, F.col("row_idx").alias("_tr"), F.col("col_idx").alias("_tc"), "value"))
     q = query.select(*qk).distinct()
+
+    def kth_on_line(line: str, other: str, t_line: str, t_other: str, out: str) -> DataFrame:
+        d = (q.join(t.withColumnRenamed(t_line, line), [*seg, line])
+             .select(*qk, F.abs(F.col(t_other) - F.col(other)).alias("_d")))
+        w = Window.partitionBy(*qk).orderBy("_d")
+        return (d.withColumn("_rk", F.row_number().over(w)).where(F.col("_rk") == k)
+                .select(*qk, F.col("_d").alias(out)))
+
+    ext = t.groupBy(*seg).agg(F.min("_tr").alias("_r0"), F.max("_tr").alias("_r1"),
+                              F.min("_tc").alias("_c0"), F.max("_tc").alias("_c1"))
     if seg:
-        q = q.join(ext, seg, "left")
+        qe = q.join(ext, seg, "left")
     else:
-        q = q.select(*qk, *[ext.select(c).scalar().alias(c) for c in ("_r0", "_r1", "_c0", "_c1")])
-    r, c = F.col("row_idx"), F.col("col_idx")
-    q = q.select(*qk, F.greatest(r - F.col("_r0"), F.col("_r1") - r,
-                                 c - F.col("_c0"), F.col("_c1") - c).alias("_cover"))
-    t = materialize(train.select(*seg, F.col("row_idx").alias("_tr"), F.col("col_idx").alias("_tc"),
-                                 "value"))
-    pending = materialize(q)
-    radius, outs = _first_radius(k), []
-    while True:
-        band = pending.select(*qk, F.explode(F.sequence(r - radius, r + radius)).alias("_tr"))
-        cand = (band.join(t, [*seg, "_tr"])
-                .where(F.abs(F.col("_tc") - c) <= radius)
-                .withColumn("_d2", (F.col("_tr") - r) * (F.col("_tr") - r) + (F.col("_tc") - c) * (F.col("_tc") - c)))
-        inball = cand.groupBy(*qk).agg(
-            F.sum(F.when(F.col("_d2") <= radius * radius, 1).otherwise(0)).alias("_in"))
-        settled = (pending.join(inball, qk, "left")
-                   .where((F.coalesce(F.col("_in"), F.lit(0)) >= k) | F.col("_cover").isNull()
-                          | (F.lit(radius) >= F.col("_cover")))
-                   .select(*qk))
-        order = Window.partitionBy(*qk).orderBy("_d2", "_tr", "_tc")
-        top = (cand.join(settled, qk, "left_semi")
-               .withColumn("_rk", F.row_number().over(order)).where(F.col("_rk") <= k)
-               .groupBy(*qk).agg(stable_avg("value", places).alias("prediction")))
-        outs.append(settled.join(top, qk, "left"))
-        pending = materialize(pending.join(settled, qk, "left_anti"))
-        if pending.isEmpty():
-            break
-        radius *= 2
-    preds = reduce(lambda a, b: a.unionByName(b), outs)
-    return query.join(preds, qk, "left")
-
-
-def _first_radius(k: int) -> int:
-    """Smallest radius whose ball holds k grid cells besides its centre (a
-    smaller ball can never settle a query)."""
-    r = 1
-    while sum(1 for dx in range(-r, r + 1) for dy in range(-r, r + 1) if dx * dx + dy * dy <= r * r) - 1 < k:
-        r += 1
-    return r
+        qe = q.select(*qk, *[ext.select(x).scalar().alias(x) for x in ("_r0", "_r1", "_c0", "_c1")])
+    cover = F.greatest(r - F.col("_r0"), F.col("_r1") - r, c - F.col("_c0"), F.col("_c1") - c)
+    radius = (qe.select(*qk, cover.alias("_cover"))
+              .join(kth_on_line("row_idx", "col_idx", "_tr", "_tc", "_rb"), qk, "left")
+              .join(kth_on_line("col_idx", "row_idx", "_tc", "_tr", "_cb"), qk, "left")
+              .select(*qk, F.least("_rb", "_cb", "_cover").alias("_R"))
+              .where(F.col("_R").isNotNull()))
+    band = radius.select(*qk, "_R", F.explode(F.sequence(r - F.col("_R"), r + F.col("_R"))).alias("_tr"))
+    cand = (band.join(t, [*seg, "_tr"])
+            .where(F.abs(F.col("_tc") - c) <= F.col("_R"))
+            .withColumn("_d2", (F.col("_tr") - r) * (F.col("_tr") - r) + (F.col("_tc") - c) * (F.col("_tc") - c)))
+    order = Window.partitionBy(*qk).orderBy("_d2", "_tr", "_tc")
+    pred = (cand.withColumn("_rk", F.row_number().over(order)).where(F.col("_rk") <= k)
+            .groupBy(*qk).agg(stable_avg("value", places).alias("prediction")))
+    return query.join(pred, qk, "left")
 
 
 def _fold_sum(col: str):
