@@ -200,10 +200,13 @@ def tree_models(max_bins: int = 128):
     from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
     rf = RandomForestRegressor(featuresCol="features", labelCol="value", predictionCol="prediction",
                                numTrees=FOREST_TREES, seed=MODEL_SEED, maxDepth=20,
-                               featureSubsetStrategy="all", maxBins=max_bins, minInstancesPerNode=1)
+                               featureSubsetStrategy="all", maxBins=max_bins, minInstancesPerNode=1,
+                               # more nodes per pass over the data and cached node ids: fewer
+                               # passes for deep trees, identical trees
+                               maxMemoryInMB=1024, cacheNodeIds=True)
     gbt = GBTRegressor(featuresCol="features", labelCol="value", predictionCol="prediction",
                        maxIter=100, stepSize=0.1, maxDepth=5, minInstancesPerNode=20,
-                       seed=MODEL_SEED, maxBins=max_bins)
+                       seed=MODEL_SEED, maxBins=max_bins, cacheNodeIds=True)
     return {"Random Forest": rf, "Bayesian": gbt}
 
 
