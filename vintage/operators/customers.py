@@ -25,6 +25,7 @@ from vintage.operators.clean import branch_b_grouped
 from vintage.operators.quantiles import exact_quantiles
 from vintage.operators.ranking import row_number_within
 from vintage.params import Params
+from vintage.session import materialize
 
 ITEM_KEYS = ("customer_id", "product_type", "transaction_item_code", "transaction_item_description")
 
@@ -144,8 +145,10 @@ def ltv_thresholds(cells: DataFrame, cust_ltv: DataFrame) -> DataFrame:
 def segments(cells: DataFrame, cohort_cust: DataFrame, p: Params) -> DataFrame:
     """Low / medium / high / unknown LTV segment per customer, with the
     reference's precedence (low, then medium, then high). Thresholds enter
-    the projection as scalar subqueries (computed once, no join)."""
-    cust = customer_ltv(cohort_cust, p)
+    the projection as scalar subqueries (computed once, no join). The
+    customer table feeds both the output and its own quantiles, so it is
+    written once instead of re-deriving the profile chain twice."""
+    cust = materialize(customer_ltv(cohort_cust, p))
     qc, qk = _threshold_frames(cells, cust)
     q = {k: qc.select(k).scalar() for k in qc.columns}
     q.update({k: qk.select(k).scalar() for k in qk.columns})
