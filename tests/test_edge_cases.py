@@ -5,13 +5,11 @@ import math
 
 import numpy as np
 import pandas as pd
-import pytest
 from pyspark.sql import functions as F
 
 from conftest import GOLDEN_PARAMS as P, M, F_, UK, make_txn
 from vintage.functions import rnd
 from vintage.operators import cells as C
-from vintage.operators import clean as K
 from vintage.operators import customers as CU
 from vintage.operators import matrix as MX
 from vintage.operators.quantiles import exact_quantiles

@@ -4,7 +4,6 @@ import datetime as dt
 
 from conftest import GOLDEN_PARAMS as P
 from vintage.operators import cells as C
-from vintage.operators import clean as K
 from vintage.operators import customers as CU
 from vintage.operators import matrix as MX
 
