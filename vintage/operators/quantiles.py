@@ -2,9 +2,9 @@
 
 The column is first reduced to a value histogram (partial aggregate), the
 histogram gets running counts (``ranking.running_sum``, no single-task
-sort), and each requested position is picked by comparing the running counts
-with the per-group positions (a small table, broadcast at run time by AQE; a
-scalar subquery when there are no groups). Nothing is collected.
+sort) and group totals, and each requested position is picked by a
+conditional aggregate over the running counts. No join without keys, nothing
+collected.
 
 Interpolation follows numpy's ``linear`` method (as pandas calls it, with
 q = (p * 100) / 100) to the last bit:
@@ -52,32 +52,24 @@ def exact_quantiles(df: DataFrame, col: str, probs: list[float],
     rows of a group. Otherwise it is the range-sliced running sum, which
     holds for any number of distinct values."""
     names = names or [f"q{int(round(p * 100))}" for p in probs]
-    g = list(group_cols) or ["_all"]
-    if not group_cols:
-        df = df.withColumn("_all", F.lit(0))
+    g = list(group_cols)
     hist = (df.where(F.col(col).isNotNull()).groupBy(*g, col)
             .agg(F.count(F.lit(1)).alias("_n")))
     if bounded_values:
-        w = Window.partitionBy(*g).orderBy(col).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        cum = hist.withColumn("_cum", F.sum("_n").over(w))
+        part = Window.partitionBy(*g)
+        cum = (hist.withColumn("_cum", F.sum("_n").over(
+                   part.orderBy(col).rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+               .withColumn("_total", F.sum("_n").over(part)))
     else:
-        cum = running_sum(hist, g, [col], weight="_n", out="_cum")
+        cum = running_sum(hist, g, [col], weight="_n", out="_cum", total_out="_total")
     v = F.col(col).cast("double")
-    tot = cum.groupBy(*g).agg(F.sum("_n").alias("_N"))
-    if not group_cols:
-        # one row even when the column has no value at all
-        tot = df.sparkSession.range(1).select(F.lit(0).alias("_all")).join(tot, g, "left")
-    cols = []
+    aggs = []
     for i, p in enumerate(probs):
-        lo, hi, t = _positions(F.col("_N"), p)
-        cols += [lo.alias(f"_lo{i}"), hi.alias(f"_hi{i}"), t.alias(f"_t{i}")]
-    pos = tot.select(*g, *cols)
-    j = pos.join(cum, g, "left")
-    picked = j.groupBy(*g).agg(
-        *[x for i in range(len(probs))
-          for x in (F.max(F.when(_inside(F.col(f"_lo{i}")), v)).alias(f"_a{i}"),
-                    F.max(F.when(_inside(F.col(f"_hi{i}")), v)).alias(f"_b{i}"),
-                    F.first(f"_t{i}").alias(f"_t{i}"))])
-    out = picked.select(*g, *[lerp(F.col(f"_a{i}"), F.col(f"_b{i}"), F.col(f"_t{i}")).alias(nm)
-                              for i, nm in enumerate(names)])
-    return out.drop("_all") if not group_cols else out
+        lo, hi, t = _positions(F.col("_total"), p)
+        aggs += [F.max(F.when(_inside(lo), v)).alias(f"_a{i}"),
+                 F.max(F.when(_inside(hi), v)).alias(f"_b{i}"),
+                 F.max(t).alias(f"_t{i}")]
+    # a global aggregate returns its one row (all NULL) even without values
+    picked = cum.groupBy(*g).agg(*aggs)
+    return picked.select(*g, *[lerp(F.col(f"_a{i}"), F.col(f"_b{i}"), F.col(f"_t{i}")).alias(nm)
+                               for i, nm in enumerate(names)])

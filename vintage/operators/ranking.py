@@ -32,10 +32,11 @@ def _join_null_safe(left: DataFrame, right: DataFrame, keys: list[str]) -> DataF
 
 def running_sum(df: DataFrame, group_cols: list[str], order_cols: list[Column | str],
                 weight: str | None = None, out: str = "_cum",
-                slices: int | None = None) -> DataFrame:
+                slices: int | None = None, total_out: str | None = None) -> DataFrame:
     """Add ``out`` = inclusive running sum of ``weight`` (1 per row when None)
-    over ``order_cols`` within ``group_cols``. With unique order keys inside a
-    group and no weight this is ``row_number()``."""
+    over ``order_cols`` within ``group_cols`` (and ``total_out`` = the group's
+    total, when named). With unique order keys inside a group and no weight
+    this is ``row_number()``."""
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     n = slices or int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -52,8 +53,10 @@ def running_sum(df: DataFrame, group_cols: list[str], order_cols: list[Column |
     totals = sliced.groupBy("_slice", *group_cols).agg(F.sum("_w").alias("_tot"))
     before = Window.partitionBy(*group_cols).orderBy("_slice").rowsBetween(
         Window.unboundedPreceding, -1)
+    extra = [F.sum("_tot").over(Window.partitionBy(*group_cols)).alias(total_out)] if total_out else []
     offsets = totals.select("_slice", *group_cols,
-                            F.coalesce(F.sum("_tot").over(before), F.lit(0).cast("bigint")).alias("_off"))
+                            F.coalesce(F.sum("_tot").over(before), F.lit(0).cast("bigint")).alias("_off"),
+                            *extra)
     joined = _join_null_safe(local, offsets, ["_slice", *group_cols])
     return (joined.withColumn(out, F.col("_local") + F.col("_off"))
             .drop("_w", "_slice", "_local", "_off"))
