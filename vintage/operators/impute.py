@@ -25,7 +25,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vintage.functions import stable_avg
+from vintage.functions import rnd, stable_avg
 from vintage.operators.matrix import abs_rates, observed
 from vintage.params import FOREST_TREES, MODEL_SEED, Params
 from vintage.session import materialize
@@ -175,12 +175,16 @@ def knn_filled(cells: DataFrame, measure: str, p: Params) -> DataFrame:
 
 
 def _fill(obs: DataFrame, pred: DataFrame, p: Params) -> DataFrame:
+    """Observed cells and predictions in one matrix, with the reference's
+    two-decimal annotation (K22: predicted cells are the ones drawn in red)."""
     seg = list(p.segment_cols)
     cols = [*seg, "row_idx", "col_idx", "cohort", "period_number", "value", "is_predicted"]
-    return (obs.withColumn("is_predicted", F.lit(False)).select(*cols)
-            .unionByName(pred.select(*seg, "row_idx", "col_idx", "cohort", "period_number",
-                                     F.col("prediction").alias("value"),
-                                     F.lit(True).alias("is_predicted"))))
+    out = (obs.withColumn("is_predicted", F.lit(False)).select(*cols)
+           .unionByName(pred.select(*seg, "row_idx", "col_idx", "cohort", "period_number",
+                                    F.col("prediction").alias("value"),
+                                    F.lit(True).alias("is_predicted"))))
+    v = F.col("value")
+    return out.withColumn("label", F.when(v.isNotNull(), F.format_string("%.2f", rnd(v, 2))))
 
 
 # ---------------------------------------------------------------- MLlib models

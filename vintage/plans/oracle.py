@@ -362,10 +362,11 @@ WHERE rk <= {p.knn_k} GROUP BY row_idx, col_idx"""
     / {_fold_sum("(value - ybar) * (value - ybar)")} AS r2
 FROM (SELECT *, (SELECT {_fold_sum("value")} / count(*) FROM test_pred WHERE prediction IS NOT NULL) AS ybar
       FROM test_pred WHERE prediction IS NOT NULL)"""
-    filled = """SELECT row_idx, col_idx, cohort, period_number, value, FALSE AS is_predicted FROM mcells
+    filled = f"""SELECT *, CASE WHEN value IS NOT NULL THEN printf('%.2f', {rnd("value", 2)}) END AS label FROM (
+SELECT row_idx, col_idx, cohort, period_number, value, FALSE AS is_predicted FROM mcells
 UNION ALL
 SELECT m.row_idx, m.col_idx, m.cohort, m.period_number, k.prediction AS value, TRUE AS is_predicted
-FROM miss m LEFT JOIN knn_m k USING (row_idx, col_idx)"""
+FROM miss m LEFT JOIN knn_m k USING (row_idx, col_idx))"""
     return [*matrix_ctes(p), ("obs_i", obs_sql(value)), ("ridx", ridx), ("cidx", cidx),
             ("mcells", mcells), ("miss", miss), ("splitc", splitc),
             ("knn_t", knn("(SELECT * FROM splitc WHERE is_test)")), ("test_pred", test_pred),
