@@ -52,12 +52,13 @@ def matrix_cells(cells: DataFrame, measure: str, p: Params) -> DataFrame:
             .select(*seg, "row_idx", "col_idx", "cohort", "period_number", "value"))
 
 
-def missing_cells(cells: DataFrame, measure: str, p: Params) -> DataFrame:
+def missing_cells(cells: DataFrame, measure: str, p: Params, m: DataFrame | None = None) -> DataFrame:
     """M5: (row, col) positions of the matrix without a value. The grid is
     generated per segment by exploding the column range on each row (size
-    bounded by months²), then observed positions are removed (anti join)."""
+    bounded by months²), then observed positions are removed (anti join).
+    ``m`` is the already indexed matrix when the caller has it."""
     seg = list(p.segment_cols)
-    m = matrix_cells(cells, measure, p)
+    m = matrix_cells(cells, measure, p) if m is None else m
     rows = m.select(*seg, "row_idx", "cohort").distinct()
     cols = m.select(*seg, "col_idx", "period_number").distinct()
     if seg:
@@ -156,7 +157,7 @@ def r2(pred: DataFrame, seg: tuple[str, ...] = (), y: str = "value",
 def knn_test_predictions(cells: DataFrame, measure: str, p: Params) -> DataFrame:
     """k-NN trained on the training side, predicting the test side."""
     _, places = MATRIX_MEASURES[measure]
-    s = split(matrix_cells(cells, measure, p), p)
+    s = materialize(split(matrix_cells(cells, measure, p), p))
     train = s.where(~F.col("is_test"))
     test = s.where(F.col("is_test"))
     return knn_regress(train, test, p.knn_k, places, p.segment_cols)
@@ -167,9 +168,9 @@ def knn_filled(cells: DataFrame, measure: str, p: Params) -> DataFrame:
     empty cells (model trained on the training side only, as the reference
     does), flagged ``is_predicted``."""
     _, places = MATRIX_MEASURES[measure]
-    s = split(matrix_cells(cells, measure, p), p)
+    s = materialize(split(matrix_cells(cells, measure, p), p))
     train = s.where(~F.col("is_test"))
-    miss = missing_cells(cells, measure, p)
+    miss = materialize(missing_cells(cells, measure, p, s))
     pred = knn_regress(train, miss, p.knn_k, places, p.segment_cols)
     return _fill(s.drop("is_test"), pred, p)
 
@@ -262,7 +263,7 @@ def best_filled(cells: DataFrame, measure: str, p: Params) -> DataFrame:
     segments every segment uses its own best model."""
     _, places = MATRIX_MEASURES[measure]
     scores, models, s = fit_and_score(cells, measure, p)
-    miss = missing_cells(cells, measure, p)
+    miss = materialize(missing_cells(cells, measure, p, s))
     seg = list(p.segment_cols)
     # one small row decides which model's predictions are computed at all
     names = [scores.where("is_best").select("model").first()[0]] if not seg else list(MODEL_ORDER)
