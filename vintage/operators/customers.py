@@ -150,8 +150,11 @@ def segments(cells: DataFrame, cohort_cust: DataFrame, p: Params) -> DataFrame:
     written once instead of re-deriving the profile chain twice."""
     cust = materialize(customer_ltv(cohort_cust, p))
     qc, qk = _threshold_frames(cells, cust)
-    q = {k: qc.select(k).scalar() for k in qc.columns}
-    q.update({k: qk.select(k).scalar() for k in qk.columns})
+    # one scalar subquery per quantile frame, fields read from its struct
+    sc = qc.select(F.struct(*qc.columns)).scalar()
+    sk = qk.select(F.struct(*qk.columns)).scalar()
+    q = {k: sc.getField(k) for k in qc.columns}
+    q.update({k: sk.getField(k) for k in qk.columns})
     ltv = F.col("traditional_ltv")
     seg = (F.when(ltv < q["cells_q50"], F.lit("low_cltv"))
            .when((q["customers_q50"] <= ltv) & (ltv < q["customers_q80"]), F.lit("medium_cltv"))
