@@ -30,6 +30,14 @@ def _join_null_safe(left: DataFrame, right: DataFrame, keys: list[str]) -> DataF
     return left.join(r, cond, "inner").drop(*[f"_r_{k}" for k in keys])
 
 
+def _default_slices(spark) -> int:
+    """One slice per shuffle partition (or per core when that is not a number)."""
+    try:
+        return int(spark.conf.get("spark.sql.shuffle.partitions"))
+    except (TypeError, ValueError):
+        return spark.sparkContext.defaultParallelism
+
+
 def running_sum(df: DataFrame, group_cols: list[str], order_cols: list[Column | str],
                 weight: str | None = None, out: str = "_cum",
                 slices: int | None = None, total_out: str | None = None) -> DataFrame:
@@ -39,7 +47,7 @@ def running_sum(df: DataFrame, group_cols: list[str], order_cols: list[Column |
     this is ``row_number()``."""
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
-    n = slices or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = slices or _default_slices(spark)
     group_cols = list(group_cols)
     order = [F.col(c) if isinstance(c, str) else c for c in order_cols]
     w = F.col(weight).cast("bigint") if weight else F.lit(1).cast("bigint")
