@@ -95,3 +95,22 @@ def test_partition_independence(spark, golden):
         finally:
             spark.conf.set("spark.sql.shuffle.partitions", "8")
     assert run(1) == run(16)
+
+
+def test_segmented_segments_use_their_own_thresholds(spark, golden):
+    from vintage.operators.quantiles import exact_quantiles
+    p = P.with_(country=None, segment_cols=("country",))
+    cells = C.cohort_cells(golden, p)
+    cc = CU.cohort_customers(golden, cells, p)
+    got = CU.segments(cells, cc, p).collect()
+    assert {r.country for r in got} <= {"United Kingdom", "France"}
+    for country in {r.country for r in got}:
+        c_cells = cells.where(F.col("country") == country)
+        cust = CU.customer_ltv(cc, p).where(F.col("country") == country)
+        qc = exact_quantiles(c_cells, "traditional_ltv", [0.5, 0.8]).first()
+        qk = exact_quantiles(cust, "traditional_ltv", [0.5, 0.8]).first()
+        for r in (x for x in got if x.country == country):
+            v = r.traditional_ltv
+            exp = ("low_cltv" if v < qc.q50 else "medium_cltv" if qk.q50 <= v < qk.q80
+                   else "high_cltv" if v >= qc.q80 else "unknown")
+            assert r.traditional_ltv_segments == exp

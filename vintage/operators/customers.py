@@ -149,6 +149,8 @@ def segments(cells: DataFrame, cohort_cust: DataFrame, p: Params) -> DataFrame:
     customer table feeds both the output and its own quantiles, so it is
     written once instead of re-deriving the profile chain twice."""
     cust = materialize(customer_ltv(cohort_cust, p))
+    if p.segment_cols:
+        return _segments_by_segment(cells, cust, p)
     qc, qk = _threshold_frames(cells, cust)
     # one scalar subquery per quantile frame, fields read from its struct
     sc = qc.select(F.struct(*qc.columns)).scalar()
@@ -161,3 +163,20 @@ def segments(cells: DataFrame, cohort_cust: DataFrame, p: Params) -> DataFrame:
            .when(ltv >= q["cells_q80"], F.lit("high_cltv"))
            .otherwise(F.lit("unknown")))
     return cust.withColumn("traditional_ltv_segments", seg)
+
+
+def _segments_by_segment(cells: DataFrame, cust: DataFrame, p: Params) -> DataFrame:
+    """K16 with ``segment_cols``: every segment gets its own four thresholds
+    (grouped exact quantiles, one row per segment) joined on the segment."""
+    seg = tuple(p.segment_cols)
+    qc = exact_quantiles(cells, "traditional_ltv", [0.5, 0.8], ["cells_q50", "cells_q80"],
+                         group_cols=seg, bounded_values=True)
+    qk = exact_quantiles(cust, "traditional_ltv", [0.5, 0.8], ["customers_q50", "customers_q80"],
+                         group_cols=seg, bounded_values=True)
+    j = cust.join(qc, list(seg), "left").join(qk, list(seg), "left")
+    ltv = F.col("traditional_ltv")
+    seg_label = (F.when(ltv < F.col("cells_q50"), F.lit("low_cltv"))
+                 .when((F.col("customers_q50") <= ltv) & (ltv < F.col("customers_q80")), F.lit("medium_cltv"))
+                 .when(ltv >= F.col("cells_q80"), F.lit("high_cltv"))
+                 .otherwise(F.lit("unknown")))
+    return j.select(*cust.columns, seg_label.alias("traditional_ltv_segments"))
