@@ -50,3 +50,23 @@ def test_r2(spark):
     exp = 1 - ((y - p) ** 2).sum() / ((y - y.mean()) ** 2).sum()
     assert abs(r2(df).first().r2 - exp) < 1e-12
     assert r2(df.withColumn("prediction", F.col("value"))).first().r2 == 1.0
+
+
+def test_segmented_fill_equals_per_segment_runs(spark):
+    from conftest import SF
+    from vintage.operators import cells as C
+    from vintage.operators.impute import knn_filled
+    from vintage.params import FIXTURE_PARAMS
+    from vintage.session import materialize
+    from vintage.sources import transactions_from_tables
+
+    p_seg = FIXTURE_PARAMS.with_(country=None, segment_cols=("country",))
+    cells = materialize(C.cohort_cells(transactions_from_tables(spark, SF), p_seg))
+    seg = knn_filled(cells, "retention", p_seg)
+    countries = [r.country for r in cells.select("country").distinct().collect()][:3]
+    for country in countries:
+        one = cells.where(F.col("country") == country).drop("country")
+        solo = knn_filled(one, "retention", FIXTURE_PARAMS.with_(country=None))
+        part = seg.where(F.col("country") == country).drop("country")
+        assert part.exceptAll(solo.select(*part.columns)).count() == 0
+        assert solo.select(*part.columns).exceptAll(part).count() == 0
