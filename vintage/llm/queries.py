@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vintage.llm import sharding, token_counts, token_output
+from vintage.llm import fingerprint, sharding, token_counts, token_output
 from vintage.llm.common import scratch, table
 
 
@@ -13,6 +13,11 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op6_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Homomorphic fingerprints of all documents and their edited texts."""
+    return fingerprint.fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Greedy word-piece lengths of all documents."""
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
@@ -33,5 +38,5 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "start", "n_tokens", "ids_crc32")
 
 
-QUERIES = {f.__name__: f for f in (op7_token_counts, op9_sharding, op10_token_output)}
+QUERIES = {f.__name__: f for f in (op6_fingerprint, op7_token_counts, op9_sharding, op10_token_output)}
 ORACLES: dict[str, str] = {}
