@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import re
+import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,7 +17,25 @@ from vintage.session import ensure_checkpoint_dir
 WORD = re.compile(r"\w+")
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the executors this package, once per application, for functions
+    that run in their Python workers."""
+    sc = spark.sparkContext
+    if sc.applicationId not in _SHIPPED:
+        _SHIPPED.add(sc.applicationId)
+        package = Path(__file__).resolve().parents[1]
+        at = Path(tempfile.mkdtemp(prefix="vintage-code-")) / "vintage_code.zip"
+        with zipfile.ZipFile(at, "w") as z:
+            for f in sorted(package.rglob("*.py")):
+                z.write(f, f.relative_to(package.parent))
+        sc.addPyFile(str(at))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -90,3 +111,11 @@ def positions(df: DataFrame, order: list[str], group: list[str] | None = None,
 def text_key(text: Column) -> Column:
     """Breaks ties between rows of one id; equal for equal texts."""
     return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: the planner then
+    knows its size, and joins broadcast it only below Spark's threshold."""
+    spark, path = df.sparkSession, scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vintage.llm import fingerprint, sharding, token_counts, token_output
+from vintage.llm import fingerprint, sharding, token_counts, token_output, warc
 from vintage.llm.common import scratch, table
 
 
@@ -13,6 +13,28 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written as WARC records and read back."""
+    out = scratch(spark, "warc")
+    warc.write_archive(table(spark, sf_dir, "pages"), out, least=100)
+    return warc.read_archive(spark, out).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP2_SQL = """
+with p as (
+  select page_id, coalesce(html, '') as body from pages
+), d as (
+  select page_id, octet_length(encode(body)) as payload_bytes, sha256(encode(body)) as payload_digest from p
+), f as (
+  select *, min(page_id) over (partition by payload_digest) as first_id from d
+)
+select page_id, payload_bytes, payload_digest,
+       case when payload_bytes >= 100 and first_id is not null and page_id is distinct from first_id
+            then 'revisit' else 'response' end as record_type,
+       case when payload_bytes >= 100 and page_id is distinct from first_id then first_id end as refers_to
+from f"""
+
+
 def op6_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Homomorphic fingerprints of all documents and their edited texts."""
     return fingerprint.fingerprints(table(spark, sf_dir, "documents"))
@@ -38,5 +60,5 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "start", "n_tokens", "ids_crc32")
 
 
-QUERIES = {f.__name__: f for f in (op6_fingerprint, op7_token_counts, op9_sharding, op10_token_output)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op2_warc, op6_fingerprint, op7_token_counts, op9_sharding, op10_token_output)}
+ORACLES: dict[str, str] = {"op2_warc": OP2_SQL}
