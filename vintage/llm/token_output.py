@@ -24,6 +24,7 @@ from __future__ import annotations
 import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,8 +40,11 @@ MAGIC = b"VTGIDS01"
 TAIL = struct.Struct("<QQ8s")  # directory bytes, payload bytes, magic
 #: Text bytes a shard file takes, about; a longer document has a longer file.
 SHARD_BYTES = 24 << 20
-#: Pieces of text whose ids a worker remembers.
+#: Words whose ids a worker remembers.
 REMEMBERED = 250_000
+#: How byte-level vocabularies write the space.
+SPACE = "Ġ"
+MARKS = ".,;:!?"
 #: No pre-token of byte-level BPE reaches over a space that a non-space follows.
 BEFORE_WORD = re.compile(r" (?=\S)")
 
@@ -166,37 +170,79 @@ class Shard:
 # --- encoding ---------------------------------------------------------------
 
 class Pieces(dict):
-    """piece of text -> bytes of its ids, for at most REMEMBERED pieces."""
+    """word -> bytes of the ids of " " + word. The first REMEMBERED words that
+    come along stay; later ones are kept for one call only."""
 
-    def __init__(self, tokenizer, width: int):
+    def __init__(self, path: str, width: int):
         super().__init__()
-        self.tokenizer, self.kind = tokenizer, f"<u{width}"
-
-    def learn(self, pieces: list[str]) -> None:
-        if len(self) + len(pieces) > REMEMBERED:
-            self.clear()
-        for piece, e in zip(pieces, self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False), strict=True):
-            self[piece] = np.array(e.ids, self.kind).tobytes()
-
-    def encode(self, text: str) -> bytes:
-        first, *rest = BEFORE_WORD.split(text)
-        pieces = [first, *[" " + x for x in rest]]
-        for i in range(0, len(pieces), 100_000):
-            if new := {x for x in pieces[i:i + 100_000] if x not in self}:
-                self.learn(list(new))
-        try:
-            return b"".join([self[x] for x in pieces])
-        except KeyError:  # more pieces than are remembered
-            out = []
-            for i in range(0, len(pieces), 100_000):
-                self.learn(list({x for x in pieces[i:i + 100_000] if x not in self}))
-                out += [self[x] for x in pieces[i:i + 100_000]]
-            return b"".join(out)
+        from tokenizers import pre_tokenizers
+        self.width, self.general, self.letters = width, load_tokenizer(path), load_tokenizer(path)
+        self.letters.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.opens = np.array([(self.general.id_to_token(i) or "").startswith(SPACE)
+                               for i in range(self.general.get_vocab_size())])
+        self.marks = dict(zip(MARKS, self.one_by_one(list(MARKS)), strict=True))
+
+    def raw(self, ids: list[int]) -> bytes:
+        return array({2: "H", 4: "I"}[self.width], ids).tobytes()
+
+    def one_by_one(self, pieces: list[str]) -> Iterator[bytes]:
+        for i in range(0, len(pieces), 1_000):
+            for e in self.general.encode_batch_fast(pieces[i:i + 1_000], add_special_tokens=False):
+                yield self.raw(e.ids)
+
+    def together(self, words: list[str], tokenizer) -> Iterator[bytes]:
+        """Ids of " " + word: where an id's token opens with a space, the
+        next word begins."""
+        for i in range(0, len(words), 1_000):
+            own = [" " + w for w in words[i:i + 1_000]]
+            ids = tokenizer.encode_batch_fast([own], is_pretokenized=True, add_special_tokens=False)[0].ids
+            raw, at = self.raw(ids), (np.flatnonzero(self.opens[ids]) * self.width).tolist()
+            for low, high in zip(at, [*at[1:], len(raw)], strict=True):
+                yield raw[low:high]
+
+    def learn(self, words: set[str]) -> list[str]:
+        """Add the words that aren't there; returns all that were added.
+        Letters only are one pre-token after a space, and a closing mark is
+        one by itself."""
+        marked = [w for w in words if w[-1:] in self.marks and w[:-1].isalpha()]
+        words = words.difference(marked).union(w[:-1] for w in marked).difference(self)
+        plain = [w for w in words if w.isalpha()]
+        other = list(words.difference(plain))
+        self.update(zip(plain, self.together(plain, self.letters), strict=True))
+        spaced = [w for w in other if " " in w]
+        other = [w for w in other if " " not in w]
+        self.update(zip(other, self.together(other, self.general), strict=True))
+        self.update(zip(spaced, self.one_by_one([" " + w for w in spaced]), strict=True))
+        self.update((w, self[w[:-1]] + self.marks[w[-1]]) for w in marked)
+        return plain + other + spaced + marked
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Bytes of the ids of each text."""
+        split = [BEFORE_WORD.split(t) for t in texts]
+        firsts = self.one_by_one([x[0] for x in split])
+        new = self.learn(set().union(*[x[1:] for x in split]).difference(self))
+        out = [first + b"".join([self[x] for x in rest]) for first, (_, *rest) in zip(firsts, split, strict=True)]
+        for word in new[max(0, REMEMBERED - len(self) + len(new)):]:
+            del self[word]
+        return out
 
 
 _PIECES: dict[tuple[str, int], Pieces] = {}
 
 
+def portions(texts: pa.Array, size: int = 1 << 20) -> Iterator[list[str]]:
+    """The texts (null: empty) in lists of about ``size`` characters."""
+    own, held = [], 0
+    for text in texts:
+        own.append(text.as_py() or "")
+        held += len(own[-1])
+        if held >= size:
+            yield own
+            own, held = [], 0
+    if own:
+        yield own
+
+
 def load_tokenizer(path: str):
     from tokenizers import Tokenizer
     return Tokenizer.from_file(path)
@@ -217,23 +263,16 @@ def write_token_files(docs: DataFrame, out: str, tokenizer: str, end_id: int = 2
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if (tokenizer, width) not in _PIECES:
-            _PIECES[tokenizer, width] = Pieces(load_tokenizer(tokenizer), width)
+            _PIECES[tokenizer, width] = Pieces(tokenizer, width)
         pieces = _PIECES[tokenizer, width]
         keys, lengths, payload = [], [], 0
         for batch in batches:
-            rows, held = [], 0
             keys += batch.column(0).to_pylist()
-            for text in batch.column(1):
-                ids = pieces.encode(text.as_py() or "")
-                lengths.append(len(ids) // width + 1)
-                rows.append(ids)
-                held += len(ids)
-                if held > 8 << 20:
-                    yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary())], ["ids"])
-                    payload, rows, held = payload + held + len(rows) * width, [], 0
-            if rows:
+            for texts in portions(batch.column(1)):
+                rows = pieces.encode(texts)
+                lengths += [len(ids) // width + 1 for ids in rows]
+                payload += sum(map(len, rows)) + len(rows) * width
                 yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary())], ["ids"])
-                payload += held + len(rows) * width
         if keys:
             yield pa.RecordBatch.from_arrays([pa.array([directory(keys, lengths, payload)], pa.binary())], ["ids"])
 
