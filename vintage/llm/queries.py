@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vintage.llm import fingerprint, sharding, token_counts, token_output, warc
+from vintage.llm import fingerprint, mixing, sharding, token_counts, token_output, warc
 from vintage.llm.common import scratch, table
 
 
@@ -35,6 +35,11 @@ select page_id, payload_bytes, payload_digest,
 from f"""
 
 
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents mixed to the sources' targets."""
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
 def op6_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Homomorphic fingerprints of all documents and their edited texts."""
     return fingerprint.fingerprints(table(spark, sf_dir, "documents"))
@@ -60,5 +65,5 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "start", "n_tokens", "ids_crc32")
 
 
-QUERIES = {f.__name__: f for f in (op2_warc, op6_fingerprint, op7_token_counts, op9_sharding, op10_token_output)}
+QUERIES = {f.__name__: f for f in (op2_warc, op4_mixing, op6_fingerprint, op7_token_counts, op9_sharding, op10_token_output)}
 ORACLES: dict[str, str] = {"op2_warc": OP2_SQL}
