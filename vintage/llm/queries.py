@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vintage.llm import fingerprint, mixing, sharding, token_counts, token_output, warc
+from vintage.llm import fingerprint, mixing, sharding, token_counts, token_output, toxicity, warc
 from vintage.llm.common import scratch, table
 
 
@@ -13,6 +13,11 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of all documents, learned from labels that aren't held out."""
+    return toxicity.held_out_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages written as WARC records and read back."""
     out = scratch(spark, "warc")
@@ -65,5 +70,5 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "start", "n_tokens", "ids_crc32")
 
 
-QUERIES = {f.__name__: f for f in (op2_warc, op4_mixing, op6_fingerprint, op7_token_counts, op9_sharding, op10_token_output)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_warc, op4_mixing, op6_fingerprint, op7_token_counts, op9_sharding, op10_token_output)}
 ORACLES: dict[str, str] = {"op2_warc": OP2_SQL}
