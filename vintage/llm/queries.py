@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vintage.llm import fingerprint, mixing, sharding, token_counts, token_output, toxicity, warc
+from vintage.llm import fingerprint, mixing, ngram_join, sharding, token_counts, token_output, toxicity, warc
 from vintage.llm.common import scratch, table
 
 
@@ -55,6 +55,11 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
 
 
+def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with their class of near duplicates and their links."""
+    return ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents shuffled into 40 shards; the law is `rows`."""
     from pyspark.sql import functions as F
@@ -70,5 +75,5 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "start", "n_tokens", "ids_crc32")
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_warc, op4_mixing, op6_fingerprint, op7_token_counts, op9_sharding, op10_token_output)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_warc, op4_mixing, op6_fingerprint, op7_token_counts, op8_ngram_join, op9_sharding, op10_token_output)}
 ORACLES: dict[str, str] = {"op2_warc": OP2_SQL}
