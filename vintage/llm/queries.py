@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vintage.llm import fingerprint, mixing, ngram_join, sharding, token_counts, token_output, toxicity, warc
+from vintage.llm import decontaminate, fingerprint, mixing, ngram_join, sharding, token_counts, token_output, toxicity, warc
 from vintage.llm.common import scratch, table
 
 
@@ -40,6 +40,11 @@ select page_id, payload_bytes, payload_digest,
 from f"""
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents that hold an item of the benchmark, copied or paraphrased."""
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("_text")
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents mixed to the sources' targets."""
     return mixing.mix(table(spark, sf_dir, "documents"))
@@ -75,5 +80,5 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "start", "n_tokens", "ids_crc32")
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_warc, op4_mixing, op6_fingerprint, op7_token_counts, op8_ngram_join, op9_sharding, op10_token_output)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_warc, op3_decontamination, op4_mixing, op6_fingerprint, op7_token_counts, op8_ngram_join, op9_sharding, op10_token_output)}
 ORACLES: dict[str, str] = {"op2_warc": OP2_SQL}
