@@ -41,12 +41,13 @@ TAIL = struct.Struct("<QQ8s")  # directory bytes, payload bytes, magic
 #: Text bytes a shard file takes, about; a longer document has a longer file.
 SHARD_BYTES = 24 << 20
 #: Words whose ids a worker remembers.
-REMEMBERED = 250_000
+REMEMBERED = 350_000
 #: How byte-level vocabularies write the space.
 SPACE = "Ġ"
 MARKS = ".,;:!?"
 #: No pre-token of byte-level BPE reaches over a space that a non-space follows.
 BEFORE_WORD = re.compile(r" (?=\S)")
+OPEN_SPACE = re.compile(r" (?:\s|\Z)")
 
 
 # --- minimal perfect hash ---------------------------------------------------
@@ -169,12 +170,12 @@ class Shard:
 
 # --- encoding ---------------------------------------------------------------
 
-class Pieces(dict):
-    """word -> bytes of the ids of " " + word. The first REMEMBERED words that
-    come along stay; later ones are kept for one call only."""
+class Pieces:
+    """``known``: word -> bytes of the ids of " " + word. The first REMEMBERED
+    words that come along stay; later ones are kept for one call only."""
 
     def __init__(self, path: str, width: int):
-        super().__init__()
+        self.known: dict[str, bytes] = {}
         from tokenizers import pre_tokenizers
         self.width, self.general, self.letters = width, load_tokenizer(path), load_tokenizer(path)
         self.letters.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
@@ -205,32 +206,34 @@ class Pieces(dict):
         Letters only are one pre-token after a space, and a closing mark is
         one by itself."""
         marked = [w for w in words if w[-1:] in self.marks and w[:-1].isalpha()]
-        words = words.difference(marked).union(w[:-1] for w in marked).difference(self)
+        words = words.difference(marked).union([w[:-1] for w in marked]).difference(self.known)
         plain = [w for w in words if w.isalpha()]
         other = list(words.difference(plain))
-        self.update(zip(plain, self.together(plain, self.letters), strict=True))
         spaced = [w for w in other if " " in w]
         other = [w for w in other if " " not in w]
-        self.update(zip(other, self.together(other, self.general), strict=True))
-        self.update(zip(spaced, self.one_by_one([" " + w for w in spaced]), strict=True))
-        self.update((w, self[w[:-1]] + self.marks[w[-1]]) for w in marked)
+        known = self.known
+        known.update(zip(plain, self.together(plain, self.letters), strict=True))
+        known.update(zip(other, self.together(other, self.general), strict=True))
+        known.update(zip(spaced, self.one_by_one([" " + w for w in spaced]), strict=True))
+        known.update([(w, known[w[:-1]] + self.marks[w[-1]]) for w in marked])
         return plain + other + spaced + marked
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Bytes of the ids of each text."""
-        split = [BEFORE_WORD.split(t) for t in texts]
-        firsts = self.one_by_one([x[0] for x in split])
-        new = self.learn(set().union(*[x[1:] for x in split]).difference(self))
-        out = [first + b"".join([self[x] for x in rest]) for first, (_, *rest) in zip(firsts, split, strict=True)]
-        for word in new[max(0, REMEMBERED - len(self) + len(new)):]:
-            del self[word]
+        split = [BEFORE_WORD.split(t) if OPEN_SPACE.search(t) else t.split(" ") for t in texts]
+        firsts = list(self.one_by_one([x.pop(0) for x in split]))
+        new = self.learn(set().union(*split).difference(self.known))
+        get = self.known.__getitem__
+        out = [first + b"".join(map(get, rest)) for first, rest in zip(firsts, split, strict=True)]
+        for word in new[max(0, REMEMBERED - len(self.known) + len(new)):]:
+            del self.known[word]
         return out
 
 
 _PIECES: dict[tuple[str, int], Pieces] = {}
 
 
-def portions(texts: pa.Array, size: int = 1 << 20) -> Iterator[list[str]]:
+def portions(texts: pa.Array, size: int = 1 << 21) -> Iterator[list[str]]:
     """The texts (null: empty) in lists of about ``size`` characters."""
     own, held = [], 0
     for text in texts:
