@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vintage.llm import decontaminate, fingerprint, mixing, ngram_join, sharding, token_counts, token_output, toxicity, warc
+from vintage.llm import decontaminate, fingerprint, langid, mixing, ngram_join, sharding, token_counts, token_output, toxicity, warc
 from vintage.llm.common import scratch, table
 
 
@@ -50,6 +50,19 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of all documents and of all pages: kind, doc_id (of a
+    document), page_id (of a page), lang, posterior, text_lang, kept."""
+    from pyspark.sql import functions as F
+    docs = table(spark, sf_dir, "documents")
+    model = langid.document_model(docs)
+    none = F.lit(None).cast("long")
+    rows = langid.document_evidence(docs).drop("_text").withColumn("kind", F.lit("document")).withColumn("page_id", none)
+    pages = langid.page_evidence(table(spark, sf_dir, "pages")).withColumn("kind", F.lit("page")).withColumn("doc_id", none)
+    own = ["kind", "doc_id", "page_id"]
+    return langid.identify(rows, model, own).unionByName(langid.identify(pages, model, own))
+
+
 def op6_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Homomorphic fingerprints of all documents and their edited texts."""
     return fingerprint.fingerprints(table(spark, sf_dir, "documents"))
@@ -80,5 +93,5 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "start", "n_tokens", "ids_crc32")
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_warc, op3_decontamination, op4_mixing, op6_fingerprint, op7_token_counts, op8_ngram_join, op9_sharding, op10_token_output)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_warc, op3_decontamination, op4_mixing, op5_language_id, op6_fingerprint, op7_token_counts, op8_ngram_join, op9_sharding, op10_token_output)}
 ORACLES: dict[str, str] = {"op2_warc": OP2_SQL}
