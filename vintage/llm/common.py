@@ -119,3 +119,13 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     spark, path = df.sparkSession, scratch(df.sparkSession, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def free(df: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores in front where ``df`` has such a column."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        out.append(name)
+    return out

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vintage.llm.common import cut, staged, text_key, words
+from vintage.llm.common import cut, free, staged, text_key, words
 from vintage.llm.token_output import portions
 
 #: Items searched at a time; bounds the latent space and what is broadcast.
@@ -336,6 +336,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` in which no item was found."""
-    bad = staged(contaminated(docs, benchmark).select(F.col("doc_id").alias("_id"), F.col("_text").alias("_key")).distinct(), "leaks")
-    rows = docs.withColumn("_t", text_key(F.col("text")))
-    return rows.join(bad, (F.col("_t") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti").drop("_t")
+    key, own_id, own_key = free(docs, "t", "id", "key")
+    bad = staged(contaminated(docs, benchmark).select(F.col("doc_id").alias(own_id), F.col("_text").alias(own_key)).distinct(), "leaks")
+    rows = docs.withColumn(key, text_key(F.col("text")))
+    return rows.join(bad, (rows[key] == bad[own_key]) & rows["doc_id"].eqNullSafe(bad[own_id]), "left_anti").drop(key)

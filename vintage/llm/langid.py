@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vintage.llm.common import cut, staged, text_key, words
+from vintage.llm.common import cut, free, staged, text_key, words
 from vintage.llm.token_output import portions
 
 BUCKETS = 1 << 16
@@ -227,6 +227,7 @@ def document_model(docs: DataFrame, bound: int = BOUND) -> TextModel:
 def in_known_languages(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are kept."""
     decided = identify(document_evidence(docs), document_model(docs), ["doc_id", "_text"])
-    out = staged(decided.where("not kept").select(F.col("doc_id").alias("_id"), F.col("_text").alias("_key")).distinct(), "rejected")
-    rows = docs.withColumn("_t", text_key(F.col("text")))
-    return rows.join(out, (F.col("_t") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti").drop("_t")
+    key, own_id, own_key = free(docs, "t", "id", "key")
+    out = staged(decided.where("not kept").select(F.col("doc_id").alias(own_id), F.col("_text").alias(own_key)).distinct(), "rejected")
+    rows = docs.withColumn(key, text_key(F.col("text")))
+    return rows.join(out, (rows[key] == out[own_key]) & rows["doc_id"].eqNullSafe(out[own_id]), "left_anti").drop(key)

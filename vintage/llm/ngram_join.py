@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vintage.llm.common import WordHashes, cut, words
+from vintage.llm.common import WordHashes, cut, free, words
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 26, 4
@@ -332,7 +332,8 @@ def one_of_each(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     with the smallest doc_id (nulls last), one of equal rows."""
     _, texts = link_texts(docs, threshold)
     first = F.min(F.struct(F.col("copy_id").isNull().alias("none"), "copy_id", "key"))
-    kept = texts.groupBy("root").agg(first.alias("k")).select(F.col("k.key").alias("_key"), F.col("k.copy_id").alias("_id"))
-    rows = docs.withColumn("_text", text_id(F.col("text")))
-    rows = rows.join(kept, (F.col("_text") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    return rows.dropDuplicates(["_text"]).drop("_text")
+    key, own_id, own_key = free(docs, "t", "id", "key")
+    kept = texts.groupBy("root").agg(first.alias("k")).select(F.col("k.key").alias(own_key), F.col("k.copy_id").alias(own_id))
+    rows = docs.withColumn(key, text_id(F.col("text")))
+    rows = rows.join(kept, (rows[key] == kept[own_key]) & rows["doc_id"].eqNullSafe(kept[own_id]), "left_semi")
+    return rows.dropDuplicates([key]).drop(key)
