@@ -331,15 +331,14 @@ def lookup(spark: SparkSession, path: str, keys: DataFrame, width: int) -> DataF
 
     def fetch(_, left, right):
         import pandas as pd
-        if left.empty or right.empty:
-            return pd.DataFrame({"doc_id": [], "ids": []})
-        shard, out = Shard(right["content"].iloc[0], width), []
-        own = left["doc_id"].to_numpy()
-        for k, i in zip(own.tolist(), shard.find(own).tolist(), strict=True):
+        out, own = [], left["doc_id"].to_numpy() if len(right) else np.zeros(0, np.int64)
+        shard = Shard(right["content"].iloc[0], width) if len(own) else None
+        for k, i in zip(own.tolist(), shard.find(own).tolist() if shard else [], strict=True):
             while 0 <= i < len(shard.lengths) and shard.keys[i - shard.nulls] == k:
                 out.append((k, shard.document(i).tolist()))
                 i += 1
-        return pd.DataFrame(out, columns=["doc_id", "ids"])
+        return pd.DataFrame({"doc_id": pd.Series([k for k, _ in out], dtype="int64"),
+                             "ids": pd.Series([x for _, x in out], dtype=object)})
 
     files = _shard_files(spark, path)
     table = cut(files.mapInArrow(ranges, "shard string, low long, high long"))
