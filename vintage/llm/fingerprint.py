@@ -60,8 +60,11 @@ class Sum:
         with np.errstate(over="ignore"):
             return Sum(self.exact - other.exact, self.like - other.like)
 
+    def __bytes__(self) -> bytes:
+        return self.exact.astype(">u8").tobytes() + self.like.astype(">i4").tobytes()
+
     def __str__(self) -> str:
-        return self.exact.astype(">u8").tobytes().hex() + self.like.astype(">i4").tobytes().hex()
+        return bytes(self).hex()
 
     @classmethod
     def parse(cls, fingerprint: str) -> Sum:
@@ -154,13 +157,14 @@ def finish(doc: Hashed, nxt: Hashed, breaks: int) -> tuple:
         edited = edited + (nxt.upto[breaks] - nxt.upto[1]) + sum_of([lent[lent.rfind("\n") + 1:]])
     whole = doc.text[:doc.half] + lent
     return (doc.doc_id, len(doc.text), hashlib.sha256(whole.encode("utf-8", "surrogatepass")).hexdigest(),
-            str(doc.sum), str(edited), likeness(doc.sum, edited), likeness(doc.sum, nxt.sum))
+            bytes(doc.sum), bytes(edited), likeness(doc.sum, edited), likeness(doc.sum, nxt.sum))
 
 
-RESULT = ("doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, "
-          "near_edited double, near_next double")
+#: The fingerprints stay raw bytes up to the result, where they are written in hex.
+ROW = ("doc_id long, n_chars long, edited_sha256 string, fingerprint binary, edited_fingerprint binary, "
+       "near_edited double, near_next double")
 _ARROW = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()),
-                    ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()),
+                    ("fingerprint", pa.binary()), ("edited_fingerprint", pa.binary()), ("near_edited", pa.float64()),
                     ("near_next", pa.float64()), ("slice", pa.int32()), ("end", pa.string()), ("text", pa.string())])
 _BLANK = (None,) * 6
 
@@ -209,17 +213,18 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """One row per document: see RESULT. The texts are shuffled once, by
+    """One row per document: fingerprints in hex. The texts are shuffled once, by
     range of doc_id; only the documents at the slices' ends are joined."""
     order = [F.col("doc_id").desc_nulls_last(), F.col("_text").desc()]
     sliced = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", text_key(F.col("text")).alias("_text"))
               .repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text"))
-    done = cut(sliced.mapInArrow(_within, f"{RESULT}, slice int, end string, text string"))
-    names = [x.split()[0] for x in RESULT.split(", ")]
+    done = cut(sliced.mapInArrow(_within, f"{ROW}, slice int, end string, text string"))
+    names = [x.split()[0] for x in ROW.split(", ")]
     heads = done.where("end = 'head'").select("slice", F.col("doc_id").alias("next_id"), F.col("text").alias("lent"))
     w = W.orderBy("slice")
     follow = heads.select("slice", F.coalesce(F.lead("slice").over(w), F.first("slice").over(
         w.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))).alias("following"))
     ends = (done.where("end = 'tail'").select("doc_id", "text", "slice").join(follow, "slice")
             .join(heads.withColumnRenamed("slice", "following"), "following").select("doc_id", "text", "next_id", "lent"))
-    return done.where("end is null").select(*names).unionByName(ends.mapInArrow(_across, RESULT))
+    rows = done.where("end is null").select(*names).unionByName(ends.mapInArrow(_across, ROW))
+    return rows.withColumns({c: F.lower(F.hex(c)) for c in ("fingerprint", "edited_fingerprint")})
