@@ -6,7 +6,6 @@ Layers:
   operators/  DataFrame -> DataFrame building blocks (profile, clean, cells,
               customers, matrix, impute, ranking, quantiles)
   plans/      the named query catalogue and its DuckDB oracle SQL
-  streaming/  incremental cell maintenance over a file stream
 """
 
 from vintage.params import Params

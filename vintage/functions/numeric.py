@@ -73,10 +73,54 @@ def stable_avg(c, places: int, over=None) -> Column:
     )
 
 
-def label(c, fmt: str, places: int | None = None) -> Column:
-    """Text label of a number, rounded numpy-style first so that the printed
-    digits do not depend on the formatter's own tie rule."""
-    c = _c(c)
-    if places is not None:
-        c = rnd(c, places)
-    return F.format_string(fmt, c)
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often it is used."""
+    return F.transform(F.array(value), body)[0]
+
+
+def fixed(c, places: int) -> Column:
+    """Text of a double with ``places`` decimals as Python's ``f`` format
+    prints it: the exact binary value decides, ties go to the even digit.
+
+    The fraction f = x - floor(x) is exact; scaled by 2^62 it is a whole
+    number, so the digit and its remainder are whole-number arithmetic. For
+    short tables (labels): the steps are bound one by one, not compiled."""
+    one, ten = F.lit(2 ** 62).cast("decimal(20,0)"), F.lit(10 ** places).cast("decimal(6,0)")
+
+    def digits(size: Column) -> Column:
+        part = ((size - F.floor(size)) * F.lit(float(2 ** 62))).cast("bigint").cast("decimal(20,0)")
+        return _let((part * ten).cast("decimal(26,0)"), lambda scaled: _let(
+            F.call_function("div", scaled, one), lambda digit: _let(
+                ((scaled - digit.cast("decimal(10,0)") * one) * 2).cast("decimal(26,0)"), lambda twice: _let(
+                    (F.floor(size).cast("decimal(20,0)") * ten + digit.cast("decimal(10,0)")).cast("decimal(30,0)"), lambda whole:
+                    (whole + F.when((twice > one) | ((twice == one) & (whole % 2 == 1)), 1).otherwise(0)).cast("decimal(38,0)")))))
+
+    def dotted(text: Column) -> Column:
+        text = F.lpad(text, F.greatest(F.length(text), F.lit(places + 1)), F.lit("0"))
+        return F.regexp_replace(text, f"(.{{{places}}})$", ".$1") if places else text
+
+    def shown(x: Column) -> Column:
+        size = F.abs(x)
+        finite = F.concat(F.when(x < 0, F.lit("-")).otherwise(F.lit("")), dotted(digits(size).cast("string")))
+        return (F.when(x.isNull(), F.lit(None).cast("string")).when(F.isnan(x), F.lit("nan")).when(x == F.lit(float("inf")), F.lit("inf"))
+                .when(x == F.lit(float("-inf")), F.lit("-inf")).when(size < F.lit(1e18), finite)
+                .otherwise(F.format_string(f"%.{places}f", x)))
+
+    return _let(_c(c).cast("double"), shown)
+
+
+def general(c) -> Column:
+    """Text of a number of at most one decimal in Python's ``g`` format: six
+    significant digits, no trailing zeros, an exponent from 10^6 on."""
+    def shown(x: Column) -> Column:
+        size = F.abs(x)
+        short = F.regexp_replace(F.when(size < F.lit(99999.95), fixed(x, 1)).otherwise(fixed(x, 0)), r"\.0$", "")
+        out = F.when(x.isNull(), F.lit(None).cast("string")).when(F.isnan(x) | (size == F.lit(float("inf"))), fixed(x, 1)).when(size < F.lit(999999.5), short)
+        exact = x.try_cast("decimal(25,1)")
+        for e in range(6, 18):
+            at = F.bround(exact, 5 - e)
+            text = F.regexp_replace((at / F.lit(10 ** e).cast("decimal(18,0)")).cast("decimal(10,5)").cast("string"), r"\.?0+$", "")
+            out = out.when(F.abs(at) < F.lit(10 ** (e + 1)).cast("decimal(20,0)"), F.concat(text, F.lit(f"e+{e:02d}")))
+        return out.otherwise(F.format_string("%.5e", x))
+
+    return _let(_c(c).cast("double"), shown)

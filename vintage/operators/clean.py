@@ -47,12 +47,18 @@ def clean(txn: DataFrame, p: Params) -> DataFrame:
     return exclude_returns(keep_scope(fill_amount(drop_incomplete(txn)), p))
 
 
+def known_segments(df: DataFrame, p: Params) -> DataFrame:
+    """Rows with a null segment key belong to no segment: group-by drops them
+    (T5), so they leave before either branch groups."""
+    return df.dropna(subset=list(p.segment_cols)) if p.segment_cols else df
+
+
 def branch_a(txn: DataFrame, p: Params) -> DataFrame:
     """K1: cleaned rows with ``cohort`` (supplied first month) and
     ``txn_month``; only the columns the cell aggregates need survive, so the
     scan reads no more than that."""
     seg = list(p.segment_cols)
-    return clean(txn, p).select(
+    return known_segments(clean(txn, p), p).select(
         *seg,
         month_start("first_transaction_month").alias("cohort"),
         month_start("transaction_date").alias("txn_month"),
@@ -111,5 +117,5 @@ def branch_b_grouped(txn: DataFrame, p: Params, keys: list[str], aggs: list) ->
     and month equals grouping by cell and customer; aggregating first shrinks
     the join's large side from rows to groups, and the partial aggregate
     spreads a hot customer over many tasks (its keys vary)."""
-    pre = _dated(txn, p).groupBy("customer_id", "txn_month", *keys).agg(*aggs)
+    pre = known_segments(_dated(txn, p), p).groupBy("customer_id", "txn_month", *keys).agg(*aggs)
     return with_cohort(pre, first_transaction(txn), p)

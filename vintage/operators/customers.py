@@ -29,7 +29,7 @@ from vintage.session import materialize
 
 ITEM_KEYS = ("customer_id", "product_type", "transaction_item_code", "transaction_item_description")
 
-# Cell columns zeroed on every profile row except the first of its cell.
+# Cell columns zeroed on every profile row except the first of its cell.
 ZEROED_DOUBLE = ("no_of_cust_purchases", "retention_rate_pc", "retention_rate_for_cltv",
                  "retention_rate_cohort_avg", "churn_rate_pc", "revenue", "cumulative_revenue",
                  "avg_revenue_per_user", "avg_profit_margin_per_cohort", "traditional_ltv")
@@ -47,7 +47,7 @@ def profile_agg(txn: DataFrame, p: Params) -> DataFrame:
     per (customer, month, item) before the cohort join (see
     ``branch_b_grouped``)."""
     item = ["product_type", "transaction_item_code", "transaction_item_description"]
-    rows = txn.dropna(subset=list(ITEM_KEYS))
+    rows = txn.dropna(subset=list(ITEM_KEYS))  # null segments go in branch B
     pre = branch_b_grouped(rows, p, [*p.segment_cols, *item], [
         F.countDistinct("transaction_id").alias("transaction_id"),
         F.coalesce(F.sum("quantity"), F.lit(0).cast("bigint")).alias("quantity"),

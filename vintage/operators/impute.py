@@ -25,14 +25,15 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vintage.functions import rnd, stable_avg
+from vintage.functions import fixed, stable_avg
 from vintage.operators.matrix import abs_rates, observed
 from vintage.params import FOREST_TREES, MODEL_SEED, Params
 from vintage.session import materialize
 
 # measure -> (cell column, decimals of its values)
 MATRIX_MEASURES = {"retention": ("retention_rate_abs_val", 4), "ltv": ("traditional_ltv", 1)}
-MODEL_ORDER = ("Random Forest", "Bayesian", "KNN")  # the reference's order; ties go to the first
+# The model names in the reference's order; ties go to the first.
+MODEL_ORDER = ("Random Forest", "Bayesian", "KNN")
 
 
 def _index(df: DataFrame, seg: list[str], col: str, out: str) -> DataFrame:
@@ -185,26 +186,52 @@ def _fill(obs: DataFrame, pred: DataFrame, p: Params) -> DataFrame:
                                     F.col("prediction").alias("value"),
                                     F.lit(True).alias("is_predicted"))))
     v = F.col("value")
-    return out.withColumn("label", F.when(v.isNotNull(), F.format_string("%.2f", rnd(v, 2))))
+    return out.withColumn("label", F.when(v.isNotNull(), fixed(v, 2)))
 
 
 # ---------------------------------------------------------------- MLlib models
-def _assemble(df: DataFrame, p: Params) -> DataFrame:
-    from pyspark.ml.feature import VectorAssembler
-    inputs = ["row_idx", "col_idx"]
+def assembler(m: DataFrame, p: Params):
+    """Features of a matrix: the two indices and, with segments, the segment
+    as an unordered category (one model for all segments, whose trees split
+    on sets of segments). Returns a function that adds ``features``."""
+    from pyspark.ml.feature import StringIndexer, VectorAssembler
+    inputs, indexer = ["row_idx", "col_idx"], None
+    name = F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in p.segment_cols])
     if p.segment_cols:
-        df = df.withColumn("_seg_key", F.xxhash64(*p.segment_cols).cast("double"))
-        inputs.append("_seg_key")
-    return VectorAssembler(inputCols=inputs, outputCol="features").transform(df)
+        indexer = StringIndexer(inputCol="_segment", outputCol="_seg_key", handleInvalid="keep").fit(
+            m.withColumn("_segment", name))
+        inputs = [*inputs, "_seg_key"]
+    vector = VectorAssembler(inputCols=inputs, outputCol="features")
+
+    def add(df: DataFrame) -> DataFrame:
+        if indexer is not None:
+            df = indexer.transform(df.withColumn("_segment", name)).drop("_segment")
+        return vector.transform(df)
+    return add
+
+
+def bins_for(m: DataFrame, p: Params) -> int:
+    """``maxBins`` that keeps every split between two indices (and every
+    segment) possible: the largest number of distinct values, plus the
+    category of unknown segments."""
+    counts = [F.countDistinct("row_idx"), F.countDistinct("col_idx")]
+    if p.segment_cols:
+        counts.append(F.countDistinct(F.struct(*p.segment_cols)))
+    return max(2, *[(n or 0) + 1 for n in m.agg(*counts).first()])
+
 
+#: Deepest trees that MLlib grows; the reference's forest has no limit.
+MAX_DEPTH = 30
 
-def tree_models(max_bins: int = 128):
-    """L2 + L3: the forest (100 trees, seed 42, all features per split, deep
-    trees as sklearn's unlimited depth) and boosted trees (100 rounds, rate
-    0.1, 31-leaf-sized trees, at least 20 rows per leaf)."""
+
+def tree_models(max_bins: int):
+    """L2 + L3: the forest (100 trees, seed 42, all features per split,
+    MLlib's greatest depth) and boosted trees (100 rounds, rate 0.1,
+    31-leaf-sized trees, at least 20 rows per leaf). ``max_bins``: see
+    :func:`bins_for`."""
     from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
     rf = RandomForestRegressor(featuresCol="features", labelCol="value", predictionCol="prediction",
-                               numTrees=FOREST_TREES, seed=MODEL_SEED, maxDepth=20,
+                               numTrees=FOREST_TREES, seed=MODEL_SEED, maxDepth=MAX_DEPTH,
                                featureSubsetStrategy="all", maxBins=max_bins, minInstancesPerNode=1,
                                # more nodes per pass over the data and cached node ids: fewer
                                # passes for deep trees, identical trees
@@ -220,13 +247,14 @@ def fit_and_score(cells: DataFrame, measure: str, p: Params):
     training side and score R² on the test side. The three fits run as
     concurrent Spark jobs (each is a chain of small jobs on a matrix-sized
     input, so one alone leaves most cores idle). Returns (scores, fitted
-    tree models, split cells)."""
+    tree models, split cells, assembler)."""
     from concurrent.futures import ThreadPoolExecutor
 
     _, places = MATRIX_MEASURES[measure]
     s = materialize(split(matrix_cells(cells, measure, p), p))
-    train = _assemble(s.where(~F.col("is_test")), p)
-    test = _assemble(s.where(F.col("is_test")), p)
+    assemble = assembler(s, p)
+    train = assemble(s.where(~F.col("is_test")))
+    test = assemble(s.where(F.col("is_test")))
 
     def fit_tree(item):
         name, est = item
@@ -239,7 +267,7 @@ def fit_and_score(cells: DataFrame, measure: str, p: Params):
         return "KNN", None, materialize(r2(pred, p.segment_cols))
 
     with ThreadPoolExecutor(max_workers=3) as pool:
-        futures = [pool.submit(fit_tree, it) for it in tree_models().items()] + [pool.submit(fit_knn)]
+        futures = [pool.submit(fit_tree, it) for it in tree_models(bins_for(s, p)).items()] + [pool.submit(fit_knn)]
         results = [f.result() for f in futures]
     scores = reduce(lambda a, b: a.unionByName(b),
                     [sc.withColumn("model", F.lit(name)) for name, _, sc in results])
@@ -248,7 +276,7 @@ def fit_and_score(cells: DataFrame, measure: str, p: Params):
     w = Window.partitionBy(*p.segment_cols).orderBy(F.col("r2").desc_nulls_last(), "_order")
     scores = (scores.withColumn("is_best", F.row_number().over(w) == 1).drop("_order")
               .select(*p.segment_cols, "model", "r2", "is_best"))
-    return scores, {name: m for name, m, _ in results if m is not None}, s
+    return scores, {name: m for name, m, _ in results if m is not None}, s, assemble
 
 
 def model_scores(cells: DataFrame, measure: str, p: Params) -> DataFrame:
@@ -262,7 +290,7 @@ def best_filled(cells: DataFrame, measure: str, p: Params) -> DataFrame:
     side only, not refitted), observed cells kept, predictions flagged. With
     segments every segment uses its own best model."""
     _, places = MATRIX_MEASURES[measure]
-    scores, models, s = fit_and_score(cells, measure, p)
+    scores, models, s, assemble = fit_and_score(cells, measure, p)
     miss = materialize(missing_cells(cells, measure, p, s))
     seg = list(p.segment_cols)
     # one small row decides which model's predictions are computed at all
@@ -272,7 +300,7 @@ def best_filled(cells: DataFrame, measure: str, p: Params) -> DataFrame:
         if name == "KNN":
             pred = knn_regress(s.where(~F.col("is_test")), miss, p.knn_k, places, p.segment_cols)
         else:
-            pred = models[name].transform(_assemble(miss, p)).drop("features", "_seg_key")
+            pred = models[name].transform(assemble(miss)).drop("features", "_seg_key")
         if seg:
             chosen = scores.where(F.col("is_best") & (F.col("model") == name)).select(*seg)
             pred = pred.join(chosen, seg, "left_semi")
@@ -306,13 +334,13 @@ def random_search(cells: DataFrame, measure: str, p: Params, n_iter: int = 100,
     keys = list(SEARCH_SPACE)
     combos = [dict(zip(keys, vals)) for vals in _product([SEARCH_SPACE[k] for k in keys])]
     draws = rng.sample(combos, min(n_iter, len(combos)))
-    rf = RandomForestRegressor(featuresCol="features", labelCol="value", maxBins=128)
+    s = materialize(split(matrix_cells(cells, measure, p), p))
+    rf = RandomForestRegressor(featuresCol="features", labelCol="value", maxBins=bins_for(s, p))
     strategy = {"auto": "all", "sqrt": "sqrt", "log2": "log2"}
-    maps = [{rf.numTrees: d["n_estimators"], rf.maxDepth: d["max_depth"] or 30,
+    maps = [{rf.numTrees: d["n_estimators"], rf.maxDepth: d["max_depth"] or MAX_DEPTH,
              rf.minInstancesPerNode: max(d["min_samples_leaf"], (d["min_samples_split"] + 1) // 2),
              rf.featureSubsetStrategy: strategy[d["max_features"]]} for d in draws]
-    s = split(matrix_cells(cells, measure, p), p)
-    train = _assemble(s.where(~F.col("is_test")), p).cache()
+    train = assembler(s, p)(s.where(~F.col("is_test"))).cache()
     cv = CrossValidator(estimator=rf, estimatorParamMaps=maps, numFolds=folds, seed=seed,
                         evaluator=RegressionEvaluator(labelCol="value", metricName="r2"),
                         parallelism=parallelism)

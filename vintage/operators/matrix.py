@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vintage.functions import rnd, stable_avg
+from vintage.functions import fixed, general, stable_avg
 from vintage.params import Params
 
 # measure name -> (cell column, decimals it carries)
@@ -42,16 +42,19 @@ def observed(cells: DataFrame, value: str, p: Params) -> DataFrame:
                     F.col(value).alias("value")))
 
 
-def pivot(cells: DataFrame, value: str, p: Params) -> DataFrame:
-    """M1: cohort rows x period columns (mean per cell = the value)."""
+def pivot(cells: DataFrame, value: str, p: Params, periods: list[int] | None = None) -> DataFrame:
+    """M1: cohort rows x period columns (mean per cell = the value). With
+    ``periods`` the columns are those, in that order, and no job looks for
+    them; without, they are the periods that have a value."""
     return (observed(cells, value, p).groupBy(*p.segment_cols, "cohort")
-            .pivot("period_number").agg(F.avg("value")))
+            .pivot("period_number", periods).agg(F.avg("value")))
 
 
-def pivot_t(cells: DataFrame, value: str, p: Params) -> DataFrame:
-    """M2: period rows x cohort columns."""
+def pivot_t(cells: DataFrame, value: str, p: Params, cohorts: list[str] | None = None) -> DataFrame:
+    """M2: period rows x cohort columns (``cohorts``: labels YYYY-MM, as
+    ``periods`` of :func:`pivot`)."""
     return (observed(cells, value, p).groupBy(*p.segment_cols, "period_number")
-            .pivot("cohort").agg(F.avg("value")))
+            .pivot("cohort", cohorts).agg(F.avg("value")))
 
 
 def cohort_size(cells: DataFrame, value: str, p: Params) -> DataFrame:
@@ -75,32 +78,31 @@ def curve(cells: DataFrame, value: str, places: int, p: Params,
           max_period: int | None = None, fmt: str | None = None) -> DataFrame:
     """Mean of a measure per period number over cohorts (order
     independent, see ``stable_avg``), optionally only up to ``max_period``,
-    with a text label rounded numpy-style."""
+    with a text label: ``fmt`` holds the place of the mean with one decimal."""
     c = cells if max_period is None else cells.where(F.col("period_number") <= max_period)
     out = c.groupBy(*p.segment_cols, "period_number").agg(stable_avg(value, places).alias(value))
     if fmt is not None:
         y = F.col(value)
-        out = out.withColumn("label", F.when(y.isNotNull(), F.format_string(fmt, rnd(y, 1))))
+        out = out.withColumn("label", F.when(y.isNotNull(), F.format_string(fmt, fixed(y, 1))))
     return out
 
 
 def heatmap_frame(cells: DataFrame, measure: str, p: Params) -> DataFrame:
     """Long-form heatmap: cohort, period, value, annotation and the
     cohort-size side column. Rates are shown as fractions labelled ``0%``
-    (rounded half to even, as Python's ``%`` format does); LTV with one
-    decimal; counts as integers. The side column is the customer count at
-    the first period, except for LTV where it is the first LTV column."""
+    (rounded half to even, as Python's ``%`` format does); LTV and counts as
+    float text (``123.0``, ``inf``). The side column is the customer count at
+    the first period, except for LTV where it is the first LTV column; its
+    label has the ``g`` format."""
     col, _ = MEASURES[measure]
     seg = list(p.segment_cols)
     if measure in ("retention", "churn"):
         cells = abs_rates(cells)
         col = col.replace("_pc", "_abs_val")
         lab = F.format_string("%.0f%%", F.rint(F.col("value") * F.lit(100.0)))
-    elif measure == "ltv":
-        lab = F.format_string("%.1f", rnd(F.col("value"), 1))
     else:
-        lab = F.col("value").cast("string")
+        lab = fixed("value", 1)  # LTVs carry one decimal, counts none
     obs = observed(cells, col, p).withColumn("label", lab)
     size_col = "traditional_ltv" if measure == "ltv" else "no_of_customers"
     size = cohort_size(cells, size_col, p)
-    return obs.join(size, [*seg, "cohort"], "left")
+    return obs.join(size, [*seg, "cohort"], "left").withColumn("size_label", general("cohort_size"))

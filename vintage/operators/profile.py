@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from vintage.functions import rnd
 from vintage.operators.quantiles import exact_quantiles
+from vintage.session import materialize
 
 CATEGORICAL = ("frequency_of_payment", "product_type", "country")
 
@@ -39,19 +40,21 @@ def non_null_info(df: DataFrame) -> DataFrame:
 
 
 def columns(df: DataFrame) -> DataFrame:
-    """The column list (position, column)."""
-    return non_null_info(df).select("position", "column")
+    """The column list (position, column), each with its filled rows."""
+    return non_null_info(df).select("position", "column", "non_null")
 
 
 def dtypes(df: DataFrame) -> DataFrame:
-    """(column, type)."""
-    return non_null_info(df).select("column", "type")
+    """(column, type), each with its filled rows."""
+    return non_null_info(df).select("column", "type", "non_null")
 
 
 def columns_by_type(df: DataFrame) -> DataFrame:
-    """P5: columns grouped by type, sorted names joined with ', '."""
+    """P5: columns grouped by type, sorted names joined with ', ', and the
+    filled values of all columns of the type."""
     return (dtypes(df).groupBy("type")
-            .agg(F.concat_ws(", ", F.sort_array(F.collect_list("column"))).alias("columns")))
+            .agg(F.concat_ws(", ", F.sort_array(F.collect_list("column"))).alias("columns"),
+                 F.sum("non_null").cast("bigint").alias("non_null")))
 
 
 def null_counts(df: DataFrame) -> DataFrame:
@@ -88,27 +91,36 @@ NUMERIC = ("transaction_amount", "quantity")
 
 def describe(df: DataFrame, cols: tuple[str, ...] = NUMERIC) -> DataFrame:
     """Count, mean, sample std, min, 25/50/75 % (exact, linear) and max
-    per numeric column, in two passes over the table: one aggregate for the
-    moments of all columns, one value histogram of all columns (each row
-    exploded once per column) for the quantiles.
-
-    Sums are exact (decimal / bigint) and become double once, so the mean and
-    the variance do not depend on the order rows arrive in:
-    var = (Σx² - (Σx)²/n) / (n - 1); std is reported to 6 decimals.
+    per numeric column, in three passes over the table: an aggregate for the
+    means of all columns, one for the squares around them, one value
+    histogram of all columns (each row exploded once per column) for the
+    quantiles.
+
+    Sums are exact decimals and become double once, so mean and variance do
+    not depend on the order rows arrive in. With m the mean to two decimals
+    and d = x - m: var = (Σd² - (Σd)²/n) / (n - 1), where nothing cancels;
+    std is reported to 6 decimals.
     """
-    moments = df.agg(*[a for c in cols for a in (
+    exact = {c: F.col(c).cast("decimal(18,2)") for c in cols}
+    first = df.agg(*[a for c in cols for a in (
         F.count(c).alias(f"{c}__n"),
-        F.sum(F.col(c)).cast("double").alias(f"{c}__s"),
-        F.sum(F.col(c) * F.col(c)).cast("double").alias(f"{c}__ss"),
+        F.sum(exact[c]).cast("double").alias(f"{c}__s"),
         F.min(c).cast("double").alias(f"{c}__min"),
         F.max(c).cast("double").alias(f"{c}__max"))])
-    stats = moments.select(F.explode(F.array(*[
+    first = materialize(first.withColumns({f"{c}__m": F.when(
+        F.col(f"{c}__n") > 0, F.round(F.col(f"{c}__s") / F.col(f"{c}__n"), 2)).cast("decimal(18,2)") for c in cols}))
+    around = {c: exact[c] - first.select(f"{c}__m").scalar() for c in cols}
+    second = df.agg(*[a for c in cols for a in (
+        F.sum(around[c]).cast("double").alias(f"{c}__d"),
+        F.sum((around[c] * around[c]).cast("decimal(38,4)")).cast("double").alias(f"{c}__dd"))])
+    whole = second.select(F.struct(*second.columns)).scalar()
+    stats = first.withColumn("_w", whole).select(F.explode(F.array(*[
         F.struct(F.lit(c).alias("column"), F.col(f"{c}__n").alias("count"),
-                 F.col(f"{c}__s").alias("_s"), F.col(f"{c}__ss").alias("_ss"),
+                 F.col(f"{c}__s").alias("_s"), F.col(f"_w.{c}__d").alias("_d"), F.col(f"_w.{c}__dd").alias("_dd"),
                  F.col(f"{c}__min").alias("min"), F.col(f"{c}__max").alias("max"))
         for c in cols])).alias("_r")).select("_r.*")
     n = F.col("count")
-    var = (F.col("_ss") - (F.col("_s") * F.col("_s")) / n) / (n - F.lit(1))
+    var = (F.col("_dd") - (F.col("_d") * F.col("_d")) / n) / (n - F.lit(1))
     stats = stats.select(
         "column", "count",
         F.when(n > 0, F.col("_s") / n).alias("mean"),

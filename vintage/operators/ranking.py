@@ -5,14 +5,18 @@ cell, or one customer, can hold a third of all rows. Here the rows are range
 partitioned on (group, order) keys instead, so a hot group is cut into
 contiguous slices over many tasks:
 
-1. ``repartitionByRange(n, group + order)`` and tag each row with its slice id
-   (``spark_partition_id``); the slices are written once with ``checkpoint()``
-   so every later read sees the same slices, even after an executor is lost.
-2. Running sum inside each (slice, group) piece — a window whose partitions
-   are at most one slice.
+1. ``repartitionByRange(n, group + order)``, sort each slice and number its
+   rows (``monotonically_increasing_id``: slice and position in one number);
+   the slices are written once with ``checkpoint()`` so every later read sees
+   the same slices, even after an executor is lost.
+2. A row's position inside its (slice, group) piece is its number less the
+   piece's first number. Only a weighted sum needs a window over the piece.
 3. Per-(slice, group) totals (at most slices + groups rows) give each piece's
    offset by a running sum over the slices of its group.
 4. Join the offsets back on (slice, group).
+
+Slices hold about SLICE_BYTES of the files that the rows come from; there are
+at least as many as shuffle partitions.
 """
 
 from __future__ import annotations
@@ -30,12 +34,22 @@ def _join_null_safe(left: DataFrame, right: DataFrame, keys: list[str]) -> DataF
     return left.join(r, cond, "inner").drop(*[f"_r_{k}" for k in keys])
 
 
-def _default_slices(spark) -> int:
-    """One slice per shuffle partition (or per core when that is not a number)."""
+#: Bytes of input files a slice stands for when ``slices`` isn't given.
+SLICE_BYTES = 256 << 20
+
+
+def _default_slices(df: DataFrame) -> int:
+    """As many slices as the size of the input files asks for, and at least
+    one per shuffle partition."""
+    spark = df.sparkSession
     try:
-        return int(spark.conf.get("spark.sql.shuffle.partitions"))
+        least = int(spark.conf.get("spark.sql.shuffle.partitions"))
     except (TypeError, ValueError):
-        return spark.sparkContext.defaultParallelism
+        least = spark.sparkContext.defaultParallelism
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size())]
+    known = sum(x for x in sizes if x < 1 << 60)  # what has no size counts as endless
+    return max(least, -(-known // SLICE_BYTES))
 
 
 def running_sum(df: DataFrame, group_cols: list[str], order_cols: list[Column | str],
@@ -45,29 +59,31 @@ def running_sum(df: DataFrame, group_cols: list[str], order_cols: list[Column |
     over ``order_cols`` within ``group_cols`` (and ``total_out`` = the group's
     total, when named). With unique order keys inside a group and no weight
     this is ``row_number()``."""
-    spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    n = slices or _default_slices(spark)
+    ensure_checkpoint_dir(df.sparkSession)
+    n = slices or _default_slices(df)
     group_cols = list(group_cols)
     order = [F.col(c) if isinstance(c, str) else c for c in order_cols]
+    keys = [*[F.col(g) for g in group_cols], *order]
+    sliced = (df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
+              .withColumn("_id", F.monotonically_increasing_id())
+              .checkpoint(eager=True).withColumn("_slice", F.shiftrightunsigned("_id", 33)))
     w = F.col(weight).cast("bigint") if weight else F.lit(1).cast("bigint")
-    sliced = (df.withColumn("_w", w)
-              .repartitionByRange(n, *[F.col(g) for g in group_cols], *order)
-              .withColumn("_slice", F.spark_partition_id())
-              .checkpoint(eager=True))
-    piece = Window.partitionBy("_slice", *group_cols).orderBy(*order)
-    local = sliced.withColumn(
-        "_local", F.sum("_w").over(piece.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    totals = sliced.groupBy("_slice", *group_cols).agg(F.sum("_w").alias("_tot"))
+    totals = sliced.groupBy("_slice", *group_cols).agg(F.sum(w).alias("_tot"), F.min("_id").alias("_first"))
     before = Window.partitionBy(*group_cols).orderBy("_slice").rowsBetween(
         Window.unboundedPreceding, -1)
     extra = [F.sum("_tot").over(Window.partitionBy(*group_cols)).alias(total_out)] if total_out else []
-    offsets = totals.select("_slice", *group_cols,
+    offsets = totals.select("_slice", *group_cols, "_first",
                             F.coalesce(F.sum("_tot").over(before), F.lit(0).cast("bigint")).alias("_off"),
                             *extra)
-    joined = _join_null_safe(local, offsets, ["_slice", *group_cols])
-    return (joined.withColumn(out, F.col("_local") + F.col("_off"))
-            .drop("_w", "_slice", "_local", "_off"))
+    if weight:
+        piece = Window.partitionBy("_slice", *group_cols).orderBy("_id")
+        sliced = sliced.withColumn("_local", F.sum(w).over(piece.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+        local = F.col("_local")
+    else:
+        local = F.col("_id") - F.col("_first") + 1
+    joined = _join_null_safe(sliced, offsets, ["_slice", *group_cols])
+    return (joined.withColumn(out, local + F.col("_off"))
+            .drop("_id", "_slice", "_first", "_local", "_off"))
 
 
 def row_number_within(df: DataFrame, group_cols: list[str], order_cols: list[str],

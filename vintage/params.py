@@ -83,3 +83,14 @@ class Params:
 # Parameters for the driver-table mapping (FIXTURES.md §3): its dates run from
 # 1995-01 to 2001-08, so the cohort floor and the run month move with them.
 FIXTURE_PARAMS = Params(min_cohort="1995-02-01", as_of="2001-08-01")
+FIXTURE_FIRST_MONTH = "1995-01-01"
+
+
+def months_between(first: str, last: str) -> list[str]:
+    """Labels (YYYY-MM) of all months from ``first`` to ``last``."""
+    y, m = map(int, first.split("-")[:2])
+    out = []
+    while (label := f"{y:04d}-{m:02d}") <= last[:7]:
+        out.append(label)
+        y, m = (y, m + 1) if m < 12 else (y + 1, 1)
+    return out

@@ -11,11 +11,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from vintage.operators import cells as C
 from vintage.operators import clean as K
+from vintage.params import FIXTURE_FIRST_MONTH, months_between
 from vintage.params import FIXTURE_PARAMS as P
 from vintage.plans import oracle as O
 from vintage.plans.sqlfrag import with_ctes
 from vintage.session import materialize
-from vintage.sources import staged_transactions, transactions_from_tables
+from vintage.sources import transactions, transactions_from_tables
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, tuple[QueryFn, Callable[[], str] | None]] = {}
@@ -29,9 +30,8 @@ def register(name: str, sql: Callable[[], str] | None = None):
 
 
 def txn(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The transaction table, staged once per session (see
-    ``staged_transactions``)."""
-    return staged_transactions(spark, sf_dir)
+    """The transaction table (see ``sources.transactions``)."""
+    return transactions(spark, sf_dir)
 
 
 def _sql(ctes, final):
@@ -188,7 +188,7 @@ def q_head5(spark, sf):
     return PR.head(txn(spark, sf), 5)
 
 
-@register("columns", _info_sql('SELECT position, "column" FROM info'))
+@register("columns", _info_sql('SELECT position, "column", non_null FROM info'))
 def q_columns(spark, sf):
     """P2."""
     return PR.columns(txn(spark, sf))
@@ -200,14 +200,14 @@ def q_describe(spark, sf):
     return PR.describe(txn(spark, sf))
 
 
-@register("dtypes", _info_sql('SELECT "column", type FROM info'))
+@register("dtypes", _info_sql('SELECT "column", type, non_null FROM info'))
 def q_dtypes(spark, sf):
     """P4."""
     return PR.dtypes(txn(spark, sf))
 
 
 @register("columns_by_type", _info_sql(
-    "SELECT type, string_agg(\"column\", ', ' ORDER BY \"column\") AS columns FROM info GROUP BY type"))
+    "SELECT type, string_agg(\"column\", ', ' ORDER BY \"column\") AS columns, CAST(sum(non_null) AS BIGINT) AS non_null FROM info GROUP BY type"))
 def q_columns_by_type(spark, sf):
     """P5."""
     return PR.columns_by_type(txn(spark, sf))
@@ -322,16 +322,20 @@ def q_abs_rates(spark, sf):
         *_K.split(", "), "retention_rate_pc", "churn_rate_pc", "retention_rate_abs_val", "churn_rate_abs_val")
 
 
+COHORTS = months_between(FIXTURE_FIRST_MONTH, P.as_of)
+PERIODS = list(range(len(COHORTS)))
+
+
 def _register_measure(measure: str, column: str, places: int):
     def piv(spark, sf):
-        return MX.pivot(_cells(spark, sf), column, P)
+        return MX.pivot(_cells(spark, sf), column, P, PERIODS)
     piv.__doc__ = f"M1 on {column}."
-    register(f"pivot_{measure}", lambda: O.pivot_sql(P, column))(piv)
+    register(f"pivot_{measure}", lambda: O.pivot_sql(P, column, PERIODS))(piv)
 
     def piv_t(spark, sf):
-        return MX.pivot_t(_cells(spark, sf), column, P)
+        return MX.pivot_t(_cells(spark, sf), column, P, COHORTS)
     piv_t.__doc__ = f"M2 on {column}."
-    register(f"pivot_t_{measure}", lambda: O.pivot_t_sql(P, column))(piv_t)
+    register(f"pivot_t_{measure}", lambda: O.pivot_t_sql(P, column, COHORTS))(piv_t)
 
     def heat(spark, sf):
         return MX.heatmap_frame(_cells(spark, sf), measure, P)
@@ -358,13 +362,13 @@ def q_cohort_size_ltv(spark, sf):
 @register("curve_retention", lambda: O.curve_sql(P, "retention_rate_pc", 2, None, "%.1f%%"))
 def q_curve_retention(spark, sf):
     """K18 + K21."""
-    return MX.curve(_cells(spark, sf), "retention_rate_pc", 2, P, None, "%.1f%%")
+    return MX.curve(_cells(spark, sf), "retention_rate_pc", 2, P, None, "%s%%")
 
 
 @register("curve_ltv", lambda: O.curve_sql(P, "traditional_ltv", 1, P.max_period, "$%.1f"))
 def q_curve_ltv(spark, sf):
     """K19 + K21."""
-    return MX.curve(_cells(spark, sf), "traditional_ltv", 1, P, P.max_period, "$%.1f")
+    return MX.curve(_cells(spark, sf), "traditional_ltv", 1, P, P.max_period, "$%s")
 
 
 # ---------------------------------------------------------------- imputation

@@ -66,7 +66,7 @@ def cells_ctes(p: Params) -> CTE:
     rows_a = f"""SELECT {cols(seg)}{", " if seg else ""}{month_start("first_transaction_month")} AS cohort,
   {month_start("transaction_date")} AS txn_month, customer_id,
   COALESCE(transaction_amount, CAST(0 AS DECIMAL(18,2))) AS transaction_amount
-FROM transactions WHERE {clean_where(p)}"""
+FROM transactions WHERE {clean_where(p)}{"".join(f" AND {c} IS NOT NULL" for c in seg)}"""
     n = "count(DISTINCT customer_id)" if p.distinct_customers else "count(customer_id)"
     counts = f"""SELECT {cols(seg, "cohort", "txn_month")}, {n} AS no_of_customers,
   sum(transaction_amount) AS revenue_dec, {month_diff("txn_month", "cohort")} AS period_number
@@ -107,7 +107,7 @@ def purchases_ctes(p: Params) -> CTE:
     purch = f"""SELECT {k}, count(DISTINCT transaction_id) AS total_transactions,
   count(DISTINCT customer_id) AS total_customers,
   {rnd("count(DISTINCT transaction_id) / count(DISTINCT customer_id)", 1)} AS no_of_cust_purchases
-FROM rows_b GROUP BY {k}"""
+FROM rows_b{" WHERE " + " AND ".join(f"{c} IS NOT NULL" for c in seg) if seg else ""} GROUP BY {k}"""
     return [("purch", purch)]
 
 
@@ -177,8 +177,11 @@ def head_sql(n: int = 5) -> str:
 def describe_sql(cols_: tuple[str, ...] = ("transaction_amount", "quantity")) -> str:
     parts = []
     for c in cols_:
-        s, ss, n = f"CAST(sum({c}) AS DOUBLE)", f"CAST(sum({c} * {c}) AS DOUBLE)", f"count({c})"
-        var = f"(({ss} - ({s} * {s}) / {n}) / ({n} - 1))"
+        s, n = f"CAST(sum(CAST({c} AS DECIMAL(18,2))) AS DOUBLE)", f"count({c})"
+        mid = f"(SELECT CAST(round({s} / count({c}), 2) AS DECIMAL(18,2)) FROM transactions)"
+        d = f"(CAST({c} AS DECIMAL(18,2)) - {mid})"
+        s1, s2 = f"CAST(sum({d}) AS DOUBLE)", f"CAST(sum({d} * {d}) AS DOUBLE)"
+        var = f"(({s2} - ({s1} * {s1}) / {n}) / ({n} - 1))"
         parts.append(f"""SELECT '{c}' AS "column", {n} AS count,
   CASE WHEN {n} > 0 THEN {s} / {n} END AS mean,
   CASE WHEN {n} > 1 THEN {rnd(f"sqrt(greatest({var}, {dbl(0.0)}))", 6)} END AS std,
@@ -283,14 +286,14 @@ def obs_sql(value: str) -> str:
             f"FROM abs_cells WHERE {value} IS NOT NULL")
 
 
-def pivot_sql(p: Params, value: str) -> str:
-    return with_ctes(matrix_ctes(p), f"SELECT * FROM (PIVOT ({obs_sql(value)}) ON period_number "
-                                     f"USING avg(value) GROUP BY cohort)")
+def pivot_sql(p: Params, value: str, periods: list[int]) -> str:
+    wide = ", ".join(f'avg(value) FILTER (WHERE period_number = {k}) AS "{k}"' for k in periods)
+    return with_ctes(matrix_ctes(p), f"SELECT cohort, {wide} FROM ({obs_sql(value)}) GROUP BY cohort")
 
 
-def pivot_t_sql(p: Params, value: str) -> str:
-    return with_ctes(matrix_ctes(p), f"SELECT * FROM (PIVOT ({obs_sql(value)}) ON cohort "
-                                     f"USING avg(value) GROUP BY period_number)")
+def pivot_t_sql(p: Params, value: str, cohorts: list[str]) -> str:
+    wide = ", ".join(f"avg(value) FILTER (WHERE cohort = '{c}') AS \"{c}\"" for c in cohorts)
+    return with_ctes(matrix_ctes(p), f"SELECT period_number, {wide} FROM ({obs_sql(value)}) GROUP BY period_number")
 
 
 def cohort_size_ctes(p: Params, value: str, name: str = "size") -> CTE:
@@ -309,7 +312,7 @@ def cohort_size_sql(p: Params, value: str) -> str:
 def curve_sql(p: Params, value: str, places: int, max_period: int | None, fmt: str | None) -> str:
     where = f"WHERE period_number <= {max_period}" if max_period is not None else ""
     y = stable_avg(value, places)
-    lab = f", CASE WHEN {y} IS NOT NULL THEN printf('{fmt}', {rnd(y, 1)}) END AS label" if fmt else ""
+    lab = f", CASE WHEN {y} IS NOT NULL THEN printf('{fmt}', {y}) END AS label" if fmt else ""
     return with_ctes(matrix_ctes(p),
                      f"SELECT period_number, {y} AS {value}{lab} FROM abs_cells {where} GROUP BY period_number")
 
@@ -319,13 +322,12 @@ def heatmap_sql(p: Params, measure: str) -> str:
     if measure in ("retention", "churn"):
         col = col.replace("_pc", "_abs_val")
         lab = f"printf('%.0f%%', round_even(value * {dbl(100.0)}, 0))"
-    elif measure == "ltv":
-        lab = f"printf('%.1f', {rnd('value', 1)})"
     else:
-        lab = "CAST(value AS VARCHAR)"
+        lab = "printf('%.1f', CAST(value AS DOUBLE))"
     size_col = "traditional_ltv" if measure == "ltv" else "no_of_customers"
     ctes = [*matrix_ctes(p), ("obs_m", obs_sql(col)), *cohort_size_ctes(p, size_col)]
-    return with_ctes(ctes, f"SELECT o.cohort, o.period_number, o.value, {lab} AS label, s.cohort_size "
+    return with_ctes(ctes, f"SELECT o.cohort, o.period_number, o.value, {lab} AS label, s.cohort_size, "
+                           f"printf('%g', CAST(s.cohort_size AS DOUBLE)) AS size_label "
                            f"FROM obs_m o LEFT JOIN size s USING (cohort)")
 
 
@@ -362,7 +364,7 @@ WHERE rk <= {p.knn_k} GROUP BY row_idx, col_idx"""
     / {_fold_sum("(value - ybar) * (value - ybar)")} AS r2
 FROM (SELECT *, (SELECT {_fold_sum("value")} / count(*) FROM test_pred WHERE prediction IS NOT NULL) AS ybar
       FROM test_pred WHERE prediction IS NOT NULL)"""
-    filled = f"""SELECT *, CASE WHEN value IS NOT NULL THEN printf('%.2f', {rnd("value", 2)}) END AS label FROM (
+    filled = f"""SELECT *, CASE WHEN value IS NOT NULL THEN printf('%.2f', value) END AS label FROM (
 SELECT row_idx, col_idx, cohort, period_number, value, FALSE AS is_predicted FROM mcells
 UNION ALL
 SELECT m.row_idx, m.col_idx, m.cohort, m.period_number, k.prediction AS value, TRUE AS is_predicted

@@ -9,6 +9,7 @@ configured, as in tests.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -37,8 +38,9 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the session's checkpoint directory, setting a local scratch one
-    only when the session has none (local runs and tests)."""
+    """Return the session's checkpoint directory. When it has none, a local
+    run (tests, one machine) gets a scratch folder; on a cluster executors
+    would write to their own disks, so that is an error."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
@@ -47,6 +49,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if conf:
         sc.setCheckpointDir(conf)
         return sc.getCheckpointDir()
+    if not re.match(r"local(\[|$)", sc.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     path = tempfile.mkdtemp(prefix="vintage-ckpt-")
     sc.setCheckpointDir(path)
     return sc.getCheckpointDir()
