@@ -17,8 +17,8 @@ A word is a run of characters other than space and U+0009 to U+000D. Null and
 empty texts have no words: they keep their row, with 0 taken. A null source is
 a source. Documents of one source and doc_id (nulls first) follow a hash of
 their text. An empty table gives an empty result. The table of sources is
-held as arrays of a scalar subquery, so sources may be many thousands, not as
-many as documents."""
+held as constant arrays, so sources may be many thousands, not as many as
+documents."""
 
 from __future__ import annotations
 
@@ -33,6 +33,8 @@ SPACES = r"\x20\x09-\x0D"
 WEIGHTS, LIMIT = (5, 2, 1), 3
 #: Words in a block, blocks in an output shard.
 BLOCK, SHARD = 64, 8192
+#: Slots that a task lists, about.
+TASK = 200_000
 SEED = 4
 
 
@@ -69,19 +71,16 @@ def targets(sizes: DataFrame, block: int = BLOCK) -> DataFrame:
                       F.coalesce(before, F.lit(0)).alias("before"))
 
 
-def _column(table: DataFrame, *names: str) -> Column:
-    """Columns of a small table as one scalar: an array of structs in the order of nr."""
-    return table.agg(F.array_sort(F.collect_list(F.struct("nr", *names))).alias("a")).scalar()
+def _columns(table: DataFrame, *names: str) -> dict[str, Column]:
+    """Columns of the table of sources as constant arrays in the order of nr."""
+    rows = sorted(table.select("nr", *names).collect())
+    return {n: F.lit([r[n] for r in rows]) if rows else F.array().cast("array<long>") for n in names}
 
 
-def _at(rows: Column, nr: Column, name: str) -> Column:
-    return F.get(rows, nr.cast("int"))[name]
-
-
-def _interval(rows: Column, value: Column, name: str) -> Column:
-    """Number of the last row whose ``name`` (ascending) is not above ``value``,
-    of several such rows with an empty interval the last."""
-    return F.size(F.filter(rows, lambda r: r[name] <= value)) - 1
+def _interval(starts: Column, value: Column) -> Column:
+    """Number of the last of the ascending ``starts`` that is not above
+    ``value``: of empty intervals at one place, the one that follows them."""
+    return F.size(F.filter(starts, lambda start: start <= value)) - 1
 
 
 def slots(sources: DataFrame, shard: int = SHARD, seed: int = SEED) -> DataFrame:
@@ -90,30 +89,31 @@ def slots(sources: DataFrame, shard: int = SHARD, seed: int = SEED) -> DataFrame
     total = sources.agg(F.sum("slots")).first()[0] or 0
     drawn = spark.range(total).select(_div(F.col("id"), shard).alias("shard"),
                                       F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(max(total, 1))).alias("v"))
-    drawn = drawn.withColumn("sources", _column(sources, "before"))
-    counts = cut(drawn.select("shard", _interval(F.col("sources"), F.col("v"), "before").alias("nr"))
+    before = _columns(sources, "before")["before"]
+    counts = cut(drawn.select("shard", _interval(before, F.col("v")).alias("nr"))
                  .groupBy("shard", "nr").agg(F.count(F.lit(1)).alias("n")))
     # draws beyond a source's slots fill the slots of those that fell short, in order
     got = counts.groupBy(F.col("nr").alias("_nr")).agg(F.sum("n").alias("got"))
     gap = sources.join(got, F.col("nr") == F.col("_nr"), "left").withColumn("got", F.coalesce("got", F.lit(0)))
     order = W.orderBy("nr").rowsBetween(W.unboundedPreceding, -1)
     over, short = F.greatest(F.col("got") - F.col("slots"), F.lit(0)), F.greatest(F.col("slots") - F.col("got"), F.lit(0))
-    gap = staged(gap.select("nr", "blocks", "slots", F.col("got").cast("long"),
-                            F.coalesce(F.sum(over).over(order), F.lit(0)).alias("over"),
-                            F.coalesce(F.sum(short).over(order), F.lit(0)).alias("short")), "sources")
+    gap = gap.select("nr", "blocks", "slots", F.col("got").cast("long"),
+                     F.coalesce(F.sum(over).over(order), F.lit(0)).alias("over"),
+                     F.coalesce(F.sum(short).over(order), F.lit(0)).alias("short"))
+    of = _columns(gap, "blocks", "slots", "got", "over", "short")
+    at = lambda name, nr: F.get(of[name], F.col(nr).cast("int"))
     first = F.coalesce(F.sum("n").over(W.partitionBy("nr").orderBy("shard").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     inside = F.coalesce(F.sum("n").over(W.partitionBy("shard").orderBy("nr").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    rows = (counts.withColumn("first", first).withColumn("inside", inside)
+    # a row stands for up to a shard's slots: dealt out before they are listed
+    tasks = max(spark.sparkContext.defaultParallelism, -(-total // TASK))
+    rows = (counts.withColumn("first", first).withColumn("inside", inside).repartition(tasks, "shard", "nr")
             .withColumn("of_shard", F.least(F.lit(shard), F.lit(total) - F.col("shard") * shard).cast("long"))
             .select("shard", "nr", "first", "inside", "of_shard", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("k")))
-    rows = rows.withColumn("sources", _column(gap, "blocks", "slots", "got", "over", "short"))
     rows = rows.withColumn("t", F.col("first") + F.col("k"))
-    spare = F.col("t") - _at(F.col("sources"), F.col("nr"), "slots") + _at(F.col("sources"), F.col("nr"), "over")
-    rows = rows.withColumn("spare", F.when(F.col("t") >= _at(F.col("sources"), F.col("nr"), "slots"), spare))
-    rows = rows.withColumn("to", F.when(F.col("spare").isNotNull(), _interval(F.col("sources"), F.col("spare"), "short")))
-    rows = rows.withColumn("t", F.coalesce(F.col("spare") - _at(F.col("sources"), F.col("to"), "short")
-                                           + _at(F.col("sources"), F.col("to"), "got"), F.col("t")))
-    rows = rows.withColumn("nr", F.coalesce("to", "nr")).withColumn("n", _at(F.col("sources"), F.col("nr"), "blocks"))
+    rows = rows.withColumn("spare", F.when(F.col("t") >= at("slots", "nr"), F.col("t") - at("slots", "nr") + at("over", "nr")))
+    rows = rows.withColumn("to", F.when(F.col("spare").isNotNull(), _interval(of["short"], F.col("spare"))))
+    rows = rows.withColumn("t", F.coalesce(F.col("spare") - at("short", "to") + at("got", "to"), F.col("t")))
+    rows = rows.withColumn("nr", F.coalesce("to", "nr")).withColumn("n", at("blocks", "nr"))
     key = lambda *c: F.pmod(F.xxhash64(F.lit(seed), *c), F.lit(PRIME).cast("long"))
     return rows.select(
         "shard", permute(F.col("inside") + F.col("k"), F.col("of_shard"), key(F.lit("shard"), F.col("shard"))).alias("slot"),
@@ -148,7 +148,7 @@ def mix(docs: DataFrame, block: int = BLOCK, shard: int = SHARD, seed: int = SEE
     uses = slots(sources, shard, seed).groupBy("nr", "block").agg(F.count(F.lit(1)).alias("uses"))
     own = ["doc_id", "size", "source_size", "target"]
     pieces = rows.where("size > 0").select(*own, "nr", "_at", F.explode(_blocks(block)).alias("block"))
-    pieces = pieces.withColumn("words", _overlap(block)[1]).join(uses, ["nr", "block"], "left")
+    pieces = pieces.withColumn("words", _overlap(block)[1]).join(uses.hint("merge"), ["nr", "block"], "left")
     taken = pieces.groupBy("nr", "_at", *own).agg(
         F.sum(F.col("words") * F.coalesce("uses", F.lit(0))).cast("long").alias("taken"))
     none = rows.where("size = 0").select(*own, F.lit(0).cast("long").alias("taken"))
@@ -174,5 +174,5 @@ def mixed_texts(docs: DataFrame, block: int = BLOCK, shard: int = SHARD, seed: i
         (F.least((b + 1) * block - F.col("_at"), F.col("size")) - low(b)).cast("int")), "").alias("text")))
     pieces = full.select("doc_id", "lang", "source", "nr", F.explode(piece).alias("p"))
     pieces = pieces.select("doc_id", "lang", "source", "nr", "p.block", "p.text")
-    return pieces.join(layout, ["nr", "block"]).select(
+    return pieces.join(layout.hint("merge"), ["nr", "block"]).select(
         "shard", "slot", "doc_id", "text", "lang", "source", F.char_length("text").cast("long").alias("n_chars"))
