@@ -65,7 +65,7 @@ def missing_cells(cells: DataFrame, measure: str, p: Params, m: DataFrame | None
     if seg:
         ncol = cols.groupBy(*seg).agg(F.count(F.lit(1)).alias("_nc"))
         grid = rows.join(ncol, seg).select(*seg, "row_idx", "cohort",
-                                           F.explode(F.sequence(F.lit(0), F.col("_nc") - 1)).alias("col_idx"))
+                                           F.explode(F.sequence(F.lit(0), (F.col("_nc") - 1).cast("int"))).alias("col_idx"))
     else:
         nc = cols.agg(F.count(F.lit(1))).scalar()
         grid = rows.select("row_idx", "cohort",

@@ -434,3 +434,17 @@ def q_cohort_cells_by_country(spark, sf):
     joins every partition key, so all cohort tables come from the same
     aggregates and windows."""
     return C.cohort_cells(txn(spark, sf), P_BY_COUNTRY)
+
+
+@register("segments_by_country", lambda: with_ctes(O.customers_ctes(P_BY_COUNTRY), "SELECT * FROM segments"))
+def q_segments_by_country(spark, sf):
+    """K16 with thresholds of each country."""
+    t = txn(spark, sf)
+    cells = materialize(C.cohort_cells(t, P_BY_COUNTRY))
+    return CU.segments(cells, CU.cohort_customers(t, cells, P_BY_COUNTRY), P_BY_COUNTRY)
+
+
+@register("knn_filled_by_country", lambda: O.impute_sql(P_BY_COUNTRY, "retention", "SELECT * FROM filled"))
+def q_knn_filled_by_country(spark, sf):
+    """M6, L11, K22 with k-NN on the matrix of each country."""
+    return IM.knn_filled(materialize(C.cohort_cells(txn(spark, sf), P_BY_COUNTRY)), "retention", P_BY_COUNTRY)

@@ -221,15 +221,18 @@ ZEROED_LONG = ("active_cust", "lost_cust")
 
 
 def customers_ctes(p: Params) -> CTE:
-    prof = f"""SELECT {CELL_KEY}, {ITEM_KEYS},
+    seg = tuple(p.segment_cols)
+    key = cols(seg, CELL_KEY)
+    own = "".join(f"{c}, " for c in seg)
+    prof = f"""SELECT {key}, {ITEM_KEYS},
   count(DISTINCT transaction_id) AS transaction_id,
   CAST(COALESCE(sum(quantity), 0) AS BIGINT) AS quantity,
   CAST(COALESCE(sum(transaction_amount), 0) AS DOUBLE) AS transaction_amount
 FROM rows_b
 WHERE customer_id IS NOT NULL AND product_type IS NOT NULL AND transaction_item_code IS NOT NULL
   AND transaction_item_description IS NOT NULL
-GROUP BY {CELL_KEY}, {ITEM_KEYS}"""
-    rn = f"""SELECT *, row_number() OVER (PARTITION BY {CELL_KEY} ORDER BY {ITEM_KEYS}) AS RN FROM prof"""
+GROUP BY {key}, {ITEM_KEYS}"""
+    rn = f"""SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY {ITEM_KEYS}) AS RN FROM prof"""
     sel = []
     for c in CELL_METRICS:
         if c in ZEROED_DOUBLE:
@@ -244,22 +247,23 @@ GROUP BY {CELL_KEY}, {ITEM_KEYS}"""
             sel.append(f"c.{c}")
     attributed = f"""SELECT r.*, {", ".join(sel)},
   CASE WHEN r.RN = 1 THEN COALESCE(c.total_customers, 0) ELSE 0 END AS total_acquired_customers
-FROM prof_rn r LEFT JOIN cells c USING ({CELL_KEY})"""
-    cc0 = f"""SELECT {CELL_KEY}, customer_id, min(traditional_ltv) AS cltv_interim
-FROM attributed GROUP BY {CELL_KEY}, customer_id"""
-    cc = f"""SELECT k.{CELL_KEY.replace(", ", ", k.")}, k.customer_id, k.cltv_interim,
+FROM prof_rn r LEFT JOIN cells c USING ({key})"""
+    cc0 = f"""SELECT {key}, customer_id, min(traditional_ltv) AS cltv_interim
+FROM attributed GROUP BY {key}, customer_id"""
+    cc = f"""SELECT k.{key.replace(", ", ", k.")}, k.customer_id, k.cltv_interim,
   {", ".join("c." + m for m in CELL_METRICS)}, 1 AS ltv_flag
-FROM cc0 k LEFT JOIN cells c USING ({CELL_KEY}) WHERE c.traditional_ltv IS NOT NULL"""
-    cust = """SELECT customer_id, max(cohort) AS cohort, max(period_number) AS period_number,
-  max(traditional_ltv) AS traditional_ltv FROM cohort_customers GROUP BY customer_id"""
-    th = f"""SELECT {quantile_sql("cells", "traditional_ltv", 0.5)} AS cells_q50,
-  {quantile_sql("cells", "traditional_ltv", 0.8)} AS cells_q80,
-  {quantile_sql("customers_ltv", "traditional_ltv", 0.5)} AS customers_q50,
-  {quantile_sql("customers_ltv", "traditional_ltv", 0.8)} AS customers_q80"""
-    segs = """SELECT u.*, CASE WHEN u.traditional_ltv < t.cells_q50 THEN 'low_cltv'
+FROM cc0 k LEFT JOIN cells c USING ({key}) WHERE c.traditional_ltv IS NOT NULL"""
+    cust = f"""SELECT {own}customer_id, max(cohort) AS cohort, max(period_number) AS period_number,
+  max(traditional_ltv) AS traditional_ltv FROM cohort_customers GROUP BY {own}customer_id"""
+    same = " AND ".join(f"{c} = s.{c}" for c in seg) or "TRUE"
+    q = lambda src, at: quantile_sql(src, "traditional_ltv", at, same)
+    th = f"""SELECT {own}{q("cells", 0.5)} AS cells_q50, {q("cells", 0.8)} AS cells_q80,
+  {q("customers_ltv", 0.5)} AS customers_q50, {q("customers_ltv", 0.8)} AS customers_q80
+{f"FROM (SELECT DISTINCT {own[:-2]} FROM cells) s" if seg else ""}"""
+    segs = f"""SELECT u.*, CASE WHEN u.traditional_ltv < t.cells_q50 THEN 'low_cltv'
   WHEN t.customers_q50 <= u.traditional_ltv AND u.traditional_ltv < t.customers_q80 THEN 'medium_cltv'
   WHEN u.traditional_ltv >= t.cells_q80 THEN 'high_cltv' ELSE 'unknown' END AS traditional_ltv_segments
-FROM customers_ltv u, thresholds t"""
+FROM customers_ltv u {f"LEFT JOIN thresholds t USING ({own[:-2]})" if seg else ", thresholds t"}"""
     return [*full_cells_ctes(p), ("prof", prof), ("prof_rn", rn), ("attributed", attributed),
             ("cc0", cc0), ("cohort_customers", cc), ("customers_ltv", cust), ("thresholds", th),
             ("segments", segs)]
@@ -281,8 +285,8 @@ def matrix_ctes(p: Params) -> CTE:
     return [*full_cells_ctes(p), ("abs_cells", ab)]
 
 
-def obs_sql(value: str) -> str:
-    return (f"SELECT strftime(cohort, '%Y-%m') AS cohort, period_number, {value} AS value "
+def obs_sql(value: str, seg: tuple[str, ...] = ()) -> str:
+    return (f"SELECT {''.join(f'{c}, ' for c in seg)}strftime(cohort, '%Y-%m') AS cohort, period_number, {value} AS value "
             f"FROM abs_cells WHERE {value} IS NOT NULL")
 
 
@@ -341,35 +345,44 @@ def _fold_sum(x: str) -> str:
 
 def impute_ctes(p: Params, measure: str) -> CTE:
     value, places = MATRIX_MEASURES[measure]
-    ridx = """SELECT cohort, CAST(dense_rank() OVER (ORDER BY cohort) - 1 AS INTEGER) AS row_idx
-FROM (SELECT DISTINCT cohort FROM obs_i)"""
-    cidx = """SELECT period_number, CAST(dense_rank() OVER (ORDER BY period_number) - 1 AS INTEGER) AS col_idx
-FROM (SELECT DISTINCT period_number FROM obs_i)"""
-    mcells = """SELECT r.row_idx, c.col_idx, o.cohort, o.period_number, o.value
-FROM obs_i o JOIN ridx r USING (cohort) JOIN cidx c USING (period_number)"""
-    miss = """SELECT r.row_idx, c.col_idx, r.cohort, c.period_number FROM ridx r CROSS JOIN cidx c
-WHERE NOT EXISTS (SELECT 1 FROM mcells m WHERE m.row_idx = r.row_idx AND m.col_idx = c.col_idx)"""
+    seg = tuple(p.segment_cols)
+    own = "".join(f"{c}, " for c in seg)
+    by = f"PARTITION BY {own[:-2]} " if seg else ""
+    at = cols(seg, "row_idx", "col_idx")
+
+    def same(a: str, b: str) -> str:
+        return " AND ".join(f"{a}.{c} = {b}.{c}" for c in seg) or "TRUE"
+
+    ridx = f"""SELECT {own}cohort, CAST(dense_rank() OVER ({by}ORDER BY cohort) - 1 AS INTEGER) AS row_idx
+FROM (SELECT DISTINCT {own}cohort FROM obs_i)"""
+    cidx = f"""SELECT {own}period_number, CAST(dense_rank() OVER ({by}ORDER BY period_number) - 1 AS INTEGER) AS col_idx
+FROM (SELECT DISTINCT {own}period_number FROM obs_i)"""
+    mcells = f"""SELECT {at}, cohort, period_number, value
+FROM obs_i JOIN ridx USING ({cols(seg, "cohort")}) JOIN cidx USING ({cols(seg, "period_number")})"""
+    miss = f"""SELECT {"".join(f"r.{c}, " for c in seg)}r.row_idx, c.col_idx, r.cohort, c.period_number FROM ridx r JOIN cidx c ON {same("r", "c")}
+WHERE NOT EXISTS (SELECT 1 FROM mcells m WHERE m.row_idx = r.row_idx AND m.col_idx = c.col_idx AND {same("m", "r")})"""
     splitc = f"""SELECT *, ((row_idx * 31 + col_idx * 17 + {p.split_seed}) % {p.split_mod}) = 0 AS is_test FROM mcells"""
 
     def knn(query: str) -> str:
-        return f"""SELECT row_idx, col_idx, {stable_avg("value", places)} AS prediction FROM (
-  SELECT q.row_idx, q.col_idx, t.value,
-    row_number() OVER (PARTITION BY q.row_idx, q.col_idx
+        mine = "".join(f"q.{c}, " for c in seg)
+        return f"""SELECT {at}, {stable_avg("value", places)} AS prediction FROM (
+  SELECT {mine}q.row_idx, q.col_idx, t.value,
+    row_number() OVER (PARTITION BY {mine}q.row_idx, q.col_idx
       ORDER BY (t.row_idx - q.row_idx) * (t.row_idx - q.row_idx) + (t.col_idx - q.col_idx) * (t.col_idx - q.col_idx),
                t.row_idx, t.col_idx) AS rk
-  FROM {query} q CROSS JOIN (SELECT * FROM splitc WHERE NOT is_test) t)
-WHERE rk <= {p.knn_k} GROUP BY row_idx, col_idx"""
-    test_pred = """SELECT s.*, k.prediction FROM splitc s LEFT JOIN knn_t k USING (row_idx, col_idx) WHERE s.is_test"""
+  FROM {query} q JOIN (SELECT * FROM splitc WHERE NOT is_test) t ON {same("q", "t")})
+WHERE rk <= {p.knn_k} GROUP BY {at}"""
+    test_pred = f"""SELECT s.*, k.prediction FROM splitc s LEFT JOIN knn_t k USING ({at}) WHERE s.is_test"""
     r2 = f"""SELECT 1.0::DOUBLE - {_fold_sum("(value - prediction) * (value - prediction)")}
     / {_fold_sum("(value - ybar) * (value - ybar)")} AS r2
 FROM (SELECT *, (SELECT {_fold_sum("value")} / count(*) FROM test_pred WHERE prediction IS NOT NULL) AS ybar
       FROM test_pred WHERE prediction IS NOT NULL)"""
     filled = f"""SELECT *, CASE WHEN value IS NOT NULL THEN printf('%.2f', value) END AS label FROM (
-SELECT row_idx, col_idx, cohort, period_number, value, FALSE AS is_predicted FROM mcells
+SELECT {at}, cohort, period_number, value, FALSE AS is_predicted FROM mcells
 UNION ALL
-SELECT m.row_idx, m.col_idx, m.cohort, m.period_number, k.prediction AS value, TRUE AS is_predicted
-FROM miss m LEFT JOIN knn_m k USING (row_idx, col_idx))"""
-    return [*matrix_ctes(p), ("obs_i", obs_sql(value)), ("ridx", ridx), ("cidx", cidx),
+SELECT {at}, m.cohort, m.period_number, k.prediction AS value, TRUE AS is_predicted
+FROM miss m LEFT JOIN knn_m k USING ({at}))"""
+    return [*matrix_ctes(p), ("obs_i", obs_sql(value, seg)), ("ridx", ridx), ("cidx", cidx),
             ("mcells", mcells), ("miss", miss), ("splitc", splitc),
             ("knn_t", knn("(SELECT * FROM splitc WHERE is_test)")), ("test_pred", test_pred),
             ("knn_r2", r2), ("knn_m", knn("miss")), ("filled", filled)]
