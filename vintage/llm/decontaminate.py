@@ -37,9 +37,11 @@ from vintage.llm.token_output import portions
 #: Items searched at a time; bounds the latent space and what is broadcast.
 ITEMS = 256
 BASE, WIDE = 8, 48
-NEAR, COPY, PARAPHRASE, ANSWER = 0.2, 0.8, 0.55, 0.6
+NEAR, COPY, PARAPHRASE, ANSWER = 0.15, 0.8, 0.55, 0.6
 #: Words in more than this share of the documents carry no weight, if items have enough others.
-COMMON = 0.2
+COMMON = 0.05
+#: What a word outside the block weighs in the length of a window, of the weight of a word seen once.
+STRANGE = 0.25
 EXTRA = 24
 SENTENCE = re.compile(r"[.!?\n]+")
 
@@ -230,8 +232,10 @@ _FOUND = pa.schema([("_text", pa.int64()), ("item", pa.int64()), ("position", pa
 def _judged(ids: np.ndarray, hits: list[tuple[int, int, float]], block: Block) -> dict[int, tuple]:
     """Hits (segment, word, cosine) in one document -> the best by item."""
     best: dict[int, tuple] = {}
-    for k, at, cosine in hits:
-        i, ws, half = block.segments[k]
+    for k, at, cosine in sorted(hits, key=lambda h: -h[2]):
+        i, _, half = block.segments[k]
+        if i in best and best[i][2] == 1:
+            continue
         item, reach = block.items[i], len(block.items[i])
         low, high = max(0, at - reach), at + 2 * half + reach
         around = ids[low:high]
@@ -255,25 +259,25 @@ def search(corpus: DataFrame, block: Block, weight: np.ndarray, towards: np.ndar
         square = np.concatenate([weight ** 2, [0.0]]).astype(np.float32)
         square[0] = strange ** 2
         useful = np.concatenate([weight > 0, [False]])
-        halves = np.array([h for _, _, h in block.segments])
+        scales = []
+        for half in (8, 16, 32):
+            cols = np.flatnonzero([h == half for _, _, h in block.segments])
+            if len(cols):
+                scales.append((half, cols, np.ascontiguousarray(towards[:, cols])))
         for batch in batches:
             out, docs = [], []
             for first, own in _batches_of(batch, kind, 60_000):
                 ids, starts = _laid_out(own)
                 length = square[ids].reshape(-1, BASE).sum(1)
-                dots = np.zeros((len(length), len(halves)), np.float32)
                 where = np.flatnonzero(useful[ids])
                 if not len(where):
                     continue
-                cell = where // BASE
-                edge = np.concatenate([[0], np.flatnonzero(np.diff(cell)) + 1])
-                dots[cell[edge]] = np.add.reduceat(towards[ids[where]], edge)
-                hits: dict[int, list] = {}
-                for half in (8, 16, 32):
-                    cols = np.flatnonzero(halves == half)
-                    if not len(cols):
-                        continue
-                    d = dots[:, cols].reshape(-1, half // BASE, len(cols)).sum(1)
+                word, hits = ids[where], {}
+                for half, cols, part in scales:
+                    cell = where // half
+                    edge = np.concatenate([[0], np.flatnonzero(np.diff(cell)) + 1])
+                    d = np.zeros((len(ids) // half, len(cols)), np.float32)
+                    d[cell[edge]] = np.add.reduceat(part[word], edge)
                     size = length.reshape(-1, half // BASE).sum(1)
                     cosine = (d[:-1] + d[1:]) / np.sqrt(size[:-1] + size[1:] + 1e-9)[:, None]
                     for w, c in zip(*np.nonzero(cosine >= NEAR), strict=True):
@@ -326,7 +330,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         weight[0] = 0
         weight = weight.astype(np.float32)
         towards = latent_directions(corpus, block, weight)
-        rows = search(corpus, block, weight, towards, 0.5 * float(np.log(n + 1)))
+        rows = search(corpus, block, weight, towards, STRANGE * float(np.log(n + 1)))
         names = spark.createDataFrame(pd.DataFrame({"item": range(len(block.ids)), "item_id": block.ids}),
                                       f"item long, item_id {kinds['b.item_id']}")
         rows = rows.join(names, "item").select("doc_id", "_text", "item_id", "position", "cosine", "lcs", "answer")
