@@ -220,6 +220,16 @@ def bins_for(m: DataFrame, p: Params) -> int:
     return max(2, *[(n or 0) + 1 for n in m.agg(*counts).first()])
 
 
+#: Matrix cells in a task of a model fit: a fit is a chain of short jobs, so
+#: a small matrix is best kept in few tasks.
+CELLS_A_TASK = 20_000
+
+
+def packed(m: DataFrame) -> DataFrame:
+    """``m`` (already written) in as many partitions as its size asks for."""
+    return m.coalesce(max(1, -(-m.count() // CELLS_A_TASK)))
+
+
 #: Deepest trees that MLlib grows; the reference's forest has no limit.
 MAX_DEPTH = 30
 
@@ -251,7 +261,7 @@ def fit_and_score(cells: DataFrame, measure: str, p: Params):
     from concurrent.futures import ThreadPoolExecutor
 
     _, places = MATRIX_MEASURES[measure]
-    s = materialize(split(matrix_cells(cells, measure, p), p))
+    s = packed(materialize(split(matrix_cells(cells, measure, p), p)))
     assemble = assembler(s, p)
     train = assemble(s.where(~F.col("is_test")))
     test = assemble(s.where(F.col("is_test")))
@@ -334,7 +344,7 @@ def random_search(cells: DataFrame, measure: str, p: Params, n_iter: int = 100,
     keys = list(SEARCH_SPACE)
     combos = [dict(zip(keys, vals)) for vals in _product([SEARCH_SPACE[k] for k in keys])]
     draws = rng.sample(combos, min(n_iter, len(combos)))
-    s = materialize(split(matrix_cells(cells, measure, p), p))
+    s = packed(materialize(split(matrix_cells(cells, measure, p), p)))
     rf = RandomForestRegressor(featuresCol="features", labelCol="value", maxBins=bins_for(s, p))
     strategy = {"auto": "all", "sqrt": "sqrt", "log2": "log2"}
     maps = [{rf.numTrees: d["n_estimators"], rf.maxDepth: d["max_depth"] or MAX_DEPTH,
