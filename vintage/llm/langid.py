@@ -32,6 +32,8 @@ from vintage.llm.token_output import portions
 BUCKETS = 1 << 16
 #: Labelled texts of a language that are counted at most (in expectation).
 BOUND = 1_500
+#: Words that a worker remembers, about.
+REMEMBERED = 150_000
 #: Words that one text weighs at most.
 CERTAIN = 40
 #: Rows that a domain lends its host, or all rows a domain.
@@ -58,26 +60,37 @@ class TextModel:
         self.langs = langs
         total = counts.sum(1, keepdims=True)
         self.table = np.log((counts + SMOOTH) / (total + SMOOTH * BUCKETS)).T if langs else np.zeros((BUCKETS, 0))
-        self.seen: dict[str, np.ndarray] = {}
-
-    def word(self, w: str) -> np.ndarray:
-        """Mean log likelihood of the word's grams, by language and under chance."""
-        if w not in self.seen:
-            if len(self.seen) >= 200_000:
-                self.seen.clear()
-            own = self.table[[_bucket(g) for g in _grams(w)]].mean(0)
-            self.seen[w] = np.append(own, -np.log(BUCKETS) + MARGIN)
-        return self.seen[w]
-
-    def likelihoods(self, text: str) -> list[float] | None:
-        own = [w for w in words(text) if not w.isdigit()]
-        if not own:
-            return None
-        total = np.zeros(len(self.langs) + 1)
-        for i in range(0, len(own), 20_000):
-            total += np.sum([self.word(w) for w in own[i:i + 20_000]], axis=0)
-        total *= min(1.0, CERTAIN / len(own))
-        return (total - total.max()).tolist()
+        self.forget()
+
+    def forget(self) -> None:
+        """Word numbers, and by number the mean log likelihood of the word's
+        grams in each language and, last, under chance."""
+        self.seen: dict[str, int] = {}
+        self.rows = np.zeros((0, len(self.langs) + 1))
+
+    def learn(self, new: list[str]) -> None:
+        grams = np.array([_bucket(g) for w in new for g in _grams(w)], np.int64).reshape(-1, 3)
+        own = np.full((len(new), len(self.langs) + 1), -np.log(BUCKETS) + MARGIN)
+        own[:, :-1] = self.table[grams].mean(1)
+        self.seen.update(zip(new, range(len(self.seen), len(self.seen) + len(new)), strict=True))
+        self.rows = np.concatenate([self.rows, own])
+
+    def likelihoods(self, texts: list[str]) -> list[list[float] | None]:
+        """For each text, by language and under chance; null without words."""
+        split = [[w for w in words(t) if not w.isdigit()] for t in texts]
+        if len(self.seen) > REMEMBERED:
+            self.forget()
+        if new := set().union(*split).difference(self.seen):
+            self.learn(list(new))
+        number, out = self.seen.__getitem__, []
+        for own in split:
+            if not own:
+                out.append(None)
+                continue
+            total = self.rows[np.fromiter(map(number, own), np.int64, len(own))].sum(0)
+            total *= min(1.0, CERTAIN / len(own))
+            out.append((total - total.max()).tolist())
+        return out
 
 
 def fit(texts: DataFrame, bound: int = BOUND) -> TextModel:
@@ -140,8 +153,9 @@ def likelihoods(rows: DataFrame, model: TextModel, keep: list[str]) -> DataFrame
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = TextModel([], np.zeros((0, BUCKETS)))
         own.langs, own.table = shared.value
+        own.forget()
         for batch in batches:
-            out = [own.likelihoods(t) for texts in portions(batch.column("_body")) for t in texts]
+            out = [ll for texts in portions(batch.column("_body")) for ll in own.likelihoods(texts)]
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(out, pa.list_(pa.float64()))],
                                              [*keep, "ll"])
 
