@@ -39,9 +39,9 @@ from vintage.llm.common import cut, text_key
 MAGIC = b"VTGIDS01"
 TAIL = struct.Struct("<QQ8s")  # directory bytes, payload bytes, magic
 #: Text bytes a shard file takes, about; a longer document has a longer file.
-SHARD_BYTES = 24 << 20
+SHARD_BYTES = 12 << 20
 #: Words whose ids a worker remembers.
-REMEMBERED = 350_000
+REMEMBERED = 250_000
 #: How byte-level vocabularies write the space.
 SPACE = "Ġ"
 MARKS = ".,;:!?"
@@ -121,7 +121,8 @@ def directory(keys: list[int | None], lengths: list[int], payload: int) -> bytes
 class Shard:
     """A shard file read back. ``width``: bytes of an id."""
 
-    def __init__(self, content: bytes, width: int):
+    def __init__(self, content: bytes | pa.Buffer, width: int):
+        content = memoryview(content)
         size, payload, magic = TAIL.unpack_from(content, len(content) - width - TAIL.size)
         if magic != MAGIC:
             raise ValueError("not a shard of token ids")
@@ -303,13 +304,17 @@ def read_token_files(spark: SparkSession, path: str, width: int) -> DataFrame:
     number in the shard, doc_id, start (ids of all documents before it),
     n_tokens, ids_crc32 (of the ids as 32-bit little-endian)."""
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _PIECES.clear()  # a worker that has encoded needs its words no more
         for batch in batches:
             for name, content in zip(batch.column(0), batch.column(1), strict=True):
-                rows = [(name.as_py(), i, k, at, len(ids), zlib.crc32(ids.astype("<u4").tobytes()))
-                        for i, (k, at, ids) in enumerate(Shard(content.as_py(), width).documents())]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.string()] + [pa.int64()] * 5, strict=True)],
-                    names=DOCUMENT.names)
+                shard, rows = Shard(content.as_buffer(), width), []
+                for i, (k, at, ids) in enumerate(shard.documents()):
+                    rows.append((name.as_py(), i, k, at, len(ids), zlib.crc32(ids.astype("<u4").tobytes())))
+                    if len(rows) == 20_000 or i + 1 == len(shard.lengths):
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.string()] + [pa.int64()] * 5, strict=True)],
+                            names=DOCUMENT.names)
+                        rows = []
 
     rows = cut(_shard_files(spark, path).mapInArrow(read, DOCUMENT))
     before = W.orderBy("shard").rowsBetween(W.unboundedPreceding, -1)
@@ -325,7 +330,7 @@ def lookup(spark: SparkSession, path: str, keys: DataFrame, width: int) -> DataF
     def ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, content in zip(batch.column(0), batch.column(1), strict=True):
-                k = Shard(content.as_py(), width).keys
+                k = Shard(content.as_buffer(), width).keys
                 if len(k):
                     yield pa.RecordBatch.from_pylist([{"shard": name.as_py(), "low": int(k[0]), "high": int(k[-1])}])
 
