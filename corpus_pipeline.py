@@ -33,9 +33,9 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix: the words of each drawn block, a row for each document that
-    they come from, as often as the block is drawn."""
-    return mixing.mixed_texts(docs.select(*COLUMNS)).select(*COLUMNS)
+    """The mix: the words of each document in the drawn blocks, as often as
+    they are drawn; blocks of one round that adjoin stay one text."""
+    return mixing.joined_texts(docs.select(*COLUMNS)).select(*COLUMNS)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

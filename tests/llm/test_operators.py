@@ -7,8 +7,10 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow.parquet as pq
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from vintage.llm import (decontaminate, fingerprint, langid, mixing, ngram_join, permute, queries, sharding, token_counts,
                          token_output, toxicity, warc)
 from vintage.llm.common import scratch, ship, words
@@ -235,6 +237,57 @@ def test_mix_keeps_to_targets(docs, local):
     assert all(n[r.doc_id] == r.taken for r in got.itertuples())
 
 
+def spark_hash(*parts):
+    """xxhash64 of Spark: 4 bytes (int), 8 bytes (long) or text, one after the other."""
+    h = 42
+    for p in parts:
+        h = xxhash.xxh64_intdigest(p, h)
+    return h - (h >> 63 << 64)
+
+
+def plain_mix(rows, block):
+    """(doc_id, text) of the mix of ``rows`` (doc_id, text, source): drawn
+    blocks of a round that adjoin stay one text of a document."""
+    import re
+    out, own = [], defaultdict(list)
+    for d, t, s in sorted(rows, key=lambda r: (r[0], spark_hash(r[1].encode()))):
+        own[s] += [(d, w) for w in re.findall(r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*", t)]
+    names = sorted(own)
+    weight, full = {s: (5, 2, 1)[i % 3] for i, s in enumerate(names)}, set()
+    while True:
+        share = (sum(map(len, own.values())) - sum(3 * len(own[s]) for s in full)) / max(1, sum(weight[s] for s in names if s not in full))
+        new = {s for s in names if s not in full and weight[s] * share > 3 * len(own[s])}
+        if not new:
+            break
+        full |= new
+    for nr, s in enumerate(names):
+        n = -(-len(own[s]) // block)
+        target = 3 * len(own[s]) if s in full else weight[s] * share
+        drawn = defaultdict(set)
+        for t in range(min(3 * n, int(target / len(own[s]) * n + 0.5))):
+            key = spark_hash((4).to_bytes(4, "little"), nr.to_bytes(4, "little"), (t // n).to_bytes(8, "little")) % permute.PRIME
+            drawn[t // n].add(permute.permute_int(t % n, n, key))
+        for blocks in drawn.values():
+            last = None
+            for at, (d, w) in enumerate(own[s]):
+                if at // block in blocks:
+                    if last != (d, at - 1):
+                        out.append((d, ""))
+                    out[-1] = (d, out[-1][1] + w)
+                    last = (d, at)
+    return out
+
+
+def test_drawn_blocks_that_adjoin_stay_one_text(spark, docs, local):
+    for block, df in ((16, mixing.joined_texts(docs, block=16, shard=64)), (64, corpus_pipeline.mix(spark, docs, SF))):
+        got = df.toPandas()
+        want = plain_mix(list(zip(local.doc_id, local.text, local.source)), block)
+        assert Counter(zip(got.doc_id, got.text)) == Counter(want)
+        assert (got.n_chars == got.text.str.len()).all()
+    whole = {(d, t.lstrip(" \t\n\r\x0b\x0c")) for d, t in zip(local.doc_id, local.text) if mixing_words(t) > 2 * 64}
+    assert whole & set(zip(got.doc_id, got.text))
+
+
 def mixing_words(text):
     import re
     return len(re.findall(r"[^\x20\x09-\x0D]+", text))

@@ -84,7 +84,7 @@ def _interval(starts: Column, value: Column) -> Column:
 
 
 def slots(sources: DataFrame, shard: int = SHARD, seed: int = SEED) -> DataFrame:
-    """Layout of the mix: shard, slot, nr (source), block, one row per slot."""
+    """Layout of the mix: shard, slot, nr (source), round, block, one row per slot."""
     spark = sources.sparkSession
     total = sources.agg(F.sum("slots")).first()[0] or 0
     drawn = spark.range(total).select(_div(F.col("id"), shard).alias("shard"),
@@ -115,9 +115,10 @@ def slots(sources: DataFrame, shard: int = SHARD, seed: int = SEED) -> DataFrame
     rows = rows.withColumn("t", F.coalesce(F.col("spare") - at("short", "to") + at("got", "to"), F.col("t")))
     rows = rows.withColumn("nr", F.coalesce("to", "nr")).withColumn("n", at("blocks", "nr"))
     key = lambda *c: F.pmod(F.xxhash64(F.lit(seed), *c), F.lit(PRIME).cast("long"))
+    round_ = _div(F.col("t"), F.col("n"))
     return rows.select(
         "shard", permute(F.col("inside") + F.col("k"), F.col("of_shard"), key(F.lit("shard"), F.col("shard"))).alias("slot"),
-        "nr", permute(F.col("t") % F.col("n"), F.col("n"), key(F.col("nr"), _div(F.col("t"), F.col("n")))).alias("block"))
+        "nr", round_.alias("round"), permute(F.col("t") % F.col("n"), F.col("n"), key(F.col("nr"), round_)).alias("block"))
 
 
 def _placed(docs: DataFrame, block: int) -> tuple[DataFrame, DataFrame]:
@@ -155,24 +156,53 @@ def mix(docs: DataFrame, block: int = BLOCK, shard: int = SHARD, seed: int = SEE
     return taken.select(*own, "taken").unionByName(none)
 
 
+def _with_words(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """``rows`` of _placed that have words, with lang and the array of words,
+    each with the white space after it."""
+    texts = (docs.select("doc_id", "lang", "source", "text", text_key(F.col("text")).alias("_text")).where("text is not null")
+             .groupBy("doc_id", "source", "_text").agg(F.first(F.struct("text", "lang")).alias("d")))
+    key = (rows["doc_id"].eqNullSafe(texts["doc_id"]) & rows["source"].eqNullSafe(texts["source"])
+           & (rows["_text"] == texts["_text"]))
+    more = [rows[c] for c in rows.columns if c not in ("_text", "source_size", "target")]
+    return rows.where("size > 0").join(texts, key).select(
+        *more, F.col("d.lang").alias("lang"),
+        F.regexp_extract_all("d.text", F.lit(f"[^{SPACES}]+[{SPACES}]*"), F.lit(0)).alias("words"))
+
+
+def _cut_out(low: Column, high: Column, block: int) -> Column:
+    """The words of a document that lie in the blocks ``low`` to ``high``."""
+    first = F.greatest(low * block - F.col("_at"), F.lit(0).cast("long"))
+    n = F.least((high + 1) * block - F.col("_at"), F.col("size")) - first
+    return F.array_join(F.slice("words", (first + 1).cast("int"), n.cast("int")), "")
+
+
 def mixed_texts(docs: DataFrame, block: int = BLOCK, shard: int = SHARD, seed: int = SEED) -> DataFrame:
     """The mix itself: for every slot the words of its block, one row for each
     document that the block takes them from: shard, slot, doc_id, text (those
     words with the white space after them), lang, source, n_chars."""
     sources, rows = _placed(docs, block)
     layout = slots(sources, shard, seed)
-    texts = (docs.select("doc_id", "lang", "source", "text", text_key(F.col("text")).alias("_text")).where("text is not null")
-             .groupBy("doc_id", "source", "_text").agg(F.first(F.struct("text", "lang")).alias("d")))
-    key = (rows["doc_id"].eqNullSafe(texts["doc_id"]) & rows["source"].eqNullSafe(texts["source"])
-           & (rows["_text"] == texts["_text"]))
-    full = rows.where("size > 0").join(texts, key).select(
-        rows["doc_id"], rows["source"], "nr", "_at", "size", F.col("d.lang").alias("lang"),
-        F.regexp_extract_all("d.text", F.lit(f"[^{SPACES}]+[{SPACES}]*"), F.lit(0)).alias("words"))
-    low = lambda b: F.greatest(b * block - F.col("_at"), F.lit(0).cast("long"))
-    piece = F.transform(_blocks(block), lambda b: F.struct(b.alias("block"), F.array_join(F.slice(
-        "words", (low(b) + 1).cast("int"),
-        (F.least((b + 1) * block - F.col("_at"), F.col("size")) - low(b)).cast("int")), "").alias("text")))
-    pieces = full.select("doc_id", "lang", "source", "nr", F.explode(piece).alias("p"))
+    piece = F.transform(_blocks(block), lambda b: F.struct(b.alias("block"), _cut_out(b, b, block).alias("text")))
+    pieces = _with_words(docs, rows).select("doc_id", "lang", "source", "nr", F.explode(piece).alias("p"))
     pieces = pieces.select("doc_id", "lang", "source", "nr", "p.block", "p.text")
     return pieces.join(layout.hint("merge"), ["nr", "block"]).select(
         "shard", "slot", "doc_id", "text", "lang", "source", F.char_length("text").cast("long").alias("n_chars"))
+
+
+def joined_texts(docs: DataFrame, block: int = BLOCK, shard: int = SHARD, seed: int = SEED) -> DataFrame:
+    """The words of the mix by document: one row for each document, round and
+    run of adjoining blocks that the round drew: doc_id, text (the words of the
+    run in their order, with the white space after them), lang, source,
+    n_chars. A document breaks only where a block was not drawn."""
+    sources, rows = _placed(docs, block)
+    # number and place name a document that has words: the runs are found without its text
+    drawn = rows.where("size > 0").select("nr", "_at", F.explode(_blocks(block)).alias("block"))
+    drawn = drawn.join(slots(sources, shard, seed).select("nr", "round", "block").hint("merge"), ["nr", "block"])
+    number = F.row_number().over(W.partitionBy("nr", "_at", "round").orderBy("block"))
+    runs = (drawn.withColumn("run", F.col("block") - number).groupBy("nr", "_at", "round", "run")
+            .agg(F.min("block").alias("low"), F.max("block").alias("high"))
+            .groupBy("nr", "_at").agg(F.collect_list(F.struct("low", "high")).alias("runs")))
+    texts = F.transform("runs", lambda r: _cut_out(r["low"], r["high"], block))
+    full = _with_words(docs, rows.join(runs, ["nr", "_at"]))
+    return full.select("doc_id", F.explode(texts).alias("text"), "lang", "source").withColumn(
+        "n_chars", F.char_length("text").cast("long"))
