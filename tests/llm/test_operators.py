@@ -139,6 +139,13 @@ def test_fingerprint_is_a_multiset_hash():
     assert f(long) == f(long) and f(None) == f("")
 
 
+def test_unrelated_long_texts_are_not_alike():
+    for n in (65_536, 200_000):
+        a, b = ([" ".join(f"{c}{i}" for i in range(n + 1))] for c in "xy")
+        a, b = fingerprint.sum_of(a), fingerprint.sum_of(b)
+        assert fingerprint.likeness(a, b) < 0.3
+
+
 def test_near_duplicates_against_brute_force(docs, local):
     got = ngram_join.near_duplicates(docs).toPandas().set_index("doc_id")
     links = brute_links(list(local.text))
