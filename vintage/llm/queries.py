@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vintage.llm import decontaminate, fingerprint, langid, mixing, ngram_join, sharding, token_counts, token_output, toxicity, warc
+from vintage.llm import conversation_repair, decontaminate, fingerprint, langid, mixing, ngram_join, sharding, token_counts, token_output, toxicity, warc
 from vintage.llm.common import scratch, table
 
 
@@ -93,5 +93,10 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "start", "n_tokens", "ids_crc32")
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_warc, op3_decontamination, op4_mixing, op5_language_id, op6_fingerprint, op7_token_counts, op8_ngram_join, op9_sharding, op10_token_output)}
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, damaged by rule and repaired at least cost."""
+    return conversation_repair.audit_conversations(table(spark, sf_dir, "conversations"))
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_warc, op3_decontamination, op4_mixing, op5_language_id, op6_fingerprint, op7_token_counts, op8_ngram_join, op9_sharding, op10_token_output, op11_conversation_repair)}
 ORACLES: dict[str, str] = {"op2_warc": OP2_SQL}
