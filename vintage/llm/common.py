@@ -129,3 +129,44 @@ def free(df: DataFrame, *names: str) -> list[str]:
             name = f"_{name}"
         out.append(name)
     return out
+
+
+def text_id(text: Column) -> Column:
+    """16 bytes that name a text."""
+    return F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary")))
+
+
+#: Names with more than HEAVY edges and more than 2 / HEAVY_SHARE of all are
+#: joined by broadcast: fewer than HEAVY_SHARE of them can exist.
+HEAVY, HEAVY_SHARE = 256, 50_000
+
+
+def _with_least(edges: DataFrame, least: DataFrame, n: int) -> DataFrame:
+    """``edges`` (a, b) with ``m`` of ``least`` (a, m, n). Rows of heavy names
+    never meet in a task: their few minima are broadcast."""
+    bound = max(HEAVY, 2 * n // HEAVY_SHARE)
+    heavy = least.where(F.col("n") > bound).select(F.col("a").alias("_h"), F.col("m").alias("_hm"))
+    rows = edges.join(F.broadcast(heavy), F.col("a") == F.col("_h"), "left").drop("_h")
+    light = rows.where("_hm is null").drop("_hm").join(least.where(F.col("n") <= bound).select("a", "m"), "a")
+    return light.select("a", "b", "m").unionByName(rows.where("_hm is not null").select("a", "b", F.col("_hm").alias("m")))
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """Edges (a, b) -> (a, root): the smallest name of each one's component,
+    by alternating large and small stars (Kiveris et al. 2014). A name with
+    many edges, such as the root of a large component, is not joined in one
+    task (`_with_least`)."""
+    e, before = cut(edges.where("a != b").distinct()), None
+    n = e.count()
+    while True:
+        both = e.union(e.select("b", "a")).toDF("a", "b")
+        least = cut(both.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n")).withColumn("m", F.least("a", "m")))
+        large = _with_least(both.where("b > a"), least, 2 * n)
+        large = cut(large.select(F.col("b").alias("a"), F.col("m").alias("b")).distinct())
+        least = cut(large.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n")))
+        small = _with_least(large, least, 2 * n).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b")
+        e = cut(small.union(least.select("a", F.col("m").alias("b"))).distinct())
+        now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        if now == before:
+            return e.toDF("a", "root")
+        before, n = now, now[0]
