@@ -155,17 +155,19 @@ def components(edges: DataFrame) -> DataFrame:
     """Edges (a, b) -> (a, root): the smallest name of each one's component,
     by alternating large and small stars (Kiveris et al. 2014). A name with
     many edges, such as the root of a large component, is not joined in one
-    task (`_with_least`)."""
-    e, before = cut(edges.where("a != b").distinct()), None
+    task (`_with_least`). Rounds are written to the shared folder; a checkpoint
+    would carry on the constraints of all rounds before, whose number doubles
+    with each."""
+    e, before = staged(edges.where("a != b").distinct(), "edges"), None
     n = e.count()
     while True:
         both = e.union(e.select("b", "a")).toDF("a", "b")
-        least = cut(both.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n")).withColumn("m", F.least("a", "m")))
+        least = staged(both.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n")).withColumn("m", F.least("a", "m")), "least")
         large = _with_least(both.where("b > a"), least, 2 * n)
-        large = cut(large.select(F.col("b").alias("a"), F.col("m").alias("b")).distinct())
-        least = cut(large.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n")))
+        large = staged(large.select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "large")
+        least = staged(large.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n")), "least")
         small = _with_least(large, least, 2 * n).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b")
-        e = cut(small.union(least.select("a", F.col("m").alias("b"))).distinct())
+        e = staged(small.union(least.select("a", F.col("m").alias("b"))).distinct(), "edges")
         now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
             return e.toDF("a", "root")

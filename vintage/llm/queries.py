@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vintage.llm import conversation_repair, decontaminate, fingerprint, langid, mixing, ngram_join, sharding, token_counts, token_output, toxicity, warc
+from vintage.llm import bbit_minhash, conversation_repair, decontaminate, fingerprint, langid, mixing, ngram_join, sharding, token_counts, token_output, toxicity, warc
 from vintage.llm.common import scratch, table
 
 
@@ -98,5 +98,10 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_repair.audit_conversations(table(spark, sf_dir, "conversations"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_warc, op3_decontamination, op4_mixing, op5_language_id, op6_fingerprint, op7_token_counts, op8_ngram_join, op9_sharding, op10_token_output, op11_conversation_repair)}
+def op12_bbit_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with their component of near duplicates."""
+    return bbit_minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_warc, op3_decontamination, op4_mixing, op5_language_id, op6_fingerprint, op7_token_counts, op8_ngram_join, op9_sharding, op10_token_output, op11_conversation_repair, op12_bbit_minhash)}
 ORACLES: dict[str, str] = {"op2_warc": OP2_SQL}
