@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vintage.llm import bbit_minhash, conversation_repair, decontaminate, fingerprint, langid, mixing, ngram_join, sharding, token_counts, token_output, toxicity, warc
+from vintage.llm import bbit_minhash, conversation_repair, decontaminate, fingerprint, langid, mixing, ngram_join, sharding, token_alignment, token_counts, token_output, toxicity, warc
 from vintage.llm.common import scratch, table
 
 
@@ -103,5 +103,10 @@ def op12_bbit_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bbit_minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_warc, op3_decontamination, op4_mixing, op5_language_id, op6_fingerprint, op7_token_counts, op8_ngram_join, op9_sharding, op10_token_output, op11_conversation_repair, op12_bbit_minhash)}
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, their tokens of two tokenizers aligned."""
+    return token_alignment.align(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), tokenizer_file("piece_bpe_32k.model"))
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_warc, op3_decontamination, op4_mixing, op5_language_id, op6_fingerprint, op7_token_counts, op8_ngram_join, op9_sharding, op10_token_output, op11_conversation_repair, op12_bbit_minhash, op13_token_alignment)}
 ORACLES: dict[str, str] = {"op2_warc": OP2_SQL}
