@@ -11,7 +11,7 @@ from vintage.operators import customers as CU
 from vintage.operators import impute as IM
 from vintage.operators import matrix as MX
 from vintage.operators import profile as PR
-from vintage.operators import ranking
+from vintage.operators import ranking, trees
 from vintage.params import Params, months_between
 from vintage.session import ensure_checkpoint_dir
 from vintage.sources import transactions_from_tables
@@ -52,28 +52,21 @@ def test_trees_can_split_late_periods(spark):
     """A matrix of 200 periods whose values change at period 171 only."""
     m = spark.range(2).crossJoin(spark.range(200).withColumnRenamed("id", "c")).select(
         F.col("id").cast("int").alias("row_idx"), F.col("c").cast("int").alias("col_idx"),
-        F.when(F.col("c") >= 171, 10.0).otherwise(1.0).alias("value"))
-    p = Params()
-    assert IM.bins_for(m, p) >= 200
-    add = IM.assembler(m, p)
-    forest = IM.tree_models(IM.bins_for(m, p))["Random Forest"]
-    forest = forest.copy({forest.numTrees: 5})
-    got = {r.col_idx: r.prediction for r in forest.fit(add(m)).transform(add(m)).where("row_idx = 0").collect()}
-    assert got[170] == pytest.approx(1.0, abs=0.5) and got[171] == pytest.approx(10.0, abs=0.5)
+        F.when(F.col("c") >= 171, 10.0).otherwise(1.0).alias("value"), F.lit(False).alias("is_query"))
+    asked = m.withColumn("row_idx", F.col("row_idx") + 2).withColumn("is_query", F.lit(True)).withColumn("value", F.lit(None).cast("double"))
+    rows = trees.predictions(m.unionByName(asked), [], 1, 25, 1).where("row_idx = 3 and model = 'Random Forest'").collect()
+    got = {r.col_idx: r.prediction for r in rows}
+    assert got[165] == pytest.approx(1.0, abs=0.5) and got[175] == pytest.approx(10.0, abs=0.5) and len(got) == 200
 
 
 def test_trees_keep_segments_apart(spark):
-    """Two segments with opposite matrices: the segment is a category."""
-    p = Params(segment_cols=("country",))
+    """Two segments with opposite matrices."""
     m = spark.range(400).select(
-        F.when(F.col("id") % 2 == 0, "a").otherwise("b").alias("country"), (F.col("id") % 20).cast("int").alias("row_idx"),
-        F.floor(F.col("id") / 20).cast("int").alias("col_idx"), F.when(F.col("id") % 2 == 0, 5.0).otherwise(-5.0).alias("value"))
-    m = m.withColumn("row_idx", F.floor(F.col("row_idx") / 2).cast("int"))
-    add = IM.assembler(m, p)
-    forest = IM.tree_models(IM.bins_for(m, p))["Random Forest"]
-    forest = forest.copy({forest.numTrees: 5})
-    rows = forest.fit(add(m)).transform(add(m)).collect()
-    assert all(r.prediction == pytest.approx(5.0 if r.country == "a" else -5.0, abs=0.2) for r in rows)
+        F.when(F.col("id") % 2 == 0, "a").otherwise("b").alias("country"), F.floor(F.col("id") % 20 / 2).cast("int").alias("row_idx"),
+        F.floor(F.col("id") / 20).cast("int").alias("col_idx"), F.when(F.col("id") % 2 == 0, 5.0).otherwise(-5.0).alias("value"),
+        (F.col("id") % 7 == 0).alias("is_query"))
+    rows = trees.predictions(m, ["country"], 1, 5, 1).collect()
+    assert rows and all(r.prediction == pytest.approx(5.0 if r.country == "a" else -5.0, abs=1e-9) for r in rows)
 
 
 def test_pivot_columns_are_those_asked_for(spark, golden):

@@ -13,20 +13,21 @@ so every per-segment group below has a proven bound.
   whole segment.
 * Ties are broken by (squared distance, row, col), the mean of the k values
   is order independent (``stable_avg``).
-* Random forest and gradient-boosted trees are MLlib estimators on the
-  (row_idx, col_idx) feature vector (plus a segment index when segmenting).
+* Random forests and gradient-boosted trees of all segments are grown in one
+  job (see :mod:`vintage.operators.trees`).
 """
 
 from __future__ import annotations
 
+import itertools
 import random
-from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vintage.functions import fixed, stable_avg
 from vintage.operators.matrix import abs_rates, observed
+from vintage.operators.trees import ordered_sum, predictions, search_predictions
 from vintage.params import FOREST_TREES, MODEL_SEED, Params
 from vintage.session import materialize
 
@@ -189,133 +190,73 @@ def _fill(obs: DataFrame, pred: DataFrame, p: Params) -> DataFrame:
     return out.withColumn("label", F.when(v.isNotNull(), fixed(v, 2)))
 
 
-# ---------------------------------------------------------------- MLlib models
-def assembler(m: DataFrame, p: Params):
-    """Features of a matrix: the two indices and, with segments, the segment
-    as an unordered category (one model for all segments, whose trees split
-    on sets of segments). Returns a function that adds ``features``."""
-    from pyspark.ml.feature import StringIndexer, VectorAssembler
-    inputs, indexer = ["row_idx", "col_idx"], None
-    name = F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in p.segment_cols])
-    if p.segment_cols:
-        indexer = StringIndexer(inputCol="_segment", outputCol="_seg_key", handleInvalid="keep").fit(
-            m.withColumn("_segment", name))
-        inputs = [*inputs, "_seg_key"]
-    vector = VectorAssembler(inputCols=inputs, outputCol="features")
-
-    def add(df: DataFrame) -> DataFrame:
-        if indexer is not None:
-            df = indexer.transform(df.withColumn("_segment", name)).drop("_segment")
-        return vector.transform(df)
-    return add
-
-
-def bins_for(m: DataFrame, p: Params) -> int:
-    """``maxBins`` that keeps every split between two indices (and every
-    segment) possible: the largest number of distinct values, plus the
-    category of unknown segments."""
-    counts = [F.countDistinct("row_idx"), F.countDistinct("col_idx")]
-    if p.segment_cols:
-        counts.append(F.countDistinct(F.struct(*p.segment_cols)))
-    return max(2, *[(n or 0) + 1 for n in m.agg(*counts).first()])
-
-
-#: Matrix cells in a task of a model fit: a fit is a chain of short jobs, so
-#: a small matrix is best kept in few tasks.
-CELLS_A_TASK = 20_000
-
-
-def packed(m: DataFrame) -> DataFrame:
-    """``m`` (already written) in as many partitions as its size asks for."""
-    return m.coalesce(max(1, -(-m.count() // CELLS_A_TASK)))
-
-
-#: Deepest trees that MLlib grows; the reference's forest has no limit.
-MAX_DEPTH = 30
-
-
-def tree_models(max_bins: int):
-    """L2 + L3: the forest (100 trees, seed 42, all features per split,
-    MLlib's greatest depth) and boosted trees (100 rounds, rate 0.1,
-    31-leaf-sized trees, at least 20 rows per leaf). ``max_bins``: see
-    :func:`bins_for`."""
-    from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
-    rf = RandomForestRegressor(featuresCol="features", labelCol="value", predictionCol="prediction",
-                               numTrees=FOREST_TREES, seed=MODEL_SEED, maxDepth=MAX_DEPTH,
-                               featureSubsetStrategy="all", maxBins=max_bins, minInstancesPerNode=1,
-                               # more nodes per pass over the data and cached node ids: fewer
-                               # passes for deep trees, identical trees
-                               maxMemoryInMB=1024, cacheNodeIds=True)
-    gbt = GBTRegressor(featuresCol="features", labelCol="value", predictionCol="prediction",
-                       maxIter=100, stepSize=0.1, maxDepth=5, minInstancesPerNode=20,
-                       seed=MODEL_SEED, maxBins=max_bins, cacheNodeIds=True)
-    return {"Random Forest": rf, "Bayesian": gbt}
-
-
-def fit_and_score(cells: DataFrame, measure: str, p: Params):
-    """Fit the forest, the boosted trees and k-NN on the
-    training side and score R² on the test side. The three fits run as
-    concurrent Spark jobs (each is a chain of small jobs on a matrix-sized
-    input, so one alone leaves most cores idle). Returns (scores, fitted
-    tree models, split cells, assembler)."""
-    from concurrent.futures import ThreadPoolExecutor
+# ---------------------------------------------------------------- trees
+def test_side(m: DataFrame, p: Params) -> DataFrame:
+    """Positions and values of the test side of a split matrix."""
+    return m.where(F.col("is_test")).select(*p.segment_cols, "row_idx", "col_idx", "value")
 
-    _, places = MATRIX_MEASURES[measure]
-    s = packed(materialize(split(matrix_cells(cells, measure, p), p)))
-    assemble = assembler(s, p)
-    train = assemble(s.where(~F.col("is_test")))
-    test = assemble(s.where(F.col("is_test")))
-
-    def fit_tree(item):
-        name, est = item
-        model = est.fit(train)
-        return name, model, materialize(r2(model.transform(test), p.segment_cols))
-
-    def fit_knn():
-        pred = knn_regress(s.where(~F.col("is_test")), s.where(F.col("is_test")), p.knn_k, places,
-                           p.segment_cols)
-        return "KNN", None, materialize(r2(pred, p.segment_cols))
-
-    with ThreadPoolExecutor(max_workers=3) as pool:
-        futures = [pool.submit(fit_tree, it) for it in tree_models(bins_for(s, p)).items()] + [pool.submit(fit_knn)]
-        results = [f.result() for f in futures]
-    scores = reduce(lambda a, b: a.unionByName(b),
-                    [sc.withColumn("model", F.lit(name)) for name, _, sc in results])
+
+def all_predictions(s: DataFrame, query: DataFrame, places: int, p: Params) -> DataFrame:
+    """Forest, boosted trees and k-NN of every segment, learned from the
+    training side of ``s``: (seg, row_idx, col_idx, model, prediction) for the
+    positions ``query``. All segments, trees and models are one job."""
+    seg = list(p.segment_cols)
+    where = [*seg, "row_idx", "col_idx"]
+    train = s.where(~F.col("is_test")).select(*where, "value")
+    cells = (train.withColumn("is_query", F.lit(False))
+             .unionByName(query.select(*where, F.lit(None).cast("double").alias("value"), F.lit(True).alias("is_query"))))
+    trees = predictions(cells, seg, places, FOREST_TREES, MODEL_SEED)
+    knn = knn_regress(train, query.select(*where), p.knn_k, places, p.segment_cols)
+    return materialize(trees.unionByName(knn.where(F.col("prediction").isNotNull())
+                                         .select(*where, F.lit("KNN").alias("model"), "prediction")))
+
+
+def scored(preds: DataFrame, test: DataFrame, p: Params) -> DataFrame:
+    """R² of each model on the test side and ``is_best`` (highest,
+    ties to the earlier model in the reference's order)."""
+    seg = list(p.segment_cols)
+    j = _same_cell(preds.select(*seg, "row_idx", "col_idx", "model", "prediction"), test, p, "inner")
+    scores = r2(j, (*seg, "model"))
     rank = F.create_map(*[x for i, m in enumerate(MODEL_ORDER) for x in (F.lit(m), F.lit(i))])
-    scores = scores.withColumn("_order", rank[F.col("model")])
-    w = Window.partitionBy(*p.segment_cols).orderBy(F.col("r2").desc_nulls_last(), "_order")
-    scores = (scores.withColumn("is_best", F.row_number().over(w) == 1).drop("_order")
-              .select(*p.segment_cols, "model", "r2", "is_best"))
-    return scores, {name: m for name, m, _ in results if m is not None}, s, assemble
+    w = Window.partitionBy(*seg).orderBy(F.col("r2").desc_nulls_last(), rank[F.col("model")])
+    return scores.withColumn("is_best", F.row_number().over(w) == 1).select(*seg, "model", "r2", "is_best")
+
+
+def _same_cell(left: DataFrame, right: DataFrame, p: Params, how: str) -> DataFrame:
+    """Join on segment and position."""
+    return left.join(right, [*p.segment_cols, "row_idx", "col_idx"], how)
+
+
+def test_predictions(cells: DataFrame, measure: str, p: Params) -> DataFrame:
+    """Value and prediction of each model for each test cell."""
+    _, places = MATRIX_MEASURES[measure]
+    s = materialize(split(matrix_cells(cells, measure, p), p))
+    test = test_side(s, p)
+    return _same_cell(all_predictions(s, test, places, p), test, p, "inner")
 
 
 def model_scores(cells: DataFrame, measure: str, p: Params) -> DataFrame:
-    """One row per model with its test R² and ``is_best`` (highest R²,
-    ties to the earlier model in the reference's order)."""
-    return fit_and_score(cells, measure, p)[0]
+    """One row per segment and model with its test R² and ``is_best``."""
+    _, places = MATRIX_MEASURES[measure]
+    s = materialize(split(matrix_cells(cells, measure, p), p))
+    test = test_side(s, p)
+    return scored(all_predictions(s, test, places, p), test, p)
 
 
 def best_filled(cells: DataFrame, measure: str, p: Params) -> DataFrame:
-    """L11 with the best model of ``model_scores`` (trained on the training
-    side only, not refitted), observed cells kept, predictions flagged. With
-    segments every segment uses its own best model."""
+    """Empty cells filled by the best model of the segment (trained on
+    the training side only, not refitted), observed cells kept, predictions
+    flagged. Test and empty cells are predicted together."""
     _, places = MATRIX_MEASURES[measure]
-    scores, models, s, assemble = fit_and_score(cells, measure, p)
-    miss = materialize(missing_cells(cells, measure, p, s))
     seg = list(p.segment_cols)
-    # one small row decides which model's predictions are computed at all
-    names = [scores.where("is_best").select("model").first()[0]] if not seg else list(MODEL_ORDER)
-    preds = []
-    for name in names:
-        if name == "KNN":
-            pred = knn_regress(s.where(~F.col("is_test")), miss, p.knn_k, places, p.segment_cols)
-        else:
-            pred = models[name].transform(assemble(miss)).drop("features", "_seg_key")
-        if seg:
-            chosen = scores.where(F.col("is_best") & (F.col("model") == name)).select(*seg)
-            pred = pred.join(chosen, seg, "left_semi")
-        preds.append(pred)
-    return _fill(s.drop("is_test"), reduce(lambda a, b: a.unionByName(b), preds), p)
+    s = materialize(split(matrix_cells(cells, measure, p), p))
+    miss = materialize(missing_cells(cells, measure, p, s))
+    test = test_side(s, p)
+    where = [*seg, "row_idx", "col_idx"]
+    preds = all_predictions(s, test.select(*where).unionByName(miss.select(*where)), places, p)
+    best = scored(preds, test, p).where("is_best").select(*seg, "model")
+    chosen = preds.join(best, [*seg, "model"], "left_semi").select(*where, "prediction")
+    return _fill(s.drop("is_test"), _same_cell(miss, chosen, p, "left"), p)
 
 
 # ---------------------------------------------------------------- random search
@@ -329,44 +270,37 @@ SEARCH_SPACE = {
 }
 
 
+def search_draws(n_iter: int = 100, seed: int = 42) -> list[dict]:
+    """A seeded draw without replacement from the search space."""
+    combos = [dict(zip(SEARCH_SPACE, v, strict=True)) for v in itertools.product(*SEARCH_SPACE.values())]
+    return random.Random(seed).sample(combos, min(n_iter, len(combos)))
+
+
+def with_fold(m: DataFrame, folds: int, seed: int) -> DataFrame:
+    """The fold of a training cell, by its position (as `split`)."""
+    return m.withColumn("fold", F.pmod(F.col("row_idx") * 13 + F.col("col_idx") * 7 + F.lit(seed), F.lit(folds)).cast("int"))
+
+
 def random_search(cells: DataFrame, measure: str, p: Params, n_iter: int = 100,
-                  folds: int = 3, seed: int = 42, parallelism: int = 4) -> DataFrame:
-    """Seeded random draw of ``n_iter`` forest settings from the
-    search space, each scored by ``folds``-fold cross-validated R² on the
-    training side (MLlib ``CrossValidator``); returns every setting with its
-    mean R² and ``is_best``. As in the reference the result is reported only:
-    the fill keeps the model chosen by ``model_scores``."""
-    from pyspark.ml.evaluation import RegressionEvaluator
-    from pyspark.ml.regression import RandomForestRegressor
-    from pyspark.ml.tuning import CrossValidator
-
-    rng = random.Random(seed)
-    keys = list(SEARCH_SPACE)
-    combos = [dict(zip(keys, vals)) for vals in _product([SEARCH_SPACE[k] for k in keys])]
-    draws = rng.sample(combos, min(n_iter, len(combos)))
-    s = packed(materialize(split(matrix_cells(cells, measure, p), p)))
-    rf = RandomForestRegressor(featuresCol="features", labelCol="value", maxBins=bins_for(s, p))
-    strategy = {"auto": "all", "sqrt": "sqrt", "log2": "log2"}
-    maps = [{rf.numTrees: d["n_estimators"], rf.maxDepth: d["max_depth"] or MAX_DEPTH,
-             rf.minInstancesPerNode: max(d["min_samples_leaf"], (d["min_samples_split"] + 1) // 2),
-             rf.featureSubsetStrategy: strategy[d["max_features"]]} for d in draws]
-    train = assembler(s, p)(s.where(~F.col("is_test"))).cache()
-    cv = CrossValidator(estimator=rf, estimatorParamMaps=maps, numFolds=folds, seed=seed,
-                        evaluator=RegressionEvaluator(labelCol="value", metricName="r2"),
-                        parallelism=parallelism)
-    fitted = cv.fit(train)
-    rows = [(i, d["n_estimators"], d["max_depth"], d["min_samples_split"], d["min_samples_leaf"],
-             d["max_features"], float(m)) for i, (d, m) in enumerate(zip(draws, fitted.avgMetrics))]
-    spark = cells.sparkSession
-    out = spark.createDataFrame(
-        rows, "draw int, n_estimators int, max_depth int, min_samples_split int, min_samples_leaf int, "
-              "max_features string, cv_r2 double")
-    w = Window.orderBy(F.col("cv_r2").desc(), "draw")
-    return out.withColumn("is_best", F.row_number().over(w) == 1)
-
-
-def _product(lists):
-    out = [[]]
-    for values in lists:
-        out = [prev + [v] for prev in out for v in values]
-    return out
+                  folds: int = 3, seed: int = 42) -> DataFrame:
+    """``n_iter`` forest settings drawn from the search space, each
+    scored by ``folds``-fold cross-validated R² on the training side: every
+    setting with its mean R² and ``is_best`` (per segment; ties to the earlier
+    draw). As in the reference the result is reported only: the fill keeps the
+    model chosen by ``model_scores``."""
+    _, places = MATRIX_MEASURES[measure]
+    seg = list(p.segment_cols)
+    draws = search_draws(n_iter, seed)
+    s = materialize(split(matrix_cells(cells, measure, p), p))
+    train = with_fold(s.where(~F.col("is_test")), folds, seed).select(*seg, "row_idx", "col_idx", "value", "fold")
+    preds = search_predictions(train, draws, seg, places, folds, seed)
+    j = _same_cell(preds.drop("fold"), train, p, "inner")
+    per = r2(j, (*seg, "draw", "fold"))
+    mean = per.groupBy(*seg, "draw").agg((ordered_sum("fold", "r2") / F.count(F.lit(1))).alias("cv_r2"))
+    settings = cells.sparkSession.createDataFrame(
+        [(i, *d.values()) for i, d in enumerate(draws)],
+        "draw int, n_estimators int, max_depth int, min_samples_split int, min_samples_leaf int, max_features string")
+    w = Window.partitionBy(*seg).orderBy(F.col("cv_r2").desc_nulls_last(), "draw")
+    return (mean.join(F.broadcast(settings), "draw")  # as many rows as draws
+            .withColumn("is_best", F.row_number().over(w) == 1)
+            .select(*seg, "draw", *SEARCH_SPACE, "cv_r2", "is_best"))

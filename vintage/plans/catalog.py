@@ -414,6 +414,16 @@ def _register_impute(measure: str):
     scores.__doc__ = f"L2, L3, L5, L6, L7 ({measure}); rows-only check."
     register(f"model_scores_{measure}")(scores)
 
+    def tested(spark, sf):
+        return IM.test_predictions(_cells(spark, sf), measure, P)
+    tested.__doc__ = f"L5: value and prediction of each model for each test cell ({measure}); rows-only check."
+    register(f"model_predictions_{measure}")(tested)
+
+    def search(spark, sf):
+        return IM.random_search(_cells(spark, sf), measure, P)
+    search.__doc__ = f"L8, L9, L10: 100 draws, 3 folds ({measure}); rows-only check."
+    register(f"random_search_{measure}")(search)
+
     def best(spark, sf):
         return IM.best_filled(_cells(spark, sf), measure, P)
     best.__doc__ = f"L11 with the best model ({measure}); rows-only check."
@@ -448,3 +458,15 @@ def q_segments_by_country(spark, sf):
 def q_knn_filled_by_country(spark, sf):
     """M6, L11, K22 with k-NN on the matrix of each country."""
     return IM.knn_filled(materialize(C.cohort_cells(txn(spark, sf), P_BY_COUNTRY)), "retention", P_BY_COUNTRY)
+
+
+@register("model_scores_by_country")
+def q_model_scores_by_country(spark, sf):
+    """L2, L3, L5, L6, L7 for the matrix of each country; rows-only check."""
+    return IM.model_scores(materialize(C.cohort_cells(txn(spark, sf), P_BY_COUNTRY)), "retention", P_BY_COUNTRY)
+
+
+@register("best_filled_by_country")
+def q_best_filled_by_country(spark, sf):
+    """L11 with the best model of each country; rows-only check."""
+    return IM.best_filled(materialize(C.cohort_cells(txn(spark, sf), P_BY_COUNTRY)), "retention", P_BY_COUNTRY)

@@ -11,9 +11,27 @@ from __future__ import annotations
 import os
 import re
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the executors this package, once per application, for functions
+    that run in their Python workers."""
+    sc = spark.sparkContext
+    if sc.applicationId not in _SHIPPED:
+        _SHIPPED.add(sc.applicationId)
+        package = Path(__file__).resolve().parent
+        at = Path(tempfile.mkdtemp(prefix="vintage-code-")) / "vintage_code.zip"
+        with zipfile.ZipFile(at, "w") as z:
+            for f in sorted(package.rglob("*.py")):
+                z.write(f, f.relative_to(package.parent))
+        sc.addPyFile(str(at))
+
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
                   app: str = "vintage") -> SparkSession:
