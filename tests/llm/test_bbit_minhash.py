@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vintage.llm import bbit_minhash as bb
+from vintage.llm import common
 from vintage.llm.common import components, ship
 
 FIELDS = "doc_id long, text string"
@@ -114,7 +115,9 @@ def test_estimate_is_corrected_for_chance():
     assert bb.estimate(bb.least_agreeing()) > 0.4
 
 
-def test_components_with_heavy_names(spark):
+@pytest.mark.parametrize("few", [0, 100_000])
+def test_components_with_heavy_names(spark, monkeypatch, few):
+    monkeypatch.setattr(common, "FEW", few)
     rng = random.Random(2)
     edges = [(0, k) for k in range(1, 900)] + [(k, k + 1) for k in range(2000, 2040)] + [(rng.randrange(3000, 3300), rng.randrange(3000, 3300)) for _ in range(150)]
     up = {}

@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vintage.llm.common import components, cut, text_id
+from vintage.llm.common import components, cut, small, staged, text_id
 from vintage.llm.ngram_join import candidate_pairs, groups, shared
 
 SHINGLE = 4
@@ -48,6 +48,8 @@ VALUES = BANDS * ROWS
 BITS = 2
 MISS = 1e-8
 PORTION = 512
+#: Names of candidate texts that may be broadcast to pick their texts.
+WANTED = 1_000_000
 REMEMBERED = 300_000
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -258,7 +260,8 @@ def _confirmed(tasks: DataFrame, bodies: DataFrame, least: int) -> DataFrame:
     own = [*order, "h", "name", "root", "tid", "n", "tags", "sig"]
     schema = "bucket long, i int, j int, h int, name binary, root binary, tid binary, n long, tags binary, sig binary"
     alive = cut(tasks.select(*own).repartition(*order).sortWithinPartitions(*order).mapInArrow(_members(least), schema))
-    texts = bodies.join(alive.select("tid").distinct(), "tid", "left_semi").groupBy("tid").agg(F.first("text").alias("text"))
+    wanted = small(alive.select("tid").distinct(), WANTED)
+    texts = bodies.join(wanted, "tid", "left_semi").groupBy("tid").agg(F.first("text").alias("text"))
     full = alive.join(texts, "tid").select(*own, "text")
     return cut(full.repartition(*order).sortWithinPartitions(*order).mapInArrow(_links(least), "a binary, b binary"))
 
@@ -266,7 +269,7 @@ def _confirmed(tasks: DataFrame, bodies: DataFrame, least: int) -> DataFrame:
 def _across(met: DataFrame, roots: DataFrame) -> DataFrame:
     """Tasks of buckets of several portions: every member outside the
     bucket's largest component against all members."""
-    big = met.where("m > 1").join(roots.select(F.col("a").alias("name"), F.col("root").alias("_r")), "name", "left")
+    big = met.join(roots.select(F.col("a").alias("name"), F.col("root").alias("_r")), "name", "left")
     big = cut(big.withColumn("root", F.coalesce("_r", "name")).drop("_r"))
     sizes = big.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("c"))
     most = sizes.groupBy("bucket").agg(F.max(F.struct("c", "root")).alias("most"), F.sum("c").alias("all"))
@@ -289,15 +292,20 @@ def near_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     texts = rows.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.min("tid").alias("tid"), *first)
     texts = cut(texts.withColumn("name", name_of(F.col("doc_id"), F.col("key"))).drop("doc_id"))
     placed = texts.select("name", F.explode("bands").alias("bucket"))
-    full = placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
-    met = placed.join(full, "bucket").withColumn("m", F.ceil(F.col("_n") / PORTION).cast("int")).drop("_n")
-    met = met.withColumn("h", F.pmod(F.xxhash64("name", "bucket"), F.col("m")).cast("int"))
-    met = met.join(texts.select("name", "tid", "n", "tags", "sig"), "name")
+    full = staged(placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1"), "buckets")
+
+    def met(buckets: DataFrame) -> DataFrame:
+        """Members of the buckets, dealt out in ``m`` portions ``h``."""
+        rows = placed.join(buckets, "bucket").withColumn("m", F.ceil(F.col("_n") / PORTION).cast("int")).drop("_n")
+        rows = rows.withColumn("h", F.pmod(F.xxhash64("name", "bucket"), F.col("m")).cast("int"))
+        return rows.join(texts.select("name", "tid", "n", "tags", "sig"), "name")
+
     bodies = named.select("tid", "text")
-    links = _confirmed(met.withColumn("root", F.col("name")).withColumn("i", F.col("h")).withColumn("j", F.col("h")), bodies, least)
+    links = _confirmed(met(full).withColumn("root", F.col("name")).withColumn("i", F.col("h")).withColumn("j", F.col("h")), bodies, least)
     roots = components(links)
-    if full.where(F.col("_n") > PORTION).limit(1).count():  # else every bucket has been compared as a whole
-        more = _confirmed(_across(met, roots), bodies, least)
+    large = full.where(F.col("_n") > PORTION)
+    if large.limit(1).count():  # else every bucket has been compared as a whole
+        more = _confirmed(_across(met(large), roots), bodies, least)
         roots = components(roots.toDF("a", "b").union(more))
     out = texts.select("key", "name").join(roots.withColumnRenamed("a", "name"), "name", "left")
     return rows.select("doc_id", "n", "key"), out.withColumn("root", F.coalesce("root", "name"))

@@ -3,37 +3,17 @@
 from __future__ import annotations
 
 import re
-import tempfile
 import uuid
-import zipfile
-from pathlib import Path
 
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vintage.session import ensure_checkpoint_dir
+from vintage.session import ensure_checkpoint_dir, ship
 
 WORD = re.compile(r"\w+")
 
 
-_SHIPPED: set[str] = set()
-
-
-def ship(spark: SparkSession) -> None:
-    """Give the executors this package, once per application, for functions
-    that run in their Python workers."""
-    sc = spark.sparkContext
-    if sc.applicationId not in _SHIPPED:
-        _SHIPPED.add(sc.applicationId)
-        package = Path(__file__).resolve().parents[1]
-        at = Path(tempfile.mkdtemp(prefix="vintage-code-")) / "vintage_code.zip"
-        with zipfile.ZipFile(at, "w") as z:
-            for f in sorted(package.rglob("*.py")):
-                z.write(f, f.relative_to(package.parent))
-        sc.addPyFile(str(at))
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -136,6 +116,14 @@ def text_id(text: Column) -> Column:
     return F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary")))
 
 
+def small(df: DataFrame, rows: int) -> DataFrame:
+    """``df``, written and counted, to be broadcast if it has at most so many rows."""
+    df = staged(df, "keys")
+    return F.broadcast(df) if df.count() <= rows else df
+
+
+#: Edges that one task joins faster than many.
+FEW = 100_000
 #: Names with more than HEAVY edges and more than 2 / HEAVY_SHARE of all are
 #: joined by broadcast: fewer than HEAVY_SHARE of them can exist.
 HEAVY, HEAVY_SHARE = 256, 50_000
@@ -157,17 +145,18 @@ def components(edges: DataFrame) -> DataFrame:
     many edges, such as the root of a large component, is not joined in one
     task (`_with_least`). Rounds are written to the shared folder; a checkpoint
     would carry on the constraints of all rounds before, whose number doubles
-    with each."""
+    with each. A round of no more than FEW edges needs no shuffles."""
     e, before = staged(edges.where("a != b").distinct(), "edges"), None
     n = e.count()
     while True:
-        both = e.union(e.select("b", "a")).toDF("a", "b")
+        one = (lambda df: df.coalesce(1)) if n <= FEW else (lambda df: df)
+        stars = lambda rows, least: one(_with_least(one(rows), one(least), 2 * n)).select(F.col("b").alias("a"), F.col("m").alias("b"))  # noqa: B023, E731
+        both = one(e.union(e.select("b", "a")).toDF("a", "b"))
         least = staged(both.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n")).withColumn("m", F.least("a", "m")), "least")
-        large = _with_least(both.where("b > a"), least, 2 * n)
-        large = staged(large.select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "large")
-        least = staged(large.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n")), "least")
-        small = _with_least(large, least, 2 * n).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b")
-        e = staged(small.union(least.select("a", F.col("m").alias("b"))).distinct(), "edges")
+        large = staged(stars(both.where("b > a"), least).distinct(), "large")
+        least = staged(one(large).groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n")), "least")
+        linked = stars(large, least).where("a != b").union(one(least).select("a", F.col("m").alias("b")))
+        e = staged(one(linked).distinct(), "edges")
         now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
             return e.toDF("a", "root")
