@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vintage.functions import ltv_quotient, month_diff, nan_to_null, rnd, stable_avg
-from vintage.operators.clean import branch_a, branch_b_grouped
+from vintage.operators.clean import branch_a, dated, first_transaction, known_segments, with_cohort
 from vintage.params import Params
 
 CELL_KEYS = ("cohort", "txn_month")
@@ -89,13 +89,30 @@ def base_cells(txn: DataFrame, p: Params) -> DataFrame:
 
 def purchases(txn: DataFrame, p: Params) -> DataFrame:
     """K8 on branch B: distinct transactions and customers per cell and their
-    ratio. Rows are first reduced to distinct (customer, month, transaction)
-    before the cohort join; the two distinct counts then run on that."""
-    keys = [*p.segment_cols, "cohort", "txn_month", "period_number"]
-    pre = branch_b_grouped(txn, p, [*p.segment_cols, "transaction_id"], [F.count(F.lit(1)).alias("_rows")])
-    return (pre.groupBy(*keys)
-            .agg(F.countDistinct("transaction_id").alias("total_transactions"),
-                 F.countDistinct("customer_id").alias("total_customers"))
+    ratio.
+
+    Rows are first reduced to the set of (customer, month, transaction). A
+    customer is in one cell a month, so per customer and month the set is
+    counted before the cohort join, and a cell's customers and (customer,
+    transaction) pairs are plain sums; nothing is expanded for two distinct
+    counts. A transaction of several customers makes more than one pair of a
+    cell; those few, found by one more count of the set, are taken off."""
+    seg = list(p.segment_cols)
+    keys = [*seg, "cohort", "txn_month", "period_number"]
+    pairs = (known_segments(dated(txn, p), p)
+             .groupBy(*seg, "customer_id", "txn_month", "transaction_id").agg(F.count(F.lit(1)).alias("_rows")))
+    first = first_transaction(txn)
+    per_customer = pairs.groupBy(*seg, "customer_id", "txn_month").agg(F.count("transaction_id").alias("_pairs"))
+    cell = (with_cohort(per_customer, first, p).groupBy(*keys)
+            .agg(F.sum("_pairs").alias("_pairs"), F.count(F.lit(1)).alias("total_customers")))
+    several = (pairs.groupBy(*seg, "txn_month", "transaction_id").agg(F.count(F.lit(1)).alias("_customers"))
+               .where("_customers > 1 and transaction_id is not null"))
+    shared = pairs.join(several, [*seg, "txn_month", "transaction_id"], "left_semi")
+    over = (with_cohort(shared, first, p).groupBy(*keys)
+            .agg((F.count(F.lit(1)) - F.countDistinct("transaction_id")).alias("_over")))
+    total = F.col("_pairs") - F.coalesce(F.col("_over"), F.lit(0))
+    return (cell.join(over, keys, "left")
+            .select(*keys, total.alias("total_transactions"), "total_customers")
             .withColumn("no_of_cust_purchases",
                         rnd(F.col("total_transactions") / F.col("total_customers"), 1)))
 

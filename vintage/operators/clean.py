@@ -75,7 +75,7 @@ def first_transaction(txn: DataFrame) -> DataFrame:
             .agg(F.min("transaction_date").alias("first_transaction_date")))
 
 
-def _dated(txn: DataFrame, p: Params) -> DataFrame:
+def dated(txn: DataFrame, p: Params) -> DataFrame:
     """Branch-B rows that can get a cohort (a date and a customer), minus the
     current month (F5, F6, half of F8), with their transaction month."""
     as_of = F.to_date(F.lit(p.as_of))
@@ -103,7 +103,7 @@ def with_cohort(rows: DataFrame, first: DataFrame, p: Params) -> DataFrame:
 def branch_b(txn: DataFrame, p: Params) -> DataFrame:
     """Every dated row, cohort = month of the customer's first
     transaction over *all* countries, products and returns (row level)."""
-    rows = with_cohort(_dated(txn, p), first_transaction(txn), p)
+    rows = with_cohort(dated(txn, p), first_transaction(txn), p)
     return rows.select(
         "*",
         F.trunc("first_transaction_date", "YEAR").alias("first_transaction_yr"),
@@ -117,5 +117,5 @@ def branch_b_grouped(txn: DataFrame, p: Params, keys: list[str], aggs: list) ->
     and month equals grouping by cell and customer; aggregating first shrinks
     the join's large side from rows to groups, and the partial aggregate
     spreads a hot customer over many tasks (its keys vary)."""
-    pre = known_segments(_dated(txn, p), p).groupBy("customer_id", "txn_month", *keys).agg(*aggs)
+    pre = known_segments(dated(txn, p), p).groupBy("customer_id", "txn_month", *keys).agg(*aggs)
     return with_cohort(pre, first_transaction(txn), p)

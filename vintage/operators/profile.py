@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from vintage.functions import rnd
 from vintage.operators.quantiles import exact_quantiles
+from vintage.operators.sketches import LG_K, cell_sketches, estimates
 from vintage.session import materialize
 
 CATEGORICAL = ("frequency_of_payment", "product_type", "country")
@@ -76,6 +77,12 @@ def n_unique(df: DataFrame, cols: tuple[str, ...] = CATEGORICAL) -> DataFrame:
     return agg.unpivot([], list(cols), "column", "n_unique")
 
 
+def n_unique_approx(df: DataFrame, cols: tuple[str, ...] = CATEGORICAL, lg_k: int = LG_K) -> DataFrame:
+    """P9, approximate: the same from one sketch per column, all columns in one
+    pass without a shuffle of values (see :mod:`vintage.operators.sketches`)."""
+    return estimates(cell_sketches(df, [], cols, lg_k), cols).unpivot([], list(cols), "column", "n_unique")
+
+
 def unique_values(df: DataFrame, cols: tuple[str, ...] = CATEGORICAL) -> DataFrame:
     """P10: every distinct value (null included) of each categorical column
     with its row count — one pass: each row is exploded once per column and

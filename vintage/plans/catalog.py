@@ -8,9 +8,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from vintage.operators import cells as C
 from vintage.operators import clean as K
+from vintage.operators import sketches as SK
 from vintage.params import FIXTURE_FIRST_MONTH, months_between
 from vintage.params import FIXTURE_PARAMS as P
 from vintage.plans import oracle as O
@@ -231,6 +233,32 @@ def q_null_counts(spark, sf):
     return PR.null_counts(txn(spark, sf))
 
 
+@register("n_unique_approx", O.n_unique_sql)
+def q_n_unique_approx(spark, sf):
+    """P9, approximate option (sketches; exact for so few values)."""
+    return PR.n_unique_approx(txn(spark, sf))
+
+
+@register("approx_customers", O.approx_customers_sql)
+def q_approx_customers(spark, sf):
+    """P9's sketches kept by month and country and merged to three levels
+    (month, country, all): the exact count and whether the merged estimate
+    lies within 4 standard errors of it."""
+    t = txn(spark, sf).where("transaction_date is not null").select(
+        F.date_format("transaction_date", "yyyy-MM").alias("month"), "country", "customer_id")
+    cells = materialize(SK.cell_sketches(t, ["month", "country"], ("customer_id",)))
+    out = []
+    for level, keys in (("month", ["month"]), ("country", ["country"]), ("all", [])):
+        key = F.col(keys[0]) if keys else F.lit("all")
+        found = SK.estimates(SK.merged(cells, keys, ("customer_id",)), ("customer_id",))
+        exact = t.groupBy(*keys).agg(F.countDistinct("customer_id").alias("n_customers"))
+        found = found.select(key.alias("key"), F.col("customer_id").alias("_est"))
+        exact = exact.select(key.alias("key"), "n_customers")
+        near = F.abs(F.col("_est") - F.col("n_customers")) <= F.lit(4 * SK.error()) * F.col("n_customers")
+        out.append(exact.join(found, "key").select(F.lit(level).alias("level"), "key", "n_customers", near.alias("within_bound")))
+    return out[0].unionByName(out[1]).unionByName(out[2])
+
+
 @register("n_unique", O.n_unique_sql)
 def q_n_unique(spark, sf):
     """P9."""

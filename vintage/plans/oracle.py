@@ -197,6 +197,16 @@ FROM transactions""")
 CATEGORICAL = ("frequency_of_payment", "product_type", "country")
 
 
+def approx_customers_sql() -> str:
+    dated = ("SELECT strftime(transaction_date, '%Y-%m') AS month, country, customer_id FROM transactions "
+             "WHERE transaction_date IS NOT NULL")
+    levels = " UNION ALL ".join(
+        f"SELECT '{level}' AS level, {key} AS key, count(DISTINCT customer_id) AS n_customers, TRUE AS within_bound "
+        f"FROM dated{f' GROUP BY {key}' if level != 'all' else ''}"
+        for level, key in (("month", "month"), ("country", "country"), ("all", "'all'")))
+    return with_ctes([*transactions_ctes(), ("dated", dated)], levels)
+
+
 def n_unique_sql() -> str:
     body = "\nUNION ALL ".join(
         f"SELECT '{c}' AS \"column\", count(DISTINCT {c}) AS n_unique FROM transactions" for c in CATEGORICAL)
