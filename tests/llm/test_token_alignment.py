@@ -83,6 +83,32 @@ def test_documents_with_many_small_runs(spark, monkeypatch):
     assert sum(r[5] for r in got) > 0
 
 
+def test_words_equal_whole_texts(spark):
+    import pyarrow.parquet as pq
+    import random
+    rng = random.Random(1)
+    texts = [t for t in pq.read_table("/root/testdata/sf0.001/documents.parquet").column("text").to_pylist() if t]
+    parts = ["a", "Word", "don't", " ", "  ", "\n", "\t ", "\u00a0", "\u2028", "\x85", "\x1c", "12", "é", "日本", "😀", "<s>", "<|endoftext|>", "▁", ".", "'s"]
+    texts += ["".join(rng.choice(parts) for _ in range(rng.randrange(1, 12))) for _ in range(3000)]
+    texts += [f"{x}{chr(c)}{y}" for c in range(1, 0x3100, 3) if not 0xD800 <= c < 0xE000 for x, y in (("a ", "b"), ("a", " b"))]
+    enc = ta.Encoders(A, B)
+    assert enc.by_word
+    words = ta.Words(enc)
+    for i in range(0, len(texts), 1500):
+        own = texts[i:i + 1500]
+        one, other = ta.aligned_texts(enc, own), words.align(own)
+        assert np.array_equal(one.whole, other.whole) and np.array_equal(one.counts, other.counts) and one.hashes == other.hashes
+        assert all(np.array_equal(x, y) for x, y in zip(one.pairs, other.pairs, strict=True))
+
+
+def test_forgetting_words(monkeypatch):
+    monkeypatch.setattr(ta, "REMEMBERED", 5)
+    words = ta.Words(ta.Encoders(A, B))
+    for text in ("one two three four", "five six seven", "one five", "a b c d e f g h"):
+        got, want = words.align([text, "x"]), ta.aligned_texts(words.enc, [text, "x"])
+        assert got.hashes == want.hashes and np.array_equal(got.counts, want.counts)
+
+
 def test_merge_of_runs():
     rng = np.random.default_rng(1)
     for block in (3, 1 << 14):

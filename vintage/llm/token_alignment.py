@@ -17,6 +17,13 @@ of a portion; Spark sums the counts of all portions; in A-major order a scan of
 the sums finds the highest count of each A id. A second merge of the same runs
 brings count and maximum to each record and adds them up by document.
 
+Texts are cut at spaces that stand alone before a non-space. No token of A
+reaches over such a place, and none of B if its vocabulary has no piece with a
+space after another character (`Encoders.by_word` looks). Both sides so begin a
+token there: the alignment of a text is that of its words, one after the other,
+and a task aligns each of the words it remembers once. Other vocabularies are
+aligned by whole texts.
+
 A hot pair is split by portions, whose size (PORTION_BYTES, PORTION_DOCS) bounds
 what a task holds; the sums have a row for each pair that occurs.
 
@@ -30,6 +37,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import os
+import re
 import struct
 from collections.abc import Iterator
 from itertools import chain
@@ -51,6 +59,11 @@ PORTION_BYTES, PORTION_DOCS = 1 << 30, 4_000_000
 CHARS = 1 << 21
 #: Pairs in a row of the table of sums.
 PAIRS = 1 << 17
+#: Words whose alignment a task remembers.
+REMEMBERED = 200_000
+#: Where the alignment of a text may be cut: a space alone before a non-space.
+ALONE = re.compile(r"(?<=[^ ]) (?=\S)")
+OTHER_SPACE = re.compile(r"  | \s| \Z|\A ")
 
 
 # --- tokens and their bytes -------------------------------------------------
@@ -79,6 +92,8 @@ class Encoders:
         b = [bytes([int(sp.id_to_piece(i)[3:5], 16)]) if sp.is_byte(i) else sp.id_to_piece(i).replace("▁", " ").encode()
              for i in range(sp.get_piece_size())]
         self.n_a, self.n_b = len(a), len(b)
+        spaces = re.compile("[^▁]▁")
+        self.by_word = not any(spaces.search(sp.id_to_piece(i)) for i in range(self.n_b)) and sp.normalize(" x  y ") == "▁▁x▁▁y▁"
         self.bytes = [pa.array(x, pa.large_binary()) for x in (a, b)]
         self.sizes = [np.array([len(y) for y in x], np.int64) for x in (a, b)]
         self.digits = pa.array([f"{i}{end}" for n, ends in ((self.n_a, ",|"), (self.n_b, ",;")) for i in range(n) for end in ends],
@@ -121,8 +136,8 @@ class Aligned:
         self.n_groups = np.bincount(self.doc[both], minlength=len(n_a))
         self.ends_a, self.ends_b, self.enc = ends_a, ends_b, enc
 
-    def hashes(self) -> list[str]:
-        """SHA-256 of each text's groups, written out."""
+    def written(self) -> list[bytes]:
+        """The groups of each text, written out."""
         g_a, g_b = np.searchsorted(self.groups, self.ends_a), np.searchsorted(self.groups, self.ends_b)
         to_a, to_b = np.searchsorted(self.ends_a, self.groups, "right"), np.searchsorted(self.ends_b, self.groups, "right")
         codes = np.empty(len(self.a) + len(self.b), np.int64)
@@ -131,7 +146,7 @@ class Aligned:
         taken = self.enc.digits.take(pa.array(codes))
         at, data = np.frombuffer(taken.buffers()[1], np.int64, len(codes) + 1), memoryview(taken.buffers()[2])
         ends = at[np.concatenate([[0], np.cumsum(self.n_a + self.n_b)])].tolist()
-        return [hashlib.sha256(data[low:high - 1]).hexdigest() for low, high in zip(ends[:-1], ends[1:], strict=True)]
+        return [bytes(data[low:high - 1]) for low, high in zip(ends[:-1], ends[1:], strict=True)]
 
     def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(pair, number of the text, links) of each text's distinct pairs."""
@@ -141,6 +156,86 @@ class Aligned:
         return own % width, own // width, n
 
 
+class Batch:
+    """Some texts aligned: which are ``whole``; for these the four counts, the
+    hash, and (pair, number of the text, links)."""
+
+    def __init__(self, whole: np.ndarray, counts: np.ndarray, hashes: list[str], pairs: tuple[np.ndarray, np.ndarray, np.ndarray]):
+        self.whole, self.counts, self.hashes, self.pairs = whole, counts, hashes, pairs
+
+
+def aligned_texts(enc: Encoders, texts: list[str]) -> Batch:
+    sides = enc.encode(texts)
+    ok = enc.whole(texts, sides)
+    x = Aligned(enc, [(ids[np.repeat(ok, n)], n[ok]) for ids, n in sides])
+    return Batch(ok, np.array([x.n_a, x.n_b, x.n_groups, x.n_links]), [hashlib.sha256(w).hexdigest() for w in x.written()], x.pairs())
+
+
+class Words(dict):
+    """word -> its number; alignments of the words by number."""
+
+    def __init__(self, enc: Encoders):
+        super().__init__()
+        self.enc = enc
+        self.forget()
+
+    def forget(self) -> None:
+        self.clear()
+        self.written: list[bytes] = []
+        self.counts = np.zeros((4, 0), np.int64)
+        self.ok = np.zeros(0, bool)
+        self.ends, self.pair, self.links = np.zeros(1, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def learn(self, words: list[str]) -> None:
+        sides = self.enc.encode(words)
+        ok = self.enc.whole(words, sides)
+        x = Aligned(self.enc, [(ids[np.repeat(ok, n)], n[ok]) for ids, n in sides])
+        base, at, counts = len(self), np.flatnonzero(ok), np.zeros((4, len(words)), np.int64)
+        counts[:, at] = x.n_a, x.n_b, x.n_groups, x.n_links
+        written = [b""] * len(words)
+        for k, w in zip(at.tolist(), x.written(), strict=True):
+            written[k] = w
+        pair, word, links = x.pairs()
+        n = np.bincount(at[word], minlength=len(words))
+        self.update(zip(words, range(base, base + len(words)), strict=True))
+        self.written += written
+        self.counts, self.ok = np.concatenate([self.counts, counts], 1), np.concatenate([self.ok, ok])
+        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(n)])
+        self.pair, self.links = np.concatenate([self.pair, pair]), np.concatenate([self.links, links])
+
+    def align(self, texts: list[str]) -> Batch:
+        split = [ALONE.split(t) if OTHER_SPACE.search(t) else t.split(" ") for t in texts]
+        new = set().union(*split).difference(self)
+        if len(self) + len(new) > REMEMBERED:
+            self.forget()
+            new = set().union(*split)
+        if new:
+            self.learn(list(new))
+        get = self.__getitem__
+        own = np.fromiter(chain.from_iterable(map(get, w) for w in split), np.int64)
+        n = np.array([len(w) for w in split], np.int64)
+        start = np.cumsum(n) - n
+        whole = np.logical_and.reduceat(self.ok[own], start)
+        counts = np.add.reduceat(self.counts[:, own], start, 1)[:, whole]
+        ends, at = (start + n).tolist(), own.tolist()
+        written = self.written
+        hashes = [hashlib.sha256(b";".join([written[w] for w in at[low:high]])).hexdigest()
+                  for low, high, good in zip(start.tolist(), ends, whole.tolist(), strict=True) if good]
+        doc = np.repeat(np.cumsum(whole) - 1, n)
+        word, doc = own[np.repeat(whole, n)], doc[np.repeat(whole, n)]
+        words, times = np.unique(doc * len(self) + word, return_counts=True)
+        doc, word = words // len(self), words % len(self)
+        low, size = self.ends[word], self.ends[word + 1] - self.ends[word]
+        take = np.repeat(low - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        width = self.enc.n_a * self.enc.n_b
+        key, links = np.repeat(doc, size) * width + self.pair[take], np.repeat(times, size) * self.links[take]
+        order = np.argsort(key, kind="stable")
+        key, links = key[order], links[order]
+        first = np.flatnonzero(np.diff(key, prepend=-1))
+        pairs = (key[first] % width, key[first] // width, np.add.reduceat(links, first) if len(first) else links)
+        return Batch(whole, counts, hashes, pairs)
+
+
 # --- runs -------------------------------------------------------------------
 
 _RUN, _BLOCK = struct.Struct("<qII"), struct.Struct("<II")
@@ -245,7 +340,7 @@ class Spills:
 
 # --- tasks ------------------------------------------------------------------
 
-_ENCODERS: dict[tuple[str, str], Encoders] = {}
+_ENCODERS: dict[tuple[str, str], Words] = {}
 _ALIGNED = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("n_a", pa.int64()), ("n_b", pa.int64()), ("n_groups", pa.int64()),
                       ("n_links", pa.int64()), ("groups_sha256", pa.string()), ("radix", pa.int32()), ("portion", pa.int64()), ("run", pa.binary())])
 ALIGNED = ("row long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, "
@@ -269,8 +364,9 @@ def _aligner(a_path: str, b_path: str, tasks_a_portion: int):
     """Rows of documents -> their alignment (run null), and runs (row null)."""
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if (a_path, b_path) not in _ENCODERS:
-            _ENCODERS[a_path, b_path] = Encoders(a_path, b_path)
-        enc, task = _ENCODERS[a_path, b_path], TaskContext.get().partitionId()
+            _ENCODERS[a_path, b_path] = Words(Encoders(a_path, b_path))
+        words, task = _ENCODERS[a_path, b_path], TaskContext.get().partitionId()
+        enc = words.enc
         portion, row, spills = task // tasks_a_portion, task << 33, Spills(enc.n_b)
 
         def written() -> Iterator[pa.RecordBatch]:
@@ -284,17 +380,13 @@ def _aligner(a_path: str, b_path: str, tasks_a_portion: int):
                 hashes, some = [""] * n, np.flatnonzero([bool(t) for t in texts])
                 if len(some):
                     own = [texts[k] for k in some]
-                    sides = enc.encode(own)
-                    ok = enc.whole(own, sides)
-                    if not ok.all():
-                        sides = [(ids[np.repeat(ok, m)], m[ok]) for ids, m in sides]
-                        some = some[ok]
-                if len(some):
-                    x = Aligned(enc, sides)
-                    out[:, some] = x.n_a, x.n_b, x.n_groups, x.n_links
-                    for k, h in zip(some.tolist(), x.hashes(), strict=True):
+                    x = words.align(own) if enc.by_word else aligned_texts(enc, own)
+                    some = some[x.whole]
+                    out[:, some] = x.counts
+                    for k, h in zip(some.tolist(), x.hashes, strict=True):
                         hashes[k] = h
-                    spills.add(*x.pairs(), row + some)
+                    if len(some):
+                        spills.add(*x.pairs, row + some)
                 none = pa.nulls(n)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.arange(row, row + n)), pa.array(keys, pa.int64()), *[pa.array(x) for x in out], pa.array(hashes, pa.string()),
