@@ -36,6 +36,7 @@ from __future__ import annotations
 
 import hashlib
 import heapq
+import json
 import os
 import re
 import struct
@@ -64,6 +65,8 @@ REMEMBERED = 200_000
 #: Where the alignment of a text may be cut: a space alone before a non-space.
 ALONE = re.compile(r"(?<=[^ ]) (?=\S)")
 OTHER_SPACE = re.compile(r"  | \s| \Z|\A ")
+#: Latin letters and at most one mark after them: one or two pre-tokens.
+PLAIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ɏ]+[.,;:!?]?\Z")
 
 
 # --- tokens and their bytes -------------------------------------------------
@@ -76,6 +79,26 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(256 + k): b for k, b in enumerate(rest)}
 
 
+def _flat(ids: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    return np.fromiter(chain.from_iterable(ids), np.int64), np.array([len(x) for x in ids], np.int64)
+
+
+def merge_ranks(path: str, token_bytes: list[bytes]):
+    """The merges of a tokenizers file for whole strings of plain words: where
+    merged tokens are numbered in the order of the merges, the least id is the
+    first merge. None for other files."""
+    import tiktoken
+    with open(path, encoding="utf-8") as f:
+        model = json.load(f)["model"]
+    vocab = model["vocab"]
+    made = [vocab["".join(m if isinstance(m, list) else m.split(" "))] for m in model.get("merges", [])]
+    single = {bytes([b]) for b in range(256)}
+    if model.get("type") != "BPE" or made != sorted(set(made)) or len(made) + 256 > len(vocab) or single - set(token_bytes):
+        return None
+    ranks = {token_bytes[i]: i for i in vocab.values() if token_bytes[i] in single} | {token_bytes[i]: i for i in made}
+    return tiktoken.Encoding("merges", pat_str=r" ?\p{L}+|[^\s\p{L}]", mergeable_ranks=ranks, special_tokens={})
+
+
 class Encoders:
     """The two tokenizers and the bytes of their ids."""
 
@@ -92,6 +115,7 @@ class Encoders:
         b = [bytes([int(sp.id_to_piece(i)[3:5], 16)]) if sp.is_byte(i) else sp.id_to_piece(i).replace("▁", " ").encode()
              for i in range(sp.get_piece_size())]
         self.n_a, self.n_b = len(a), len(b)
+        self.ranks = merge_ranks(a_path, a)
         spaces = re.compile("[^▁]▁")
         self.by_word = not any(spaces.search(sp.id_to_piece(i)) for i in range(self.n_b)) and sp.normalize(" x  y ") == "▁▁x▁▁y▁"
         self.bytes = [pa.array(x, pa.large_binary()) for x in (a, b)]
@@ -101,9 +125,27 @@ class Encoders:
 
     def encode(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
         """For A and B: ids of all texts, one after the other, and their numbers."""
-        a = [e.ids for e in self.a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
-        b = self.b.encode(texts, num_threads=1)
-        return [(np.fromiter(chain.from_iterable(x), np.int64), np.array([len(y) for y in x], np.int64)) for x in (a, b)]
+        return [self.encode_a(texts), _flat(self.b.encode(texts, num_threads=1))]
+
+    def encode_a(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        return _flat([e.ids for e in self.a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)])
+
+    def encode_words(self, words: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """As `encode`. Plain words go through A's merges in one call, with a
+        space between; the bytes tell where a word's tokens end."""
+        plain = np.array([bool(PLAIN.match(w)) for w in words], bool) & (self.ranks is not None)
+        order = np.argsort(~plain, kind="stable")
+        own, parts = [words[k] for k in order[:plain.sum()]], []
+        if own:
+            ids = self.ranks.encode_to_numpy(" " + " ".join(own)).astype(np.int64)
+            ends = np.cumsum([len(w.encode()) + 1 for w in own])
+            parts.append((ids, np.diff(np.searchsorted(np.cumsum(self.sizes[0][ids]), ends), prepend=-1)))
+        if len(own) < len(words):
+            parts.append(self.encode_a([words[k] for k in order[len(own):]]))
+        ids, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+        back = np.argsort(order, kind="stable")
+        low, n = (np.cumsum(n) - n)[back], n[back]
+        return [(ids[np.repeat(low - (np.cumsum(n) - n), n) + np.arange(len(ids))], n), _flat(self.b.encode(words, num_threads=1))]
 
     def joined(self, side: int, ids: np.ndarray) -> memoryview:
         taken = self.bytes[side].take(pa.array(ids))
@@ -126,7 +168,8 @@ class Aligned:
     def __init__(self, enc: Encoders, sides: list[tuple[np.ndarray, np.ndarray]]):
         (self.a, n_a), (self.b, n_b) = sides
         ends_a, ends_b = (np.cumsum(size[x]) for size, x in zip(enc.sizes, (self.a, self.b), strict=True))
-        cuts = np.union1d(ends_a, ends_b)
+        cuts = np.sort(np.concatenate([ends_a, ends_b]), kind="stable")  # two sorted runs: a merge
+        cuts = cuts[np.diff(cuts, prepend=0) > 0]
         self.at_a, self.at_b = np.searchsorted(ends_a, cuts), np.searchsorted(ends_b, cuts)
         both = (ends_a[self.at_a] == cuts) & (ends_b[self.at_b] == cuts)
         self.groups = cuts[both]
@@ -187,7 +230,7 @@ class Words(dict):
         self.ends, self.pair, self.links = np.zeros(1, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def learn(self, words: list[str]) -> None:
-        sides = self.enc.encode(words)
+        sides = self.enc.encode_words(words)
         ok = self.enc.whole(words, sides)
         x = Aligned(self.enc, [(ids[np.repeat(ok, n)], n[ok]) for ids, n in sides])
         base, at, counts = len(self), np.flatnonzero(ok), np.zeros((4, len(words)), np.int64)
