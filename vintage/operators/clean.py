@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vintage.functions import month_diff, month_start
+from vintage.operators.skew import split_join
 from vintage.params import Params
 
 REQUIRED = ("transaction_id", "customer_id", "transaction_date", "first_transaction_month")
@@ -84,17 +85,19 @@ def dated(txn: DataFrame, p: Params) -> DataFrame:
             .where(F.col("txn_month") != as_of))
 
 
-def with_cohort(rows: DataFrame, first: DataFrame, p: Params) -> DataFrame:
+def with_cohort(rows: DataFrame, first: DataFrame, p: Params, split: bool = False) -> DataFrame:
     """K2 + F7/F8: attach the cohort (month of the customer's first
     transaction) and the period; keep cohorts in [min_cohort, as_of).
 
     The cohort bounds only touch ``first``'s columns, so Catalyst applies them
     to the per-customer table before the join. With AQE the join is broadcast
     when the customer table is small at run time and skew-split otherwise; no
-    window partitioned by customer is used.
+    window partitioned by customer is used. ``split``: rows that weren't
+    aggregated by customer before; heavy customers are spread by rule.
     """
     as_of = F.to_date(F.lit(p.as_of))
-    out = (rows.join(first, "customer_id", "inner")
+    joined = split_join(rows, first, "customer_id") if split else rows.join(first, "customer_id", "inner")
+    out = (joined
            .withColumn("cohort", month_start("first_transaction_date"))
            .withColumn("period_number", month_diff("txn_month", "cohort")))
     return out.where((F.col("cohort") >= F.to_date(F.lit(p.min_cohort))) & (F.col("cohort") < as_of))
@@ -103,7 +106,7 @@ def with_cohort(rows: DataFrame, first: DataFrame, p: Params) -> DataFrame:
 def branch_b(txn: DataFrame, p: Params) -> DataFrame:
     """Every dated row, cohort = month of the customer's first
     transaction over *all* countries, products and returns (row level)."""
-    rows = with_cohort(dated(txn, p), first_transaction(txn), p)
+    rows = with_cohort(dated(txn, p), first_transaction(txn), p, split=True)
     return rows.select(
         "*",
         F.trunc("first_transaction_date", "YEAR").alias("first_transaction_yr"),

@@ -121,10 +121,12 @@ def transactions_from_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     dated = orders_c.join(keyed, orders_c.o_orderkey == keyed.l_orderkey, "left_semi")
     first = dated.groupBy("customer_id").agg(
         F.trunc(F.min("transaction_date"), "MM").alias("first_transaction_month"))
-    # rows without a customer share one month; as one key of the join they would meet in one task
+    # rows without a customer share one month; in the join they are spread over
+    # keys that match nothing, as a null key would bring them all to one task
     nobody = first.where("customer_id is null").agg(F.max("first_transaction_month")).scalar()
     first = first.where("customer_id is not null").withColumnRenamed("customer_id", "_fc")
-    txn = (txn0.join(first, txn0.customer_id == first._fc, "left")
+    spread = F.concat(F.lit("\x00"), F.col("transaction_id"))
+    txn = (txn0.join(first, F.coalesce("customer_id", spread) == first._fc, "left")
            .withColumn("first_transaction_month",
                        F.when(F.col("customer_id").isNull(), nobody).otherwise(F.col("first_transaction_month"))))
     return txn.select(*TXN_COLUMNS)
