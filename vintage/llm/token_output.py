@@ -24,27 +24,31 @@ from __future__ import annotations
 import re
 import struct
 import zlib
-from array import array
 from collections.abc import Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vintage.llm.common import cut, text_key
+from vintage.llm.token_alignment import byte_alphabet
 
 MAGIC = b"VTGIDS01"
 TAIL = struct.Struct("<QQ8s")  # directory bytes, payload bytes, magic
 #: Text bytes a shard file takes, about; a longer document has a longer file.
 SHARD_BYTES = 12 << 20
 #: Words whose ids a worker remembers.
-REMEMBERED = 250_000
+REMEMBERED = 400_000
 #: How byte-level vocabularies write the space.
 SPACE = "Ġ"
 MARKS = ".,;:!?"
+#: Byte -> the character that byte-level vocabularies write for it.
+CHARS = {b: c for c, b in byte_alphabet().items()}
 #: No pre-token of byte-level BPE reaches over a space that a non-space follows.
 BEFORE_WORD = re.compile(r" (?=\S)")
 OPEN_SPACE = re.compile(r" (?:\s|\Z)")
@@ -172,69 +176,129 @@ class Shard:
 # --- encoding ---------------------------------------------------------------
 
 class Pieces:
-    """``known``: word -> bytes of the ids of " " + word. The first REMEMBERED
-    words that come along stay; later ones are kept for one call only."""
+    """Ids of texts by their words. ``known``: word -> its number; the ids of
+    " " + word stand in ``flat``, one word after the other. The first
+    REMEMBERED words that come along stay; later ones are kept for one call
+    only."""
 
     def __init__(self, path: str, width: int):
-        self.known: dict[str, bytes] = {}
-        from tokenizers import pre_tokenizers
-        self.width, self.general, self.letters = width, load_tokenizer(path), load_tokenizer(path)
-        self.letters.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        self.opens = np.array([(self.general.id_to_token(i) or "").startswith(SPACE)
-                               for i in range(self.general.get_vocab_size())])
-        self.marks = dict(zip(MARKS, self.one_by_one(list(MARKS)), strict=True))
-
-    def raw(self, ids: list[int]) -> bytes:
-        return array({2: "H", 4: "I"}[self.width], ids).tobytes()
-
-    def one_by_one(self, pieces: list[str]) -> Iterator[bytes]:
+        self.kind, self.tokenizer = np.dtype(f"<u{width}"), load_tokenizer(path)
+        self.opens = np.array([(self.tokenizer.id_to_token(i) or "").startswith(SPACE)
+                               for i in range(self.tokenizer.get_vocab_size())])
+        self.marks = dict(zip(MARKS, (int(x[0]) for x in self.one_by_one(list(MARKS))), strict=True))
+        self.known: dict[str, int] = {}
+        self.flat, self.ends = np.zeros(0, self.kind), np.zeros(1, np.int64)
+
+    def one_by_one(self, pieces: list[str]) -> list[np.ndarray]:
+        out = []
         for i in range(0, len(pieces), 1_000):
-            for e in self.general.encode_batch_fast(pieces[i:i + 1_000], add_special_tokens=False):
-                yield self.raw(e.ids)
+            out += [np.array(e.ids, self.kind) for e in self.tokenizer.encode_batch_fast(pieces[i:i + 1_000], add_special_tokens=False)]
+        return out
 
-    def together(self, words: list[str], tokenizer) -> Iterator[bytes]:
-        """Ids of " " + word: where an id's token opens with a space, the
-        next word begins."""
+    def single(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of " " + word for words of letters, each of them one pre-token,
+        and their numbers, from the tokenizer's model itself."""
+        tokenize, ids, n = self.tokenizer.model.tokenize, [], []
+        for w in words:
+            own = tokenize(SPACE + w if w.isascii() else SPACE + w.encode().decode("latin-1").translate(CHARS))
+            ids += [t.id for t in own]
+            n.append(len(own))
+        return np.array(ids, self.kind), np.array(n, np.int64)
+
+    def together(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of " " + word for all words and their numbers: where an id's
+        token opens with a space, the next word begins."""
+        ids, n = [], []
         for i in range(0, len(words), 1_000):
             own = [" " + w for w in words[i:i + 1_000]]
-            ids = tokenizer.encode_batch_fast([own], is_pretokenized=True, add_special_tokens=False)[0].ids
-            raw, at = self.raw(ids), (np.flatnonzero(self.opens[ids]) * self.width).tolist()
-            for low, high in zip(at, [*at[1:], len(raw)], strict=True):
-                yield raw[low:high]
-
-    def learn(self, words: set[str]) -> list[str]:
-        """Add the words that aren't there; returns all that were added.
-        Letters only are one pre-token after a space, and a closing mark is
-        one by itself."""
+            part = np.array(self.tokenizer.encode_batch_fast([own], is_pretokenized=True, add_special_tokens=False)[0].ids, np.int64)
+            at = np.flatnonzero(self.opens[part])
+            if len(at) != len(own):
+                raise ValueError("words that don't begin with a token of their own")
+            ids.append(part.astype(self.kind))
+            n.append(np.diff(np.append(at, len(part))))
+        return np.concatenate([np.zeros(0, self.kind), *ids]), np.concatenate([np.zeros(0, np.int64), *n])
+
+    def add(self, words: list[str], ids: np.ndarray, n: np.ndarray) -> None:
+        self.known.update(zip(words, range(len(self.known), len(self.known) + len(words)), strict=True))
+        self.flat = np.concatenate([self.flat, ids])
+        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(n)])
+
+    def gather(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the numbered words, one after the other, and how many each has."""
+        low = self.ends[numbers]
+        n = self.ends[numbers + 1] - low
+        return self.flat[np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())], n
+
+    def learn(self, words: set[str]) -> None:
+        """Add words that aren't there. Letters only are one pre-token after a
+        space, and a closing mark is one by itself."""
         marked = [w for w in words if w[-1:] in self.marks and w[:-1].isalpha()]
-        words = words.difference(marked).union([w[:-1] for w in marked]).difference(self.known)
-        plain = [w for w in words if w.isalpha()]
-        other = list(words.difference(plain))
+        rest = words.difference(marked)
+        rest.update([w[:-1] for w in marked])
+        rest = rest.difference(self.known)
+        plain = [w for w in rest if w.isalpha()]
+        other = [w for w in rest if not w.isalpha()]
         spaced = [w for w in other if " " in w]
         other = [w for w in other if " " not in w]
-        known = self.known
-        known.update(zip(plain, self.together(plain, self.letters), strict=True))
-        known.update(zip(other, self.together(other, self.general), strict=True))
-        known.update(zip(spaced, self.one_by_one([" " + w for w in spaced]), strict=True))
-        known.update([(w, known[w[:-1]] + self.marks[w[-1]]) for w in marked])
-        return plain + other + spaced + marked
+        self.add(plain, *self.single(plain))
+        self.add(other, *self.together(other))
+        alone = self.one_by_one([" " + w for w in spaced])
+        self.add(spaced, np.concatenate([np.zeros(0, self.kind), *alone]), np.array([len(x) for x in alone], np.int64))
+        stems = np.fromiter((self.known[w[:-1]] for w in marked), np.int64, len(marked))
+        ids, n = self.gather(stems)
+        ids = np.insert(ids, np.cumsum(n), np.array([self.marks[w[-1]] for w in marked], self.kind)) if marked else ids
+        self.add(marked, ids, n + 1)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Bytes of the ids of each text."""
-        split = [BEFORE_WORD.split(t) if OPEN_SPACE.search(t) else t.split(" ") for t in texts]
-        firsts = list(self.one_by_one([x.pop(0) for x in split]))
-        new = self.learn(set().union(*split).difference(self.known))
-        get = self.known.__getitem__
-        out = [first + b"".join(map(get, rest)) for first, rest in zip(firsts, split, strict=True)]
-        for word in new[max(0, REMEMBERED - len(self.known) + len(new)):]:
-            del self.known[word]
-        return out
+        ids, n = self.encode_all(texts)
+        return [x.tobytes() for x in np.split(ids, np.cumsum(n)[:-1])]
+
+    def encode_all(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, one after the other, and how many each has."""
+        code, own, n = split_words(texts)
+        at = np.cumsum(n) - n
+        rest = np.ones(len(code), bool)
+        rest[at] = False  # no space stands before the first piece of a text
+        used = np.flatnonzero(np.bincount(code[rest], minlength=len(own)))
+        words = own.take(pa.array(used)).to_pylist()
+        firsts = self.one_by_one(own.take(pa.array(code[at])).to_pylist())
+        found = np.fromiter(map(self.known.get, words, repeat(-1)), np.int64, len(words))
+        missing = np.flatnonzero(found < 0)
+        new = [words[k] for k in missing.tolist()]
+        self.learn(set(new))
+        found[missing] = np.fromiter(map(self.known.__getitem__, new), np.int64, len(new))
+        number = np.zeros(len(own), np.int64)
+        number[used] = found
+        stay, ends, flat = len(self.known), self.ends, self.flat
+        sizes = np.array([len(x) for x in firsts], np.int64)
+        self.flat, self.ends = np.concatenate([flat, *firsts]), np.concatenate([ends, ends[-1] + np.cumsum(sizes)])
+        number = number[code]
+        number[at] = np.arange(stay, stay + len(texts))
+        ids, per = self.gather(number)
+        keep = min(stay, REMEMBERED)
+        self.flat, self.ends = flat[:ends[keep]].copy(), ends[:keep + 1].copy()
+        for _ in range(stay - keep):
+            self.known.popitem()  # the last ones
+        return ids, np.add.reduceat(per, at)
+
+
+def split_words(texts: list[str]) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """The texts cut at spaces before non-spaces (which are dropped): a code
+    for each piece, the distinct pieces, and how many each text has."""
+    marks = map(chr, chain(range(1, 9), range(14, 32), range(0xE000, 0xF900)))
+    mark = next(c for c in marks if not any(c in t for t in texts))
+    cut = pa.array([BEFORE_WORD.sub(mark, t) if OPEN_SPACE.search(t) else t.replace(" ", mark) for t in texts], pa.large_string())
+    parts = pc.split_pattern(cut, mark)
+    codes = parts.flatten().dictionary_encode()
+    return codes.indices.to_numpy().astype(np.int64), codes.dictionary, np.diff(parts.offsets.to_numpy())
 
 
 _PIECES: dict[tuple[str, int], Pieces] = {}
 
 
-def portions(texts: pa.Array, size: int = 1 << 21) -> Iterator[list[str]]:
+def portions(texts: pa.Array, size: int = 1 << 22) -> Iterator[list[str]]:
     """The texts (null: empty) in lists of about ``size`` characters."""
     own, held = [], 0
     for text in texts:
@@ -273,10 +337,12 @@ def write_token_files(docs: DataFrame, out: str, tokenizer: str, end_id: int = 2
         for batch in batches:
             keys += batch.column(0).to_pylist()
             for texts in portions(batch.column(1)):
-                rows = pieces.encode(texts)
-                lengths += [len(ids) // width + 1 for ids in rows]
-                payload += sum(map(len, rows)) + len(rows) * width
-                yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary())], ["ids"])
+                ids, n = pieces.encode_all(texts)
+                lengths += (n + 1).tolist()
+                payload += (len(ids) + len(n)) * width
+                ends = np.concatenate([[0], np.cumsum(n * width)])
+                rows = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(ends), pa.py_buffer(ids)])
+                yield pa.RecordBatch.from_arrays([rows.cast(pa.binary())], ["ids"])
         if keys:
             yield pa.RecordBatch.from_arrays([pa.array([directory(keys, lengths, payload)], pa.binary())], ["ids"])
 
@@ -289,6 +355,11 @@ def write_token_files(docs: DataFrame, out: str, tokenizer: str, end_id: int = 2
      .write.option("lineSep", end.decode("ascii")).text(out))
 
 
+def _number(name: Column) -> Column:
+    """A shard's place: the writer's task number, which needs not have five digits."""
+    return F.regexp_extract(name, r"part-(\d+)", 1).cast("long")
+
+
 def _shard_files(spark: SparkSession, path: str) -> DataFrame:
     return (spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
             .where(F.col("length") > 0).select(F.substring_index("path", "/", -1).alias("shard"), "content"))
@@ -317,7 +388,7 @@ def read_token_files(spark: SparkSession, path: str, width: int) -> DataFrame:
                         rows = []
 
     rows = cut(_shard_files(spark, path).mapInArrow(read, DOCUMENT))
-    before = W.orderBy("shard").rowsBetween(W.unboundedPreceding, -1)
+    before = W.orderBy(_number(F.col("shard"))).rowsBetween(W.unboundedPreceding, -1)
     shards = rows.groupBy("shard").agg(F.sum("n_tokens").alias("_ids"))
     shards = shards.select("shard", F.coalesce(F.sum("_ids").over(before), F.lit(0)).alias("_base"))
     return (rows.join(shards, "shard")
