@@ -89,7 +89,12 @@ def base_cells(txn: DataFrame, p: Params) -> DataFrame:
 
 def purchases(txn: DataFrame, p: Params) -> DataFrame:
     """K8 on branch B: distinct transactions and customers per cell and their
-    ratio.
+    ratio (see :func:`purchases_of`)."""
+    return purchases_of(known_segments(dated(txn, p), p), txn, p)
+
+
+def purchases_of(rows: DataFrame, txn: DataFrame, p: Params) -> DataFrame:
+    """K8 of dated rows; first transactions are those of ``txn``.
 
     Rows are first reduced to the set of (customer, month, transaction). A
     customer is in one cell a month, so per customer and month the set is
@@ -99,8 +104,7 @@ def purchases(txn: DataFrame, p: Params) -> DataFrame:
     cell; those few, found by one more count of the set, are taken off."""
     seg = list(p.segment_cols)
     keys = [*seg, "cohort", "txn_month", "period_number"]
-    pairs = (known_segments(dated(txn, p), p)
-             .groupBy(*seg, "customer_id", "txn_month", "transaction_id").agg(F.count(F.lit(1)).alias("_rows")))
+    pairs = rows.groupBy(*seg, "customer_id", "txn_month", "transaction_id").agg(F.count(F.lit(1)).alias("_rows"))
     first = first_transaction(txn)
     per_customer = pairs.groupBy(*seg, "customer_id", "txn_month").agg(F.count("transaction_id").alias("_pairs"))
     cell = (with_cohort(per_customer, first, p).groupBy(*keys)

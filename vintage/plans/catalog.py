@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from vintage.operators import cells as C
 from vintage.operators import clean as K
+from vintage.operators import levels as LV
 from vintage.operators import sketches as SK
 from vintage.params import FIXTURE_FIRST_MONTH, months_between
 from vintage.params import FIXTURE_PARAMS as P
@@ -498,3 +499,24 @@ def q_model_scores_by_country(spark, sf):
 def q_best_filled_by_country(spark, sf):
     """L11 with the best model of each country; rows-only check."""
     return IM.best_filled(materialize(C.cohort_cells(txn(spark, sf), P_BY_COUNTRY)), "retention", P_BY_COUNTRY)
+
+
+# ---------------------------------------------------------------- all levels of two segments
+P_LEVELS = P.with_(country=None, product_type=None)
+
+
+def _levels_sql() -> str:
+    cols = ("country", "product_type")
+    parts = []
+    for kept in LV.levels(list(cols)):
+        own = ", ".join(c if c in kept else f"'{LV.ALL}' AS {c}" for c in cols)
+        inner = with_ctes(O.full_cells_ctes(P_LEVELS.with_(segment_cols=kept)), "SELECT * FROM cells")
+        parts.append(f"SELECT {own}, {O.CELL_COLUMNS} FROM ({inner})")
+    return "\nUNION ALL\n".join(parts)
+
+
+@register("cohort_cells_by_level", _levels_sql)
+def q_cohort_cells_by_level(spark, sf):
+    """K13 by country and product type, by each, and over all, from one scan
+    of each branch."""
+    return LV.cells_by_level(txn(spark, sf), P_LEVELS)
