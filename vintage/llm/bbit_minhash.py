@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vintage.llm.common import components, cut, small, staged, text_id
+from vintage.llm.common import components, cut, small, text_id
 from vintage.llm.ngram_join import candidate_pairs, groups, shared
 
 SHINGLE = 4
@@ -48,8 +48,9 @@ VALUES = BANDS * ROWS
 BITS = 2
 MISS = 1e-8
 PORTION = 512
-#: Names of candidate texts that may be broadcast to pick their texts.
-WANTED = 1_000_000
+#: Buckets and names of candidate texts (16 bytes each) that may be broadcast
+#: to pick members and texts; more are joined by a shuffle.
+BUCKETS, WANTED = 2_000_000, 1_000_000
 REMEMBERED = 300_000
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -292,7 +293,7 @@ def near_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     texts = rows.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.min("tid").alias("tid"), *first)
     texts = cut(texts.withColumn("name", name_of(F.col("doc_id"), F.col("key"))).drop("doc_id"))
     placed = texts.select("name", F.explode("bands").alias("bucket"))
-    full = staged(placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1"), "buckets")
+    full = small(placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1"), BUCKETS)
 
     def met(buckets: DataFrame) -> DataFrame:
         """Members of the buckets, dealt out in ``m`` portions ``h``."""
