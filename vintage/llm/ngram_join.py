@@ -28,10 +28,10 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vintage.llm.common import WordHashes, cut, free, words
+from vintage.llm.common import WordHashes, components, cut, free, text_id, words
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 26, 4
@@ -259,29 +259,6 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                          ["doc_id", "key", "sig"])
 
 
-def text_id(text: Column) -> Column:
-    """16 bytes that name a text."""
-    return F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary")))
-
-
-def components(edges: DataFrame) -> DataFrame:
-    """Edges (a, b) -> (a, root): the smallest name of each one's component,
-    by alternating large and small stars (Kiveris et al. 2014)."""
-    e, before = cut(edges.where("a != b").distinct()), None
-    while True:
-        both = e.union(e.select("b", "a")).toDF("a", "b")
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        large = cut(large)
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b")
-        e = cut(small.union(least.toDF("a", "b")).distinct())
-        now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == before:
-            return e.toDF("a", "root")
-        before = now
-
-
 def link_texts(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
     """``docs`` (doc_id, text) -> documents (doc_id, key of the text) and
     distinct texts (key, copy_id, copies, root, texts and docs linked)."""
