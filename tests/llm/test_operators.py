@@ -54,6 +54,16 @@ def test_permutation_is_one_to_one_and_has_an_integer_twin(spark):
         assert all(permute.permute_int(r.id, n, 5) == r.p for r in rows[:100])
 
 
+def test_walks_that_are_not_done_are_errors(spark, monkeypatch):
+    monkeypatch.setattr(permute, "SMALL", 0)
+    monkeypatch.setattr(permute, "MANY", 1)
+    df = spark.range(200).select(permute.permute(F.col("id"), F.lit(200).cast("long"), F.lit(5).cast("long")).alias("p"))
+    with pytest.raises(Exception, match="cycle walk"):
+        df.collect()
+    null = spark.range(1).select(permute.permute(F.lit(None).cast("long"), F.lit(200).cast("long"), F.lit(5).cast("long")).alias("p"))
+    assert null.first().p is None
+
+
 def test_shards_differ_by_one_row_and_can_be_computed(docs):
     got = sharding.assign_shards(docs, 7).toPandas()
     n = got.groupby("shard").size()

@@ -66,8 +66,11 @@ def permute(x: Column, n: Column, key: Column) -> Column:
     in [0, 2**31)) names. x, n and key are bigints; null if one is null.
 
     A small n gets as many steps as any walk can take (a*a - n + 1), a large
-    one MANY: beyond SMALL a step fails with a chance of at most 2/a."""
+    one MANY: beyond SMALL a step fails with a chance of at most 2/a. A walk that
+    isn't done then is an error, not a wrong number."""
     a = root(n)
     steps = F.when(n <= SMALL, 2 * a + 2).otherwise(F.lit(MANY).cast("long"))
+    late = F.raise_error(F.lit("a cycle walk was not done")).cast("long")
     return F.aggregate(F.sequence(F.lit(1).cast("long"), steps), _encipher(x, a, key),
-                       lambda y, _: F.when(y < n, y).otherwise(_encipher(y, a, key)))
+                       lambda y, _: F.when(y < n, y).otherwise(_encipher(y, a, key)),
+                       lambda y: F.when(y >= n, late).otherwise(y))
