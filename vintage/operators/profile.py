@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vintage.functions import rnd
-from vintage.operators.quantiles import exact_quantiles
+from vintage.operators.quantiles import bucket_table, refined_quantiles
 from vintage.operators.sketches import LG_K, cell_sketches, estimates
 from vintage.session import materialize
 
@@ -98,45 +98,33 @@ NUMERIC = ("transaction_amount", "quantity")
 
 def describe(df: DataFrame, cols: tuple[str, ...] = NUMERIC) -> DataFrame:
     """Count, mean, sample std, min, 25/50/75 % (exact, linear) and max
-    per numeric column, in three passes over the table: an aggregate for the
-    means of all columns, one for the squares around them, one value
-    histogram of all columns (each row exploded once per column) for the
-    quantiles.
+    per numeric column, in two passes over the table: one for counts, sums and
+    squares of all columns by bucket of the value, one for the values in the
+    buckets that hold the quartiles (:func:`quantiles.refined_quantiles`).
 
     Sums are exact decimals and become double once, so mean and variance do
-    not depend on the order rows arrive in. With m the mean to two decimals
-    and d = x - m: var = (Σd² - (Σd)²/n) / (n - 1), where nothing cancels;
-    std is reported to 6 decimals.
+    not depend on the order rows arrive in. With m the mean to two decimals,
+    the sums around it follow exactly: Σ(x-m) = Σx - nm and Σ(x-m)² = Σx² -
+    2mΣx + nm², so var = (Σd² - (Σd)²/n) / (n - 1) of d = x - m, where nothing
+    cancels; std is reported to 6 decimals.
     """
-    exact = {c: F.col(c).cast("decimal(18,2)") for c in cols}
-    first = df.agg(*[a for c in cols for a in (
-        F.count(c).alias(f"{c}__n"),
-        F.sum(exact[c]).cast("double").alias(f"{c}__s"),
-        F.min(c).cast("double").alias(f"{c}__min"),
-        F.max(c).cast("double").alias(f"{c}__max"))])
-    first = materialize(first.withColumns({f"{c}__m": F.when(
-        F.col(f"{c}__n") > 0, F.round(F.col(f"{c}__s") / F.col(f"{c}__n"), 2)).cast("decimal(18,2)") for c in cols}))
-    around = {c: exact[c] - first.select(f"{c}__m").scalar() for c in cols}
-    second = df.agg(*[a for c in cols for a in (
-        F.sum(around[c]).cast("double").alias(f"{c}__d"),
-        F.sum((around[c] * around[c]).cast("decimal(38,4)")).cast("double").alias(f"{c}__dd"))])
-    whole = second.select(F.struct(*second.columns)).scalar()
-    stats = first.withColumn("_w", whole).select(F.explode(F.array(*[
-        F.struct(F.lit(c).alias("column"), F.col(f"{c}__n").alias("count"),
-                 F.col(f"{c}__s").alias("_s"), F.col(f"_w.{c}__d").alias("_d"), F.col(f"_w.{c}__dd").alias("_dd"),
-                 F.col(f"{c}__min").alias("min"), F.col(f"{c}__max").alias("max"))
-        for c in cols])).alias("_r")).select("_r.*")
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("decimal(18,2)").alias("value")) for c in cols]))
+    values = df.select(each.alias("_v")).select("_v.*")
+    x = F.col("value")
+    buckets = materialize(bucket_table(values, "value", ("column",), (
+        F.sum(x).alias("_s"), F.sum((x * x).cast("decimal(38,4)")).alias("_ss"), F.min(x).alias("min"), F.max(x).alias("max"))))
+    whole = lambda c: F.sum(c).cast("decimal(38,4)")
+    stats = buckets.groupBy("column").agg(
+        F.sum("_n").alias("count"), whole("_s").alias("_s"), whole("_ss").alias("_ss"),
+        F.min("min").cast("double").alias("min"), F.max("max").cast("double").alias("max"))
     n = F.col("count")
-    var = (F.col("_dd") - (F.col("_d") * F.col("_d")) / n) / (n - F.lit(1))
-    stats = stats.select(
-        "column", "count",
-        F.when(n > 0, F.col("_s") / n).alias("mean"),
-        F.when(n > 1, rnd(F.sqrt(F.greatest(var, F.lit(0.0))), 6)).alias("std"),
-        "min", "max")
-    values = df.select(F.explode(F.array(*[
-        F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in cols]))
-        .alias("_v")).select("_v.*")
-    q = exact_quantiles(values, "value", [0.25, 0.5, 0.75], ["p25", "p50", "p75"],
-                        group_cols=("column",))
-    return (stats.join(q, "column", "left")
-            .select("column", "count", "mean", "std", "min", "p25", "p50", "p75", "max"))
+    m = F.round(F.col("_s").cast("double") / n, 2).cast("decimal(18,2)")
+    d = (F.col("_s") - m * n).cast("double")
+    dd = ((F.col("_ss") - (2 * m * F.col("_s")).cast("decimal(38,4)")).cast("decimal(38,4)") + (m * m * n).cast("decimal(38,4)")).cast("double")
+    var = (dd - (d * d) / n) / (n - F.lit(1))
+    stats = stats.select("column", "count", (F.col("_s").cast("double") / n).alias("mean"),
+                         F.when(n > 1, rnd(F.sqrt(F.greatest(var, F.lit(0.0))), 6)).alias("std"), "min", "max")
+    q = refined_quantiles(values, buckets, "value", [0.25, 0.5, 0.75], ["p25", "p50", "p75"], ("column",))
+    every = df.sparkSession.createDataFrame([(c,) for c in cols], "column string")
+    return (every.join(stats, "column", "left").join(q, "column", "left")
+            .select("column", F.coalesce("count", F.lit(0).cast("bigint")).alias("count"), "mean", "std", "min", "p25", "p50", "p75", "max"))
