@@ -50,7 +50,8 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [("language ID", language), ("n-gram Jaccard join", near_duplicates), ("benchmark decontamination", decontamination),
           ("mixing sources to target weights", mix), ("token-ID / binary output", tokens)]
 
-#: SQL can't express the stages; tests/llm hold them against brute force.
+#: SQL can't express the stages; tests/llm/test_pipeline.py holds each against
+#: plain Python on its own input.
 ORACLE_SQL = None
 
 
