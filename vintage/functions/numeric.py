@@ -73,6 +73,31 @@ def stable_avg(c, places: int, over=None) -> Column:
     )
 
 
+#: Units of the whole numbers that :func:`exact_sum` adds up.
+LIMBS = tuple(2.0 ** k for k in (80, 40, 0, -40, -80))
+#: From here on values are added as they are.
+LIMIT = 2.0 ** 140
+
+
+def exact_sum(c) -> Column:
+    """Sum of doubles that doesn't depend on their order and needs no scale:
+    each value is cut, exactly, into whole numbers of five units, which are
+    added as whole numbers (partial aggregates of five bigints; nothing is
+    collected). What a value has below 2^-80 is left off. Infinite values and
+    those from 2^140 on give their own float sum. Aggregate expression."""
+    x = _c(c)
+    small = F.abs(x) < F.lit(LIMIT)
+    rest, parts = F.when(small, x), []
+    for unit in LIMBS:
+        n = F.when(rest < 0, F.ceil(rest / F.lit(unit))).otherwise(F.floor(rest / F.lit(unit)))
+        parts.append(F.sum(n).cast("double") * F.lit(unit))
+        rest = F.when(small, x % F.lit(unit))  # exact, as all of this
+    total = parts[0]
+    for part in parts[1:]:
+        total = total + part
+    return F.coalesce(F.sum(F.when(~small, x)), total)
+
+
 def _let(value: Column, body) -> Column:
     """``body`` of a value that is computed once, however often it is used."""
     return F.transform(F.array(value), body)[0]

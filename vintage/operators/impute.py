@@ -25,7 +25,7 @@ import random
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vintage.functions import fixed, stable_avg
+from vintage.functions import exact_sum, fixed, stable_avg
 from vintage.operators.matrix import abs_rates, observed
 from vintage.operators.trees import ordered_sum, predictions, search_predictions
 from vintage.params import FOREST_TREES, MODEL_SEED, Params
@@ -134,25 +134,20 @@ def knn_regress(train: DataFrame, query: DataFrame, k: int, places: int,
     return query.join(pred, qk, "left")
 
 
-def _fold_sum(col: str):
-    """Sum in ascending value order (deterministic; the group is a test set
-    of one matrix, bounded by months²)."""
-    return F.aggregate(F.array_sort(F.collect_list(col)), F.lit(0.0), lambda a, x: a + x)
-
-
 def r2(pred: DataFrame, seg: tuple[str, ...] = (), y: str = "value",
        yhat: str = "prediction") -> DataFrame:
-    """Coefficient of determination 1 - SS_res / SS_tot per segment."""
+    """Coefficient of determination 1 - SS_res / SS_tot per segment, from
+    sums that don't depend on the order of rows (:func:`exact_sum`)."""
     seg = list(seg)
     pred = pred.where(F.col(yhat).isNotNull())
-    mean = pred.groupBy(*seg).agg((_fold_sum(y) / F.count(F.lit(1))).alias("_ybar"))
+    mean = pred.groupBy(*seg).agg((exact_sum(y) / F.count(F.lit(1))).alias("_ybar"))
     if seg:
         j = pred.join(mean, seg)
     else:
         j = pred.withColumn("_ybar", mean.select("_ybar").scalar())
     j = j.select(*seg, ((F.col(y) - F.col(yhat)) * (F.col(y) - F.col(yhat))).alias("_res"),
                  ((F.col(y) - F.col("_ybar")) * (F.col(y) - F.col("_ybar"))).alias("_tot"))
-    return (j.groupBy(*seg).agg(_fold_sum("_res").alias("_ssr"), _fold_sum("_tot").alias("_sst"))
+    return (j.groupBy(*seg).agg(exact_sum("_res").alias("_ssr"), exact_sum("_tot").alias("_sst"))
             .select(*seg, (F.lit(1.0) - F.col("_ssr") / F.col("_sst")).alias("r2")))
 
 

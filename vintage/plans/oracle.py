@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from vintage.params import Params
 from vintage.plans.sqlfrag import (
-    cols, dbl, ltv_quotient, month_diff, month_start, nan_to_null, part, rnd, stable_avg,
+    cols, dbl, exact_sum, ltv_quotient, month_diff, month_start, nan_to_null, part, rnd, stable_avg,
     with_ctes, year_start,
 )
 
@@ -349,10 +349,6 @@ def heatmap_sql(p: Params, measure: str) -> str:
 MATRIX_MEASURES = {"retention": ("retention_rate_abs_val", 4), "ltv": ("traditional_ltv", 1)}
 
 
-def _fold_sum(x: str) -> str:
-    return f"list_reduce(list_sort(list({x})), lambda a, b: a + b)"
-
-
 def impute_ctes(p: Params, measure: str) -> CTE:
     value, places = MATRIX_MEASURES[measure]
     seg = tuple(p.segment_cols)
@@ -383,10 +379,10 @@ WHERE NOT EXISTS (SELECT 1 FROM mcells m WHERE m.row_idx = r.row_idx AND m.col_i
   FROM {query} q JOIN (SELECT * FROM splitc WHERE NOT is_test) t ON {same("q", "t")})
 WHERE rk <= {p.knn_k} GROUP BY {at}"""
     test_pred = f"""SELECT s.*, k.prediction FROM splitc s LEFT JOIN knn_t k USING ({at}) WHERE s.is_test"""
-    r2 = f"""SELECT 1.0::DOUBLE - {_fold_sum("(value - prediction) * (value - prediction)")}
-    / {_fold_sum("(value - ybar) * (value - ybar)")} AS r2
-FROM (SELECT *, (SELECT {_fold_sum("value")} / count(*) FROM test_pred WHERE prediction IS NOT NULL) AS ybar
-      FROM test_pred WHERE prediction IS NOT NULL)"""
+    r2 = f"""SELECT 1.0::DOUBLE - {exact_sum("res")} / {exact_sum("tot")} AS r2
+FROM (SELECT (value - prediction) * (value - prediction) AS res, (value - ybar) * (value - ybar) AS tot
+      FROM (SELECT *, (SELECT {exact_sum("value")} / count(*) FROM test_pred WHERE prediction IS NOT NULL) AS ybar
+            FROM test_pred WHERE prediction IS NOT NULL))"""
     filled = f"""SELECT *, CASE WHEN value IS NOT NULL THEN printf('%.2f', value) END AS label FROM (
 SELECT {at}, cohort, period_number, value, FALSE AS is_predicted FROM mcells
 UNION ALL

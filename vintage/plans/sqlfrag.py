@@ -4,6 +4,8 @@ association so both engines produce the same doubles."""
 
 from __future__ import annotations
 
+from vintage.functions.numeric import LIMBS, LIMIT
+
 INF = "CAST('infinity' AS DOUBLE)"
 
 
@@ -52,6 +54,16 @@ def stable_avg(x: str, places: int, over: str | None = None) -> str:
             f" WHEN {n_pos} > 0 THEN {INF} WHEN {n_neg} > 0 THEN -{INF} ELSE {exact} END)")
 
 
+def exact_sum(x: str) -> str:
+    """Twin of ``functions.exact_sum``."""
+    small, rest, parts = f"abs({x}) < {dbl(LIMIT)}", f"(CASE WHEN abs({x}) < {dbl(LIMIT)} THEN {x} END)", []
+    for unit in LIMBS:
+        n = f"trunc({rest} / {dbl(unit)})"
+        parts.append(f"CAST(sum(CAST({n} AS BIGINT)) AS DOUBLE) * {dbl(unit)}")
+        rest = f"(CASE WHEN {small} THEN sign({x}) * fmod(abs({x}), {dbl(unit)}) END)"
+    return f"COALESCE(sum(CASE WHEN NOT ({small}) THEN {x} END), {' + '.join(parts)})"
+
+
 def with_ctes(ctes: list[tuple[str, str]], final: str) -> str:
     body = ",\n".join(f"{name} AS (\n{sql}\n)" for name, sql in ctes)
     return f"WITH {body}\n{final}"
