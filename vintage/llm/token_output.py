@@ -43,7 +43,7 @@ TAIL = struct.Struct("<QQ8s")  # directory bytes, payload bytes, magic
 #: Text bytes a shard file takes, about; a longer document has a longer file.
 SHARD_BYTES = 12 << 20
 #: Words whose ids a worker remembers.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 #: How byte-level vocabularies write the space.
 SPACE = "Ġ"
 MARKS = ".,;:!?"
@@ -298,7 +298,7 @@ def split_words(texts: list[str]) -> tuple[np.ndarray, pa.Array, np.ndarray]:
 _PIECES: dict[tuple[str, int], Pieces] = {}
 
 
-def portions(texts: pa.Array, size: int = 1 << 22) -> Iterator[list[str]]:
+def portions(texts: pa.Array, size: int = 1 << 21) -> Iterator[list[str]]:
     """The texts (null: empty) in lists of about ``size`` characters."""
     own, held = [], 0
     for text in texts:
@@ -376,6 +376,7 @@ def read_token_files(spark: SparkSession, path: str, width: int) -> DataFrame:
     n_tokens, ids_crc32 (of the ids as 32-bit little-endian)."""
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _PIECES.clear()  # a worker that has encoded needs its words no more
+        pa.default_memory_pool().release_unused()
         for batch in batches:
             for name, content in zip(batch.column(0), batch.column(1), strict=True):
                 shard, rows = Shard(content.as_buffer(), width), []
