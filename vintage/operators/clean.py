@@ -106,8 +106,12 @@ def with_cohort(rows: DataFrame, first: DataFrame, p: Params, split: bool = Fals
 def branch_b(txn: DataFrame, p: Params) -> DataFrame:
     """Every dated row, cohort = month of the customer's first
     transaction over *all* countries, products and returns (row level)."""
-    rows = with_cohort(dated(txn, p), first_transaction(txn), p, split=True)
-    return rows.select(
+    return branch_b_rows(dated(txn, p), first_transaction(txn), p, split=True)
+
+
+def branch_b_rows(rows: DataFrame, first: DataFrame, p: Params, split: bool) -> DataFrame:
+    """Dated rows with their cohort, period and years (see :func:`branch_b`)."""
+    return with_cohort(rows, first, p, split).select(
         "*",
         F.trunc("first_transaction_date", "YEAR").alias("first_transaction_yr"),
         F.trunc("transaction_date", "YEAR").alias("record_level_transaction_yr"),

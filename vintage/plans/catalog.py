@@ -5,6 +5,7 @@ checks). ``__spark_entry__`` only re-exports this registry.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,8 +19,9 @@ from vintage.params import FIXTURE_FIRST_MONTH, months_between
 from vintage.params import FIXTURE_PARAMS as P
 from vintage.plans import oracle as O
 from vintage.plans.sqlfrag import with_ctes
-from vintage.session import materialize
+from vintage.session import ensure_checkpoint_dir, materialize
 from vintage.sources import transactions, transactions_from_tables
+from vintage.sources.store import write_customer_store
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, tuple[QueryFn, Callable[[], str] | None]] = {}
@@ -76,6 +78,26 @@ def q_branch_b(spark, sf):
     return K.branch_b(txn(spark, sf), P).select(*[c.strip() for c in _BRANCH_B_COLS.split(",")])
 
 
+def _store(spark, sf):
+    """The mapped table by customer, in a new folder below the shared one."""
+    name = f"transactions_{uuid.uuid4().hex[:12]}"
+    return write_customer_store(txn(spark, sf), name, f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}", buckets=16)
+
+
+@register("branch_b_stored", lambda: with_ctes([*O.transactions_ctes(), *O.branch_b_ctes(P)],
+                                                f"SELECT {_BRANCH_B_COLS} FROM rows_b"))
+def q_branch_b_stored(spark, sf):
+    """F5–F8, K2, X5 over a table bucketed by customer."""
+    return _store(spark, sf).branch_b(P).select(*[c.strip() for c in _BRANCH_B_COLS.split(",")])
+
+
+@register("first_transaction_stored", lambda: with_ctes([*O.transactions_ctes(), *O.branch_b_ctes(P)],
+                                                         "SELECT * FROM first_txn"))
+def q_first_transaction_stored(spark, sf):
+    """A4 over a table bucketed by customer."""
+    return _store(spark, sf).first_transactions()
+
+
 @register("first_transaction", lambda: with_ctes([*O.transactions_ctes(), *O.branch_b_ctes(P)],
                                                   "SELECT * FROM first_txn"))
 def q_first_transaction(spark, sf):
