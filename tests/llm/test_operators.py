@@ -374,3 +374,22 @@ def test_evidence_of_an_address(spark):
                       langid.declared_in(F.lit('<HTML class="a" lang=\'FR-ca\'>')).alias("l")).collect()
     assert tuple(got[0]) == ("blog.example.co.uk", "co.uk", "uk", "fr")
     assert got[1].h == "" and got[2].h is None
+
+
+def test_shards_are_ordered_by_number(spark, docs, tmp_path):
+    import pathlib
+    import shutil
+    path, out = queries.tokenizer_file("byte_bpe_50k.json"), tmp_path / "ids"
+    token_output.write_token_files(docs, str(out), path, shard_bytes=1)
+    want = {r.doc_id: r.start for r in token_output.read_token_files(spark, str(out), 2).collect()}
+    parts = sorted(x for x in pathlib.Path(out).glob("part-*") if x.stat().st_size)
+    assert len(parts) > 2
+    moved = tmp_path / "moved"
+    moved.mkdir()
+    for k, x in enumerate(parts):  # from part-99999 on, the text order of names is another
+        shutil.copy(x, moved / f"part-{99_999 + k}-{x.name.split('-', 2)[2]}")
+    assert {r.doc_id: r.start for r in token_output.read_token_files(spark, str(moved), 2).collect()} == want
+    nothing = token_output.lookup(spark, str(out), spark.createDataFrame([], "doc_id long"), 2)
+    assert nothing.count() == 0
+    some = docs.limit(3).select("doc_id")
+    assert token_output.lookup(spark, str(out), some.union(some), 2).count() == docs.join(some, "doc_id").count()
