@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from vintage.operators import cells as C
 from vintage.operators import clean as K
+from vintage.operators import incremental as INC
 from vintage.operators import levels as LV
 from vintage.operators import sketches as SK
 from vintage.params import FIXTURE_FIRST_MONTH, months_between
@@ -542,3 +543,16 @@ def q_cohort_cells_by_level(spark, sf):
     """K13 by country and product type, by each, and over all, from one scan
     of each branch."""
     return LV.cells_by_level(txn(spark, sf), P_LEVELS)
+
+
+@register("cohort_cells_incremental", _full_sql("SELECT * FROM cells"))
+def q_cohort_cells_incremental(spark, sf):
+    """K13 from a state that three batches were added to: odd customers' rows
+    from 1998 on, even customers' ones, then all earlier rows (which move first
+    dates) and those without a date."""
+    rows = txn(spark, sf)
+    late, odd = F.coalesce(F.col("transaction_date") >= "1998-01-01", F.lit(False)), F.coalesce(F.col("customer_id").cast("long") % 2 == 1, F.lit(False))
+    state = INC.CohortState(spark, f"{ensure_checkpoint_dir(spark).rstrip('/')}/cohorts_{uuid.uuid4().hex[:12]}", P)
+    for batch in (late & odd, late & ~odd, ~late):
+        state.append(rows.where(batch))
+    return state.cells()
