@@ -28,4 +28,4 @@ def test_every_query_has_docstring_and_known_check():
     for name, (fn, sql) in REGISTRY.items():
         assert fn.__doc__, name
         if sql is None:
-            assert name.startswith(("model_scores_", "best_filled_")), name
+            assert name.startswith(("model_scores_", "model_predictions_", "random_search_", "best_filled_")), name

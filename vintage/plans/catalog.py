@@ -535,7 +535,7 @@ def _levels_sql() -> str:
         own = ", ".join(c if c in kept else f"'{LV.ALL}' AS {c}" for c in cols)
         inner = with_ctes(O.full_cells_ctes(P_LEVELS.with_(segment_cols=kept)), "SELECT * FROM cells")
         parts.append(f"SELECT {own}, {O.CELL_COLUMNS} FROM ({inner})")
-    return "\nUNION ALL\n".join(parts)
+    return with_ctes([("levels", "\nUNION ALL\n".join(parts))], "SELECT * FROM levels")
 
 
 @register("cohort_cells_by_level", _levels_sql)
