@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from vintage.functions import ltv_quotient, month_diff, nan_to_null, rnd, stable_avg
 from vintage.operators.clean import branch_a, dated, first_transaction, known_segments, with_cohort
 from vintage.params import Params
+from vintage.session import materialize
 
 CELL_KEYS = ("cohort", "txn_month")
 
@@ -87,25 +88,32 @@ def base_cells(txn: DataFrame, p: Params) -> DataFrame:
     return with_arpu(c)
 
 
+def transaction_set(txn: DataFrame, p: Params, cols: list[str]) -> DataFrame:
+    """The set of (``cols``, customer, month, transaction) of dated rows with
+    its earliest day, from one pass over the lines. It is counted several ways,
+    so it is written once; it has a row per transaction, not per line."""
+    return materialize(dated(txn, p).groupBy(*cols, "customer_id", "txn_month", "transaction_id")
+                       .agg(F.min("transaction_date").alias("transaction_date")))
+
+
 def purchases(txn: DataFrame, p: Params) -> DataFrame:
     """K8 on branch B: distinct transactions and customers per cell and their
     ratio (see :func:`purchases_of`)."""
-    return purchases_of(known_segments(dated(txn, p), p), txn, p)
+    pairs = transaction_set(txn, p, list(p.segment_cols))
+    return purchases_of(known_segments(pairs, p), first_transaction(pairs), p)
 
 
-def purchases_of(rows: DataFrame, txn: DataFrame, p: Params) -> DataFrame:
-    """K8 of dated rows; first transactions are those of ``txn``.
+def purchases_of(pairs: DataFrame, first: DataFrame, p: Params) -> DataFrame:
+    """K8 of a set of (segment, customer, month, transaction); ``first``: the
+    customers' first dates.
 
-    Rows are first reduced to the set of (customer, month, transaction). A
-    customer is in one cell a month, so per customer and month the set is
+    A customer is in one cell a month, so per customer and month the set is
     counted before the cohort join, and a cell's customers and (customer,
     transaction) pairs are plain sums; nothing is expanded for two distinct
     counts. A transaction of several customers makes more than one pair of a
     cell; those few, found by one more count of the set, are taken off."""
     seg = list(p.segment_cols)
     keys = [*seg, "cohort", "txn_month", "period_number"]
-    pairs = rows.groupBy(*seg, "customer_id", "txn_month", "transaction_id").agg(F.count(F.lit(1)).alias("_rows"))
-    first = first_transaction(txn)
     per_customer = pairs.groupBy(*seg, "customer_id", "txn_month").agg(F.count("transaction_id").alias("_pairs"))
     cell = (with_cohort(per_customer, first, p).groupBy(*keys)
             .agg(F.sum("_pairs").alias("_pairs"), F.count(F.lit(1)).alias("total_customers")))

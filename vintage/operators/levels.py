@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from vintage.functions import month_diff, month_start
 from vintage.operators import cells as C
-from vintage.operators.clean import clean, dated
+from vintage.operators.clean import clean, first_transaction
 from vintage.params import Params
 
 #: What a level shows for a column it doesn't keep.
@@ -70,8 +70,8 @@ def cells_by_level(txn: DataFrame, p: Params, cols: tuple[str, ...] = ("country"
     c = rolled_up(cell_states(txn, p, own), own)
     c = C.with_arpu(C.with_revenue(C.with_active_lost(C.with_retention(c, q), q), q))
     plain = p.with_(segment_cols=())
-    pairs = dated(txn, plain).select(*own, "customer_id", "transaction_date", "txn_month", "transaction_id").distinct()
-    b = at_levels(pairs, own)
-    c = C.with_purchases(c, C.purchases_of(b, pairs, q), q)
+    pairs = C.transaction_set(txn, plain, own)
+    b = at_levels(pairs, own).drop("transaction_date").distinct()  # a set at every level
+    c = C.with_purchases(c, C.purchases_of(b, first_transaction(pairs), q), q)
     c = C.with_ltv(C.with_margin(C.with_ltv_inputs(c, q), q), q)
     return c.select(*own, *C.CELL_COLUMNS)
