@@ -3,6 +3,7 @@
 import contextlib
 import io
 import random
+import re
 
 import pytest
 from conftest import GOLDEN_PARAMS, F_, M, SF, make_txn
@@ -53,3 +54,27 @@ def test_states_are_read_once(spark):
         REGISTRY["cohort_cells_by_level"][0](spark, SF).explain("formatted")
     scans = buf.getvalue().count("lineitem.parquet")
     assert "Expand" in buf.getvalue() and scans <= 8, scans  # not 4 x the scans of one level
+
+
+def test_no_transaction_moves_once_per_level(spark, txn):
+    """Only transactions of several customers meet by segment and transaction,
+    and those have their cohort; the others are counted inside their sets."""
+    buf = io.StringIO()
+    with contextlib.redirect_stdout(buf):
+        LV.cells_by_level(txn, P).explain("formatted")
+    dealt = re.findall(r"hashpartitioning\(([^\n]*)", buf.getvalue())
+    assert dealt and all("cohort" in x for x in dealt if "transaction_id" in x and "country" in x)
+
+
+def test_first_months_join_at_order_grain(spark):
+    """No exchange deals the lines out by customer to give them a first month."""
+    buf = io.StringIO()
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        with contextlib.redirect_stdout(buf):
+            REGISTRY["transactions"][0](spark, SF).explain("formatted")
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    moved = [b for b in buf.getvalue().split("\n\n") if ") Exchange" in b.partition("\n")[0] and "quantity" in b]
+    assert len(moved) == 2, moved  # by part, by order

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from vintage.functions import ltv_quotient, month_diff, nan_to_null, rnd, stable_avg
 from vintage.operators.clean import branch_a, dated, first_transaction, known_segments, with_cohort
 from vintage.params import Params
-from vintage.session import materialize
+from vintage.session import staged
 
 CELL_KEYS = ("cohort", "txn_month")
 
@@ -92,8 +92,8 @@ def transaction_set(txn: DataFrame, p: Params, cols: list[str]) -> DataFrame:
     """The set of (``cols``, customer, month, transaction) of dated rows with
     its earliest day, from one pass over the lines. It is counted several ways,
     so it is written once; it has a row per transaction, not per line."""
-    return materialize(dated(txn, p).groupBy(*cols, "customer_id", "txn_month", "transaction_id")
-                       .agg(F.min("transaction_date").alias("transaction_date")))
+    return staged(dated(txn, p).groupBy(*cols, "customer_id", "txn_month", "transaction_id")
+                  .agg(F.min("transaction_date").alias("transaction_date")))
 
 
 def purchases(txn: DataFrame, p: Params) -> DataFrame:
@@ -117,11 +117,22 @@ def purchases_of(pairs: DataFrame, first: DataFrame, p: Params) -> DataFrame:
     per_customer = pairs.groupBy(*seg, "customer_id", "txn_month").agg(F.count("transaction_id").alias("_pairs"))
     cell = (with_cohort(per_customer, first, p).groupBy(*keys)
             .agg(F.sum("_pairs").alias("_pairs"), F.count(F.lit(1)).alias("total_customers")))
+    return purchase_counts(cell, with_cohort(of_several_customers(pairs, seg), first, p), keys)
+
+
+def of_several_customers(pairs: DataFrame, seg: list[str]) -> DataFrame:
+    """The elements of a transaction set whose transaction has several
+    customers in a segment and month. They are few as a rule; their list is
+    written, so that the planner knows whether the set must move for it."""
     several = (pairs.groupBy(*seg, "txn_month", "transaction_id").agg(F.count(F.lit(1)).alias("_customers"))
-               .where("_customers > 1 and transaction_id is not null"))
-    shared = pairs.join(several, [*seg, "txn_month", "transaction_id"], "left_semi")
-    over = (with_cohort(shared, first, p).groupBy(*keys)
-            .agg((F.count(F.lit(1)) - F.countDistinct("transaction_id")).alias("_over")))
+               .where("_customers > 1 and transaction_id is not null").drop("_customers"))
+    return pairs.join(staged(several), [*seg, "txn_month", "transaction_id"], "left_semi")
+
+
+def purchase_counts(cell: DataFrame, shared: DataFrame, keys: list[str]) -> DataFrame:
+    """Transactions, customers and their ratio by cell: ``cell`` has the pairs
+    of customer and transaction, ``shared`` those of :func:`of_several_customers`."""
+    over = shared.groupBy(*keys).agg((F.count(F.lit(1)) - F.countDistinct("transaction_id")).alias("_over"))
     total = F.col("_pairs") - F.coalesce(F.col("_over"), F.lit(0))
     return (cell.join(over, keys, "left")
             .select(*keys, total.alias("total_transactions"), "total_customers")

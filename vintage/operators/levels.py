@@ -3,9 +3,11 @@
 
 Counts and revenue add up, so branch A is aggregated once, to states per finest
 segment and cell, and ``GROUPING SETS`` over the states give all levels. Distinct
-transactions and customers don't add up: branch B is reduced once to the set of
-(segment, customer, month, transaction), each element of which then counts at
-every level (the set, not the rows, is repeated). Rates, running sums, means
+transactions and customers don't add up: branch B is reduced once to the
+transactions of each customer and month, each with the set of its finest
+segments (as many as occur, not as many as lines). What a level counts once is
+found inside that set, so nothing is repeated for the levels before the counts
+of the cells. Rates, running sums, means
 and LTV are computed after the roll-up, with the level as the segment. A level
 without a column has ALL there; rows with a null in a column leave the levels
 that keep it and stay in the others."""
@@ -14,13 +16,14 @@ from __future__ import annotations
 
 from itertools import combinations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vintage.functions import month_diff, month_start
 from vintage.operators import cells as C
-from vintage.operators.clean import clean, first_transaction
+from vintage.operators.clean import clean, dated, first_transaction
 from vintage.params import Params
+from vintage.session import staged
 
 #: What a level shows for a column it doesn't keep.
 ALL = "(all)"
@@ -54,12 +57,43 @@ def rolled_up(states: DataFrame, cols: list[str]) -> DataFrame:
             .drop(*[f"_all_{c}" for c in cols]).withColumn("period_number", month_diff("txn_month", "cohort")))
 
 
-def at_levels(rows: DataFrame, cols: list[str]) -> DataFrame:
-    """Each row once for every level that has its segment."""
-    each = F.explode(F.array(*[F.struct(*[(F.col(c) if c in kept else F.lit(ALL)).alias(c) for c in cols]) for kept in levels(cols)]))
-    others = [c for c in rows.columns if c not in cols]
-    out = rows.select(*others, each.alias("_level")).select(*others, *[F.col(f"_level.{c}").alias(c) for c in cols])
-    return out.dropna(subset=cols)
+def at_levels(segments: Column, cols: list[str]) -> Column:
+    """The distinct segments of all levels that the finest ones belong to; a
+    segment with a null is none of the levels that keep the column."""
+    def of(s: Column) -> Column:
+        return F.array(*[F.struct(*[(s[c] if c in kept else F.lit(ALL)).alias(c) for c in cols]) for kept in levels(cols)])
+
+    def known(s: Column) -> Column:
+        return F.forall(F.array(*[s[c].isNotNull() for c in cols]), lambda x: x)
+    return F.filter(F.array_distinct(F.flatten(F.transform(segments, of))), known)
+
+
+def transaction_segments(txn: DataFrame, p: Params, cols: list[str]) -> DataFrame:
+    """The set of (customer, month, transaction) of dated rows with its finest
+    segments and earliest day, from one pass over the lines, written once."""
+    return staged(dated(txn, p).groupBy("customer_id", "txn_month", "transaction_id")
+                  .agg(F.sort_array(F.collect_set(F.struct(*cols))).alias("_segments"), F.min("transaction_date").alias("transaction_date")))
+
+
+def purchases_at_levels(sets: DataFrame, p: Params, cols: list[str]) -> DataFrame:
+    """K8 at every level (see ``cells.purchases_of``) of
+    :func:`transaction_segments`. A customer's month is one row with the sets
+    of segments that occur in it; it adds a customer to each of its levels'
+    segments, and each of its transactions a pair. Transactions of several
+    customers, few, are taken off."""
+    keys, first = [*cols, "cohort", "txn_month", "period_number"], first_transaction(sets)
+    months = (sets.groupBy("customer_id", "txn_month", "_segments").agg(F.count("transaction_id").alias("_n"))
+              .groupBy("customer_id", "txn_month").agg(F.collect_list(F.struct("_n", "_segments")).alias("_own")))
+    pairs = F.transform("_own", lambda o: F.transform(at_levels(o["_segments"], cols), lambda s: F.struct(s.alias("s"), o["_n"].alias("pairs"), F.lit(0).alias("customers"))))
+    customers = F.transform(at_levels(F.flatten(F.col("_own._segments")), cols),
+                            lambda s: F.struct(s.alias("s"), F.lit(0).cast("long").alias("pairs"), F.lit(1).alias("customers")))
+    cell = (C.with_cohort(months, first, p).select("cohort", "txn_month", "period_number", F.explode(F.concat(F.flatten(pairs), customers)).alias("_c"))
+            .select("cohort", "txn_month", "period_number", "_c.s.*", "_c.pairs", "_c.customers").groupBy(*keys)
+            .agg(F.sum("pairs").alias("_pairs"), F.sum("customers").alias("total_customers")))
+    shared = (C.with_cohort(C.of_several_customers(sets, []), first, p)
+              .select("transaction_id", "cohort", "txn_month", "period_number", F.explode(at_levels(F.col("_segments"), cols)).alias("_s"))
+              .select("transaction_id", "cohort", "txn_month", "period_number", "_s.*"))
+    return C.purchase_counts(cell, shared, keys)
 
 
 def cells_by_level(txn: DataFrame, p: Params, cols: tuple[str, ...] = ("country", "product_type")) -> DataFrame:
@@ -69,9 +103,7 @@ def cells_by_level(txn: DataFrame, p: Params, cols: tuple[str, ...] = ("country"
     own, q = list(cols), p.with_(segment_cols=tuple(cols))
     c = rolled_up(cell_states(txn, p, own), own)
     c = C.with_arpu(C.with_revenue(C.with_active_lost(C.with_retention(c, q), q), q))
-    plain = p.with_(segment_cols=())
-    pairs = C.transaction_set(txn, plain, own)
-    b = at_levels(pairs, own).drop("transaction_date").distinct()  # a set at every level
-    c = C.with_purchases(c, C.purchases_of(b, first_transaction(pairs), q), q)
+    sets = transaction_segments(txn, p.with_(segment_cols=()), own)
+    c = C.with_purchases(c, purchases_at_levels(sets, q, own), q)
     c = C.with_ltv(C.with_margin(C.with_ltv_inputs(c, q), q), q)
     return c.select(*own, *C.CELL_COLUMNS)

@@ -34,13 +34,23 @@ def split_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner",
     if how not in ("inner", "left"):
         raise ValueError("inner or left")
     heavy = frequent(left, key, share) if heavy is None else heavy
-    heavy = F.broadcast(heavy)  # at most REPORTED keys
-    spread = F.pmod(F.xxhash64(*left.columns), F.lit(parts)).cast("int")
-    rows = left.join(heavy, F.col(key) == F.col("_heavy"), "left")
-    rows = rows.withColumn("_salt", F.when(F.col("_heavy").isNotNull() | F.col(key).isNull(), spread).otherwise(0)).drop("_heavy")
+    rows = salted(left, key, heavy, left.columns, parts)
     if how == "inner":
         rows = rows.where(F.col(key).isNotNull())
+    return rows.join(each_salt(right, key, heavy, parts), [key, "_salt"], how).drop("_salt")
+
+
+def salted(left: DataFrame, key: str, heavy: DataFrame, by: list[str], parts: int = 64) -> DataFrame:
+    """``left`` with ``_salt``: a number made of the columns ``by`` in rows of
+    heavy and of null keys, 0 in the others."""
+    heavy = F.broadcast(heavy)  # at most REPORTED keys
+    spread = F.pmod(F.xxhash64(*by), F.lit(parts)).cast("int")
+    rows = left.join(heavy, F.col(key) == F.col("_heavy"), "left")
+    return rows.withColumn("_salt", F.when(F.col("_heavy").isNotNull() | F.col(key).isNull(), spread).otherwise(0)).drop("_heavy")
+
+
+def each_salt(right: DataFrame, key: str, heavy: DataFrame, parts: int = 64) -> DataFrame:
+    """The other side of :func:`salted`: rows of heavy keys once per salt."""
     salts = F.when(F.col("_heavy").isNotNull(), F.sequence(F.lit(0), F.lit(parts - 1))).otherwise(F.array(F.lit(0)))
-    other = right.where(F.col(key).isNotNull()).join(heavy, F.col(key) == F.col("_heavy"), "left")
-    other = other.withColumn("_salt", F.explode(salts)).drop("_heavy")
-    return rows.join(other, [key, "_salt"], how).drop("_salt")
+    other = right.where(F.col(key).isNotNull()).join(F.broadcast(heavy), F.col(key) == F.col("_heavy"), "left")
+    return other.withColumn("_salt", F.explode(salts)).drop("_heavy")

@@ -11,6 +11,7 @@ from __future__ import annotations
 import os
 import re
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -81,3 +82,13 @@ def materialize(df):
     executor does not send them back to the raw data."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def staged(df):
+    """Write an intermediate that is large, or whose size the planner should
+    know, once as Parquet below the checkpoint directory and read it back:
+    columns are compressed, readers take only those they need, and a join
+    broadcasts it only below Spark's threshold."""
+    path = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/staged-{uuid.uuid4().hex[:12]}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

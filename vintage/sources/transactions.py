@@ -67,13 +67,15 @@ def write_transactions(df: DataFrame, path: str, fmt: str = "parquet",
 def transactions_from_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Build ``transactions`` from lineitem ⋈ orders ⋈ customer ⋈ nation ⋈ part.
 
-    Join order keeps the big side shuffled as little as possible: customer's
-    country is attached at order grain (orders are 1/4 of lineitem), part is
-    joined on the line side, then lines meet orders once. Nulls are injected
-    by the fixed rules of FIXTURES.md §3. ``first_transaction_month`` is the
-    month of each customer's earliest dated transaction, computed on the
-    orders that have a line as a partial aggregate (one row per customer), so
-    a customer that owns a third of all rows does not land in one task.
+    Join order keeps the big side shuffled as little as possible: country and
+    first month are attached at order grain (orders are 1/4 of lineitem), part
+    is joined on the line side, then lines meet orders once. The lines carry
+    numbers and a flag through both exchanges; strings are made of them after
+    the last join. Nulls are injected by the fixed rules of FIXTURES.md §3.
+    ``first_transaction_month`` is the month of each customer's earliest dated
+    transaction, computed on the orders that have a line as a partial aggregate
+    (one row per customer), so a customer that owns a third of all rows does
+    not land in one task; a plan that doesn't ask for it doesn't compute it.
     """
     rd = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -85,50 +87,46 @@ def transactions_from_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(F.col("n_name")).alias("country"),
     )
     orders = rd("orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority")
+    nameless = F.col("o_orderkey") % 97 == 0  # orders without a customer id
     orders_c = orders.join(cust_country, orders.o_custkey == cust_country.c_custkey).select(
-        "o_orderkey",
-        F.col("o_orderkey").cast("string").alias("transaction_id"),
-        F.when(F.col("o_orderkey") % 97 == 0, F.lit(None).cast("string"))
-        .otherwise(F.col("o_custkey").cast("string")).alias("customer_id"),
+        "o_orderkey", "o_custkey",
         F.when(F.col("o_orderkey") % 89 == 0, F.lit(None).cast("date"))
         .otherwise(F.col("o_orderdate").cast("date")).alias("transaction_date"),
         F.when(F.col("o_orderpriority") == "1-URGENT", F.lit("one_time"))
         .otherwise(F.lit("monthly")).alias("frequency_of_payment"),
         "country",
     )
-    part = rd("part").select("p_partkey", "p_name", "p_type")
+    part = rd("part").select(
+        "p_partkey", "p_name", F.col("p_type").isin("MEDIUM", "STANDARD", "LARGE", "PROMO").alias("_consumer"))
     lineitem = rd("lineitem").select(
-        "l_orderkey", "l_partkey", "l_linenumber", "l_quantity", "l_extendedprice",
-        "l_discount", "l_returnflag", "l_linestatus")
-    lines = lineitem.join(part, lineitem.l_partkey == part.p_partkey).select(
-        "l_orderkey",
+        "l_orderkey", "l_partkey",
         F.when((F.col("l_orderkey") + F.col("l_linenumber")) % 53 == 0, F.lit(None).cast("decimal(18,2)"))
         .otherwise(F.round(F.col("l_extendedprice").cast("decimal(18,2)")
                            * (F.lit(1) - F.col("l_discount").cast("decimal(4,2)")), 2)
                    .cast("decimal(18,2)")).alias("transaction_amount"),
         F.when((F.col("l_returnflag") == "R") & (F.col("l_linestatus") == "F"), -F.col("l_quantity"))
-        .otherwise(F.col("l_quantity")).cast("int").alias("quantity"),
-        F.when(F.col("p_type").isin("MEDIUM", "STANDARD", "LARGE", "PROMO"),
-               F.lit("fast_moving_consumer_goods")).otherwise(F.lit("durables")).alias("product_type"),
+        .otherwise(F.col("l_quantity")).cast("int").alias("quantity"))
+    lines = lineitem.join(part, lineitem.l_partkey == part.p_partkey).drop("p_partkey")
+
+    # a customer's first month: the dated orders that have a line are enough
+    keyed = rd("lineitem").select("l_orderkey", "l_partkey").join(rd("part").select("p_partkey"), F.col("l_partkey") == F.col("p_partkey"))
+    dated = (orders_c.where("transaction_date is not null")
+             .join(keyed.select("l_orderkey"), F.col("o_orderkey") == F.col("l_orderkey"), "left_semi"))
+    month = F.trunc(F.min("transaction_date"), "MM").alias("_first_month")
+    first = dated.where(~nameless).groupBy(F.col("o_custkey").alias("_fc")).agg(month)
+    # rows without a customer share one month
+    nobody = dated.where(nameless).agg(month).scalar()
+    orders_f = orders_c.join(first, orders_c.o_custkey == first._fc, "left")
+    txn = lines.join(orders_f, lines.l_orderkey == orders_f.o_orderkey).select(
+        F.col("l_orderkey").cast("string").alias("transaction_id"),
+        F.when(nameless, F.lit(None).cast("string")).otherwise(F.col("o_custkey").cast("string")).alias("customer_id"),
+        "transaction_date",
+        F.when(nameless, nobody).otherwise(F.col("_first_month")).alias("first_transaction_month"),
+        "transaction_amount", "quantity", "frequency_of_payment",
+        F.when(F.col("_consumer"), F.lit("fast_moving_consumer_goods")).otherwise(F.lit("durables")).alias("product_type"),
+        "country",
         F.col("l_partkey").cast("string").alias("transaction_item_code"),
-        F.col("p_name").alias("transaction_item_description"),
-    )
-    txn0 = lines.join(orders_c, lines.l_orderkey == orders_c.o_orderkey).drop("l_orderkey", "o_orderkey")
-
-    # a customer's first month: the orders that have a line are enough
-    keyed = (rd("lineitem").join(rd("part"), F.col("l_partkey") == F.col("p_partkey"), "left_semi")
-             .select("l_orderkey"))
-    dated = orders_c.join(keyed, orders_c.o_orderkey == keyed.l_orderkey, "left_semi")
-    first = dated.groupBy("customer_id").agg(
-        F.trunc(F.min("transaction_date"), "MM").alias("first_transaction_month"))
-    # rows without a customer share one month; in the join they are spread over
-    # keys that match nothing, as a null key would bring them all to one task
-    nobody = first.where("customer_id is null").agg(F.max("first_transaction_month")).scalar()
-    first = first.where("customer_id is not null").withColumnRenamed("customer_id", "_fc")
-    spread = F.concat(F.lit("\x00"), F.col("transaction_id"))
-    txn = (txn0.join(first, F.coalesce("customer_id", spread) == first._fc, "left")
-           .withColumn("first_transaction_month",
-                       F.when(F.col("customer_id").isNull(), nobody).otherwise(F.col("first_transaction_month"))))
+        F.col("p_name").alias("transaction_item_description"))
     return txn.select(*TXN_COLUMNS)
 
 
