@@ -75,3 +75,23 @@ def test_hot_customer(spark, golden):
         Window.partitionBy("cohort", "txn_month", "period_number")
         .orderBy("customer_id", "product_type", "transaction_item_code", "transaction_item_description")))
     assert prof.exceptAll(ref.select(*prof.columns)).count() == 0
+
+
+def test_profile_rows_are_dealt_once(spark, golden):
+    """Groups, distinct transactions and the cohort join share one exchange."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        plan = _plan(CU.profile_agg(golden, P))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    moved = [b for b in plan.split("\n\n") if ") Exchange" in b.partition("\n")[0] and "transaction_item_code" in b]
+    assert len(moved) == 1, moved
+
+
+def test_numbered_rows_stay_where_they_are(spark, golden):
+    """The few offsets and cells are broadcast; no exchange after the slices."""
+    prof = CU.profile_rn(CU.profile_agg(golden, P), P)
+    for df in (prof, CU.attribute(prof, C.cohort_cells(golden, P), P)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan

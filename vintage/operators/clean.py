@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vintage.functions import month_diff, month_start
-from vintage.operators.skew import split_join
+from vintage.operators.ranking import _default_slices
+from vintage.operators.skew import each_salt, frequent, salted, split_join
 from vintage.params import Params
 
 REQUIRED = ("transaction_id", "customer_id", "transaction_date", "first_transaction_month")
@@ -95,8 +96,13 @@ def with_cohort(rows: DataFrame, first: DataFrame, p: Params, split: bool = Fals
     window partitioned by customer is used. ``split``: rows that weren't
     aggregated by customer before; heavy customers are spread by rule.
     """
-    as_of = F.to_date(F.lit(p.as_of))
     joined = split_join(rows, first, "customer_id") if split else rows.join(first, "customer_id", "inner")
+    return cohort_bounds(joined, p)
+
+
+def cohort_bounds(joined: DataFrame, p: Params) -> DataFrame:
+    """Cohort and period of rows that have their customer's first date."""
+    as_of = F.to_date(F.lit(p.as_of))
     out = (joined
            .withColumn("cohort", month_start("first_transaction_date"))
            .withColumn("period_number", month_diff("txn_month", "cohort")))
@@ -118,11 +124,21 @@ def branch_b_rows(rows: DataFrame, first: DataFrame, p: Params, split: bool) ->
     )
 
 
+#: Bytes of input files whose groups a task of :func:`branch_b_grouped` holds.
+GROUP_BYTES = 16 << 20
+
+
 def branch_b_grouped(txn: DataFrame, p: Params, keys: list[str], aggs: list) -> DataFrame:
     """Branch B aggregated by (customer, month, ``keys``) *before* the cohort
     join. The cohort is a function of the customer, so grouping by customer
-    and month equals grouping by cell and customer; aggregating first shrinks
-    the join's large side from rows to groups, and the partial aggregate
-    spreads a hot customer over many tasks (its keys vary)."""
-    pre = known_segments(dated(txn, p), p).groupBy("customer_id", "txn_month", *keys).agg(*aggs)
-    return with_cohort(pre, first_transaction(txn), p)
+    and month equals grouping by cell and customer.
+
+    The rows are dealt out once, by customer, and both the groups and the
+    join find them there. Groups of heavy customers are spread over salts made
+    of the group's own keys, so a group stays whole."""
+    rows = known_segments(dated(txn, p), p)
+    first, heavy = first_transaction(txn), frequent(rows, "customer_id", 0.01)
+    dealt = salted(rows, "customer_id", heavy, ["txn_month", *keys])
+    dealt = dealt.repartition(_default_slices(rows, GROUP_BYTES), "customer_id", "_salt")
+    pre = dealt.groupBy("customer_id", "_salt", "txn_month", *keys).agg(*aggs)
+    return cohort_bounds(pre.join(each_salt(first, "customer_id", heavy), ["customer_id", "_salt"]).drop("_salt"), p)

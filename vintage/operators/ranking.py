@@ -7,8 +7,8 @@ contiguous slices over many tasks:
 
 1. ``repartitionByRange(n, group + order)``, sort each slice and number its
    rows (``monotonically_increasing_id``: slice and position in one number);
-   the slices are written once with ``checkpoint()`` so every later read sees
-   the same slices, even after an executor is lost.
+   the slices are written once, as Parquet, so every later read sees the same
+   slices, even after an executor is lost; sorted columns take little room.
 2. A row's position inside its (slice, group) piece is its number less the
    piece's first number. Only a weighted sum needs a window over the piece.
 3. Per-(slice, group) totals (at most slices + groups rows) give each piece's
@@ -16,7 +16,9 @@ contiguous slices over many tasks:
 4. Join the offsets back on (slice, group).
 
 Slices hold about SLICE_BYTES of the files that the rows come from; there are
-at least as many as shuffle partitions.
+at least as many as shuffle partitions. The totals are written too: their size
+is known then, and a few of them are broadcast, so that the rows stay where
+they are.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vintage.session import ensure_checkpoint_dir
+from vintage.session import staged
 
 
 def _join_null_safe(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
@@ -35,21 +37,26 @@ def _join_null_safe(left: DataFrame, right: DataFrame, keys: list[str]) -> DataF
 
 
 #: Bytes of input files a slice stands for when ``slices`` isn't given.
-SLICE_BYTES = 256 << 20
+SLICE_BYTES = 64 << 20
 
 
-def _default_slices(df: DataFrame) -> int:
-    """As many slices as the size of the input files asks for, and at least
-    one per shuffle partition."""
+def _default_slices(df: DataFrame, size: int | None = None) -> int:
+    """As many slices as the size of the input files asks for (one for each
+    ``size`` bytes, by default SLICE_BYTES), and at least one per shuffle
+    partition."""
     spark = df.sparkSession
     try:
         least = int(spark.conf.get("spark.sql.shuffle.partitions"))
     except (TypeError, ValueError):
         least = spark.sparkContext.defaultParallelism
+    return max(least, -(-input_bytes(df) // (size or SLICE_BYTES)))
+
+
+def input_bytes(df: DataFrame) -> int:
+    """Bytes of the files that ``df`` reads, as far as they are known."""
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
     sizes = [int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size())]
-    known = sum(x for x in sizes if x < 1 << 60)  # what has no size counts as endless
-    return max(least, -(-known // SLICE_BYTES))
+    return sum(x for x in sizes if x < 1 << 60)  # what has no size counts as endless
 
 
 def running_sum(df: DataFrame, group_cols: list[str], order_cols: list[Column | str],
@@ -59,16 +66,16 @@ def running_sum(df: DataFrame, group_cols: list[str], order_cols: list[Column |
     over ``order_cols`` within ``group_cols`` (and ``total_out`` = the group's
     total, when named). With unique order keys inside a group and no weight
     this is ``row_number()``."""
-    ensure_checkpoint_dir(df.sparkSession)
     n = slices or _default_slices(df)
     group_cols = list(group_cols)
     order = [F.col(c) if isinstance(c, str) else c for c in order_cols]
     keys = [*[F.col(g) for g in group_cols], *order]
     sliced = (df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
               .withColumn("_id", F.monotonically_increasing_id())
-              .checkpoint(eager=True).withColumn("_slice", F.shiftrightunsigned("_id", 33)))
+              .withColumn("_slice", F.shiftrightunsigned("_id", 33)))
+    sliced = staged(sliced)
     w = F.col(weight).cast("bigint") if weight else F.lit(1).cast("bigint")
-    totals = sliced.groupBy("_slice", *group_cols).agg(F.sum(w).alias("_tot"), F.min("_id").alias("_first"))
+    totals = staged(sliced.groupBy("_slice", *group_cols).agg(F.sum(w).alias("_tot"), F.min("_id").alias("_first")))
     before = Window.partitionBy(*group_cols).orderBy("_slice").rowsBetween(
         Window.unboundedPreceding, -1)
     extra = [F.sum("_tot").over(Window.partitionBy(*group_cols)).alias(total_out)] if total_out else []
