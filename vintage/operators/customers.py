@@ -25,7 +25,7 @@ from vintage.operators.clean import branch_b_grouped
 from vintage.operators.quantiles import exact_quantiles
 from vintage.operators.ranking import row_number_within
 from vintage.params import Params
-from vintage.session import materialize
+from vintage.session import materialize, staged
 
 ITEM_KEYS = ("customer_id", "product_type", "transaction_item_code", "transaction_item_description")
 
@@ -64,9 +64,10 @@ def profile_rn(profile: DataFrame, p: Params) -> DataFrame:
 
 def attribute(profile_with_rn: DataFrame, cells: DataFrame, p: Params) -> DataFrame:
     """J8 + T9: join the cell metrics onto every profile row and keep them
-    only on the first row of each cell."""
+    only on the first row of each cell. The cells are written first: as few as
+    they are, they are broadcast then, and the profile stays where it is."""
     cell_cols = [c for c in CELL_COLUMNS if c not in ("cohort", "txn_month", "period_number")]
-    j = profile_with_rn.join(cells.select(*_cell(p), *cell_cols), _cell(p), "left")
+    j = profile_with_rn.join(staged(cells.select(*_cell(p), *cell_cols)), _cell(p), "left")
     first = F.col("RN") == 1
     out = j.withColumn("total_acquired_customers",
                        F.when(first, F.coalesce(F.col("total_customers"), F.lit(0).cast("bigint")))
