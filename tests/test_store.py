@@ -6,10 +6,12 @@ import re
 
 import pytest
 from conftest import GOLDEN_PARAMS as P
-from conftest import F_, M, UK, make_txn
+from conftest import F_, M, SF, UK, make_txn
 from pyspark.sql import functions as F
 
 from vintage.operators import clean as K
+from vintage.sources import store as ST
+from vintage.sources import transactions_from_tables
 from vintage.sources.store import write_customer_store
 
 
@@ -60,3 +62,24 @@ def test_bucketed_customers_need_no_exchange(spark, store):
 def test_empty_table(spark, txn, tmp_path):
     store = write_customer_store(txn.limit(0), "store_empty", str(tmp_path), 2)
     assert store.rows().count() == 0 and store.first_transactions().count() == 0 and store.branch_b(P).count() == 0
+
+
+def test_written_in_one_pass(spark, store, txn, tmp_path):
+    """A row is computed once to find the heavy customers and once to be
+    written, whichever table it goes to."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+    write_customer_store(txn.mapInArrow(count, txn.schema), "store_once", str(tmp_path), 4)
+    assert seen.value == 2 * txn.count()
+    assert spark.table("store_once_apart").count() == store.apart.count()
+
+
+def test_buckets_follow_the_input(spark, monkeypatch):
+    rows = transactions_from_tables(spark, SF)
+    assert ST.buckets_for(rows) == 16
+    monkeypatch.setattr(ST, "BUCKET_BYTES", 1_000)
+    assert ST.buckets_for(rows) > 16

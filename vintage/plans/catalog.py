@@ -22,7 +22,7 @@ from vintage.plans import oracle as O
 from vintage.plans.sqlfrag import with_ctes
 from vintage.session import ensure_checkpoint_dir, materialize
 from vintage.sources import transactions, transactions_from_tables
-from vintage.sources.store import write_customer_store
+from vintage.sources.store import buckets_for, write_customer_store
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, tuple[QueryFn, Callable[[], str] | None]] = {}
@@ -82,7 +82,8 @@ def q_branch_b(spark, sf):
 def _store(spark, sf):
     """The mapped table by customer, in a new folder below the shared one."""
     name = f"transactions_{uuid.uuid4().hex[:12]}"
-    return write_customer_store(txn(spark, sf), name, f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}", buckets=16)
+    t = txn(spark, sf)
+    return write_customer_store(t, name, f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}", buckets=buckets_for(t))
 
 
 @register("branch_b_stored", lambda: with_ctes([*O.transactions_ctes(), *O.branch_b_ctes(P)],

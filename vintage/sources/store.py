@@ -4,7 +4,8 @@ First dates, purchases and profiles all meet a customer's rows, so a table
 bucketed by customer lets them aggregate and join without an exchange. A bucket
 is one task, though, and a customer with a hundredth of all rows (or the rows
 without one) would make a bucket that is far larger than the others. Such rows
-are kept apart, in a second, unbucketed table; as no customer is in both, what
+are kept apart, in a second, unbucketed table (both are written by one pass
+over the rows); as no customer is in both, what
 is computed per customer is the union of the two, where the rows apart go
 through the split join (:mod:`vintage.operators.skew`)."""
 
@@ -16,20 +17,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vintage.operators.clean import branch_b_rows, dated, first_transaction
+from vintage.operators.ranking import input_bytes
 from vintage.operators.skew import frequent
 from vintage.params import Params
 
+#: Bytes of input files that a bucket stands for.
+BUCKET_BYTES = 32 << 20
+
 
 @dataclass(frozen=True)
 class CustomerStore:
-    """Tables ``name`` (bucketed by customer) and ``name``_apart (rows without
-    a customer or of a heavy one)."""
+    """Table ``name`` (bucketed by customer; its partition ``_apart`` = true
+    has the rows without a customer or of a heavy one) and table ``name``_apart
+    over that partition's files, without buckets."""
     spark: SparkSession
     name: str
 
     @property
     def bucketed(self) -> DataFrame:
-        return self.spark.table(self.name)
+        return self.spark.table(self.name).where("not _apart").drop("_apart")
 
     @property
     def apart(self) -> DataFrame:
@@ -51,14 +57,23 @@ class CustomerStore:
         return near.unionByName(far)
 
 
+def buckets_for(txn: DataFrame, least: int = 16) -> int:
+    """Buckets of about BUCKET_BYTES of the files that ``txn`` comes from, so
+    that a task can sort one in memory, and at least ``least``."""
+    return max(least, -(-input_bytes(txn) // BUCKET_BYTES))
+
+
 def write_customer_store(txn: DataFrame, name: str, path: str, buckets: int, share: float = 0.01) -> CustomerStore:
     """Write ``txn`` to the tables of a :class:`CustomerStore` below ``path``
-    (a folder that driver and executors share). One file a bucket."""
-    heavy = F.broadcast(frequent(txn, "customer_id", share))  # a bounded list
+    (a folder that driver and executors share), in one pass over ``txn`` after
+    the one that finds the heavy customers. One file a bucket; the rows apart
+    are dealt out by transaction and amount."""
+    spark, heavy = txn.sparkSession, F.broadcast(frequent(txn, "customer_id", share))  # a bounded list
     rows = txn.join(heavy, F.col("customer_id") == F.col("_heavy"), "left")
-    apart = F.col("customer_id").isNull() | F.col("_heavy").isNotNull()
-    (rows.where(~apart).drop("_heavy").repartition(buckets, "customer_id").write.mode("overwrite").format("parquet")
-     .option("path", f"{path}/bucketed").bucketBy(buckets, "customer_id").sortBy("customer_id").saveAsTable(name))
-    (rows.where(apart).drop("_heavy").write.mode("overwrite").format("parquet")
-     .option("path", f"{path}/apart").saveAsTable(f"{name}_apart"))
-    return CustomerStore(txn.sparkSession, name)
+    rows = rows.withColumn("_apart", F.col("customer_id").isNull() | F.col("_heavy").isNotNull()).drop("_heavy")
+    any_task = F.concat_ws("|", "transaction_id", "transaction_item_code", "transaction_amount")
+    (rows.repartition(buckets, F.when(F.col("_apart"), any_task).otherwise(F.col("customer_id")))
+     .write.mode("overwrite").format("parquet").option("path", f"{path}/rows").partitionBy("_apart")
+     .bucketBy(buckets, "customer_id").sortBy("customer_id").saveAsTable(name))
+    spark.catalog.createTable(f"{name}_apart", path=f"{path}/rows/_apart=true", source="parquet", schema=txn.schema)
+    return CustomerStore(spark, name)
