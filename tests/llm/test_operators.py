@@ -393,3 +393,10 @@ def test_shards_are_ordered_by_number(spark, docs, tmp_path):
     assert nothing.count() == 0
     some = docs.limit(3).select("doc_id")
     assert token_output.lookup(spark, str(out), some.union(some), 2).count() == docs.join(some, "doc_id").count()
+
+
+def test_a_worker_encodes_small_portions():
+    """What a worker holds at a time is half a million characters and a text."""
+    import pyarrow as pa
+    own = list(token_output.portions(pa.array(["x" * 1_000] * 3_000 + [None])))
+    assert sum(map(len, own)) == 3_001 and max(sum(map(len, p)) for p in own) <= token_output.PORTION + 1_000 <= 600_000

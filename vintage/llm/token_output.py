@@ -43,7 +43,7 @@ TAIL = struct.Struct("<QQ8s")  # directory bytes, payload bytes, magic
 #: Text bytes a shard file takes, about; a longer document has a longer file.
 SHARD_BYTES = 12 << 20
 #: Words whose ids a worker remembers.
-REMEMBERED = 200_000
+REMEMBERED = 100_000
 #: How byte-level vocabularies write the space.
 SPACE = "Ġ"
 MARKS = ".,;:!?"
@@ -298,7 +298,12 @@ def split_words(texts: list[str]) -> tuple[np.ndarray, pa.Array, np.ndarray]:
 _PIECES: dict[tuple[str, int], Pieces] = {}
 
 
-def portions(texts: pa.Array, size: int = 1 << 21) -> Iterator[list[str]]:
+#: Characters a worker encodes at a time; their words, codes and ids take
+#: some 50 bytes each meanwhile.
+PORTION = 1 << 19
+
+
+def portions(texts: pa.Array, size: int = PORTION) -> Iterator[list[str]]:
     """The texts (null: empty) in lists of about ``size`` characters."""
     own, held = [], 0
     for text in texts:
@@ -343,6 +348,7 @@ def write_token_files(docs: DataFrame, out: str, tokenizer: str, end_id: int = 2
                 ends = np.concatenate([[0], np.cumsum(n * width)])
                 rows = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(ends), pa.py_buffer(ids)])
                 yield pa.RecordBatch.from_arrays([rows.cast(pa.binary())], ["ids"])
+        pa.default_memory_pool().release_unused()  # the batches are done
         if keys:
             yield pa.RecordBatch.from_arrays([pa.array([directory(keys, lengths, payload)], pa.binary())], ["ids"])
 
