@@ -400,3 +400,41 @@ def test_a_worker_encodes_small_portions():
     import pyarrow as pa
     own = list(token_output.portions(pa.array(["x" * 1_000] * 3_000 + [None])))
     assert sum(map(len, own)) == 3_001 and max(sum(map(len, p)) for p in own) <= token_output.PORTION + 1_000 <= 600_000
+
+
+def test_a_word_is_encoded_once_in_a_block(monkeypatch):
+    """Words that aren't remembered are not encoded anew by each portion, and stems not by each mark behind them."""
+    import pyarrow as pa
+    path, learned = queries.tokenizer_file("byte_bpe_50k.json"), []
+    monkeypatch.setattr(token_output, "REMEMBERED", 5)
+    pieces = token_output.Pieces(path, 2)
+    of_letters = pieces.letters
+    monkeypatch.setattr(pieces, "letters", lambda words: learned.extend(words.to_pylist()) or of_letters(words))
+    words = ["".join(chr(97 + (k // 26**i + i) % 26) for i in range(4)) for k in range(3_000)]
+    texts = [f"x {' '.join(w + '.,!'[k % 3] if (k + j) % 2 else w for j, w in enumerate(words))}" for k in range(120)]
+    portions = list(token_output.portions(pa.array(texts)))
+    assert len(portions) > 2
+    (block,) = token_output.blocks(map(token_output.Split, portions), 1 << 22)
+    got = pieces.encode_all(block).to_pylist()
+    assert sorted(learned) == sorted(words)
+    tokenizer = token_output.load_tokenizer(path)
+    assert got == [np.array(e.ids, "<u2").tobytes() for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_letters_of_many_scripts_and_what_follows(monkeypatch):
+    """The letters a word begins with and the rest encode as the whole does, in calls of any size, blocks of any size."""
+    import random
+    path, rnd = queries.tokenizer_file("byte_bpe_50k.json"), random.Random(7)
+    signs = ["a", "Z", "ß", "é", "ж", "漢", "ا", "ก", "\u0e31", "e\u0301", "²", "½", "ª", "5", "_", "'s", "'", "’ll", ".", "!?", "\n", "\n\n", "\t", "\xa0", "\u3000",
+             "\x1f", "\x85", "😀", "<|endoftext|>", " ", "  ", " ", " "]
+    texts = ["".join(rnd.choices(signs, k=rnd.randrange(40))) for _ in range(1_500)]
+    tokenizer = token_output.load_tokenizer(path)
+    want = [np.array(e.ids, "<u2").tobytes() for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+    for together, remembered, size in ((1, 100, 1 << 20), (16, 0, 1 << 20), (7, 300, 500)):
+        monkeypatch.setattr(token_output, "TOGETHER", together)
+        monkeypatch.setattr(token_output, "REMEMBERED", remembered)
+        pieces = token_output.Pieces(path, 2)
+        cut = (token_output.Split(texts[i:i + 20]) for i in range(0, len(texts), 20))
+        assert [x for block in token_output.blocks(cut, size) for x in pieces.encode_all(block).to_pylist()] == want
+    pieces.opens = ~pieces.opens  # calls that seem to show another number of words
+    assert pieces.encode(texts) == want

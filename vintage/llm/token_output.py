@@ -21,11 +21,13 @@ and one lookup gives them all. An empty table gives no files."""
 
 from __future__ import annotations
 
+import os
 import re
 import struct
 import zlib
-from collections.abc import Iterator
-from itertools import chain, repeat
+from array import array
+from collections.abc import Iterator, Sequence
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -42,16 +44,18 @@ MAGIC = b"VTGIDS01"
 TAIL = struct.Struct("<QQ8s")  # directory bytes, payload bytes, magic
 #: Text bytes a shard file takes, about; a longer document has a longer file.
 SHARD_BYTES = 12 << 20
-#: Words whose ids a worker remembers.
-REMEMBERED = 100_000
+#: Words whose ids a worker remembers, and words that the model merges in one call.
+REMEMBERED, TOGETHER = 100_000, 32
 #: How byte-level vocabularies write the space.
 SPACE = "Ġ"
-MARKS = ".,;:!?"
 #: Byte -> the character that byte-level vocabularies write for it.
 CHARS = {b: c for c, b in byte_alphabet().items()}
+BYTE_CHARS = np.array([ord(CHARS[b]) for b in range(256)], "<u2")
 #: No pre-token of byte-level BPE reaches over a space that a non-space follows.
 BEFORE_WORD = re.compile(r" (?=\S)")
 OPEN_SPACE = re.compile(r" (?:\s|\Z)")
+#: Letters, and other signs of number that `isalpha` refuses.
+STEM = re.compile(r"[^\W\d_]+")
 
 
 # --- minimal perfect hash ---------------------------------------------------
@@ -175,132 +179,138 @@ class Shard:
 
 # --- encoding ---------------------------------------------------------------
 
+def byte_level(data: bytes | pa.Buffer) -> str:
+    """UTF-8 as byte-level vocabularies write it: a character for each byte."""
+    return BYTE_CHARS[np.frombuffer(data, np.uint8)].tobytes().decode("utf-16-le")
+
+
+class Split:
+    """Some texts cut at spaces before non-spaces (which are dropped): all
+    pieces, one text after the other, and how many each text has."""
+
+    def __init__(self, texts: list[str]):
+        marks = map(chr, chain(range(1, 9), range(14, 32), range(0xE000, 0xF900)))
+        mark = next(c for c in marks if not any(c in t for t in texts))
+        cut = pa.array([BEFORE_WORD.sub(mark, t) if OPEN_SPACE.search(t) else t.replace(" ", mark) for t in texts], pa.large_string())
+        parts = pc.split_pattern(cut, mark)
+        self.pieces, self.n, self.chars = parts.flatten(), np.diff(parts.offsets.to_numpy()), sum(map(len, texts))
+
+
 class Pieces:
-    """Ids of texts by their words. ``known``: word -> its number; the ids of
-    " " + word stand in ``flat``, one word after the other. The first
-    REMEMBERED words that come along stay; later ones are kept for one call
-    only."""
+    """Ids of texts by their words. Each distinct word of a block of texts is
+    encoded once; the most frequent ones, up to REMEMBERED, stay for the blocks
+    that follow: ``known``, with the bytes of the ids of " " + word in
+    ``known_ids``."""
 
     def __init__(self, path: str, width: int):
         self.kind, self.tokenizer = np.dtype(f"<u{width}"), load_tokenizer(path)
         self.opens = np.array([(self.tokenizer.id_to_token(i) or "").startswith(SPACE)
                                for i in range(self.tokenizer.get_vocab_size())])
-        self.marks = dict(zip(MARKS, (int(x[0]) for x in self.one_by_one(list(MARKS))), strict=True))
-        self.known: dict[str, int] = {}
-        self.flat, self.ends = np.zeros(0, self.kind), np.zeros(1, np.int64)
+        self.known, self.known_ids = pa.array([], pa.large_string()), self.binary([], [])
 
-    def one_by_one(self, pieces: list[str]) -> list[np.ndarray]:
-        out = []
+    def binary(self, ids: Sequence[int], n: Sequence[int]) -> pa.LargeBinaryArray:
+        """Bytes of the ids of each word: ``n`` of them, one word after the other."""
+        ends = np.concatenate([[0], np.cumsum(n, dtype=np.int64)]) * self.kind.itemsize
+        return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(ends), pa.py_buffer(np.array(ids, self.kind))])
+
+    def one_by_one(self, pieces: list[str]) -> pa.LargeBinaryArray:
+        ids, n = array("I"), array("I")
         for i in range(0, len(pieces), 1_000):
-            out += [np.array(e.ids, self.kind) for e in self.tokenizer.encode_batch_fast(pieces[i:i + 1_000], add_special_tokens=False)]
-        return out
+            for e in self.tokenizer.encode_batch_fast(pieces[i:i + 1_000], add_special_tokens=False):
+                ids.extend(own := e.ids)
+                n.append(len(own))
+        return self.binary(ids, n)
 
-    def single(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def letters(self, words: pa.Array) -> pa.LargeBinaryArray:
         """Ids of " " + word for words of letters, each of them one pre-token,
-        and their numbers, from the tokenizer's model itself."""
-        tokenize, ids, n = self.tokenizer.model.tokenize, [], []
-        for w in words:
-            own = tokenize(SPACE + w if w.isascii() else SPACE + w.encode().decode("latin-1").translate(CHARS))
-            ids += [t.id for t in own]
-            n.append(len(own))
-        return np.array(ids, self.kind), np.array(n, np.int64)
-
-    def together(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of " " + word for all words and their numbers: where an id's
-        token opens with a space, the next word begins."""
-        ids, n = [], []
-        for i in range(0, len(words), 1_000):
-            own = [" " + w for w in words[i:i + 1_000]]
-            part = np.array(self.tokenizer.encode_batch_fast([own], is_pretokenized=True, add_special_tokens=False)[0].ids, np.int64)
-            at = np.flatnonzero(self.opens[part])
-            if len(at) != len(own):
-                raise ValueError("words that don't begin with a token of their own")
-            ids.append(part.astype(self.kind))
-            n.append(np.diff(np.append(at, len(part))))
-        return np.concatenate([np.zeros(0, self.kind), *ids]), np.concatenate([np.zeros(0, np.int64), *n])
-
-    def add(self, words: list[str], ids: np.ndarray, n: np.ndarray) -> None:
-        self.known.update(zip(words, range(len(self.known), len(self.known) + len(words)), strict=True))
-        self.flat = np.concatenate([self.flat, ids])
-        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(n)])
-
-    def gather(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of the numbered words, one after the other, and how many each has."""
-        low = self.ends[numbers]
-        n = self.ends[numbers + 1] - low
-        return self.flat[np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())], n
-
-    def learn(self, words: set[str]) -> None:
-        """Add words that aren't there. Letters only are one pre-token after a
-        space, and a closing mark is one by itself."""
-        marked = [w for w in words if w[-1:] in self.marks and w[:-1].isalpha()]
-        rest = words.difference(marked)
-        rest.update([w[:-1] for w in marked])
-        rest = rest.difference(self.known)
-        plain = [w for w in rest if w.isalpha()]
-        other = [w for w in rest if not w.isalpha()]
-        spaced = [w for w in other if " " in w]
-        other = [w for w in other if " " not in w]
-        self.add(plain, *self.single(plain))
-        self.add(other, *self.together(other))
-        alone = self.one_by_one([" " + w for w in spaced])
-        self.add(spaced, np.concatenate([np.zeros(0, self.kind), *alone]), np.array([len(x) for x in alone], np.int64))
-        stems = np.fromiter((self.known[w[:-1]] for w in marked), np.int64, len(marked))
-        ids, n = self.gather(stems)
-        ids = np.insert(ids, np.cumsum(n), np.array([self.marks[w[-1]] for w in marked], self.kind)) if marked else ids
-        self.add(marked, ids, n + 1)
+        from the tokenizer's model itself, TOGETHER in a call. Where an id's
+        token opens with a space the next word begins, as no merge reaches
+        over a space between letters; if calls show another number of words,
+        all are made word by word."""
+        spaced = pc.binary_join_element_wise(pa.scalar(" ", pa.large_string()), words, pa.scalar("", pa.large_string()))
+        ends = np.frombuffer(spaced.buffers()[1], np.int64, len(words) + 1) if len(words) else np.zeros(1, np.int64)
+        text = byte_level(spaced.buffers()[2]) if len(words) else ""
+        for size in (TOGETHER, 1):
+            ids, n, tokenize = array("I"), array("I"), self.tokenizer.model.tokenize
+            cuts = [*ends[:-1:size].tolist(), len(text)]
+            for low, high in pairwise(cuts):
+                found = tokenize(text[low:high])
+                ids.extend([t.id for t in found])
+                n.append(len(found))
+            every, calls = np.array(ids), np.cumsum(n, dtype=np.int64)
+            at = np.flatnonzero(self.opens[every])
+            words_of = np.diff(np.searchsorted(at, calls), prepend=0)
+            wanted = np.diff(np.append(np.arange(0, len(words), size), len(words)))
+            if size == 1 or (words_of == wanted).all() and self.opens[every[calls - n]].all():
+                break
+        return self.binary(every, n if size == 1 else np.diff(np.append(at, len(every))))
+
+    def learn(self, words: pa.Array) -> pa.LargeBinaryArray:
+        """Ids of " " + word for distinct words. The letters a word begins with
+        are one pre-token with the space; what follows is encoded apart."""
+        plain = pc.utf8_is_alpha(words)
+        stems, rests, stem_of, rest_of = {}, {"": 0}, array("i"), array("i")
+        for w in words.filter(pc.invert(plain)).to_pylist():
+            stem = m[0] if (m := STEM.match(w)) and m[0].isalpha() else ""
+            stem_of.append(stems.setdefault(stem, len(stems)) if stem else -1)
+            rest_of.append(rests.setdefault(w[len(stem):] if stem else " " + w, len(rests)))
+        alone, own = words.filter(plain), pa.array(list(stems), pa.large_string())
+        held = pc.index_in(own, pa.concat_arrays([self.known, alone]))
+        new = own.filter(held.is_null())
+        held, stay = held.fill_null(-1).to_numpy().astype(np.int64), len(self.known) + len(alone)
+        held[held < 0] = stay + np.arange(len(new))
+        held = np.append(held, stay + len(new))  # the last one is empty
+        table = pa.concat_arrays([self.known_ids, self.letters(pa.concat_arrays([alone, new])), self.binary([], [0])])
+        marked = pc.binary_join_element_wise(table.take(pa.array(held[np.array(stem_of)])), self.one_by_one(list(rests)).take(pa.array(np.array(rest_of))),
+                                             pa.scalar(b"", pa.large_binary()))
+        plain = plain.to_numpy(zero_copy_only=False)
+        place = np.where(plain, np.cumsum(plain), len(alone) + np.cumsum(~plain)) - 1
+        return pa.concat_arrays([table.slice(len(self.known), len(alone)), marked]).take(pa.array(place))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Bytes of the ids of each text."""
-        ids, n = self.encode_all(texts)
-        return [x.tobytes() for x in np.split(ids, np.cumsum(n)[:-1])]
-
-    def encode_all(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts, one after the other, and how many each has."""
-        code, own, n = split_words(texts)
+        return self.encode_all([Split(texts)]).to_pylist()
+
+    def encode_all(self, block: list[Split]) -> pa.LargeBinaryArray:
+        """Bytes of the ids of each text of a block."""
+        pieces = pa.chunked_array([x.pieces for x in block], pa.large_string()).dictionary_encode()
+        own = pieces.chunk(0).dictionary
+        code = np.concatenate([x.indices.to_numpy() for x in pieces.chunks])
+        n = np.concatenate([x.n for x in block])
+        del pieces
         at = np.cumsum(n) - n
-        rest = np.ones(len(code), bool)
-        rest[at] = False  # no space stands before the first piece of a text
-        used = np.flatnonzero(np.bincount(code[rest], minlength=len(own)))
-        words = own.take(pa.array(used)).to_pylist()
-        firsts = self.one_by_one(own.take(pa.array(code[at])).to_pylist())
-        found = np.fromiter(map(self.known.get, words, repeat(-1)), np.int64, len(words))
-        missing = np.flatnonzero(found < 0)
-        new = [words[k] for k in missing.tolist()]
-        self.learn(set(new))
-        found[missing] = np.fromiter(map(self.known.__getitem__, new), np.int64, len(new))
-        number = np.zeros(len(own), np.int64)
+        times = np.bincount(code, minlength=len(own))
+        first, which = np.unique(code[at], return_inverse=True)
+        times[first] -= np.bincount(which)  # no space stands before the first piece of a text
+        used = np.flatnonzero(times)
+        words = own.take(pa.array(used))
+        found = pc.index_in(words, self.known)
+        new, found = words.filter(found.is_null()), found.fill_null(-1).to_numpy().astype(np.int32)
+        learned, stay = self.learn(new), len(self.known)
+        table = pa.concat_arrays([self.known_ids, learned, self.one_by_one(own.take(pa.array(first)).to_pylist())])
+        fresh = found < 0
+        found[fresh] = stay + np.arange(len(new))
+        number = np.zeros(len(own), np.int32)
         number[used] = found
-        stay, ends, flat = len(self.known), self.ends, self.flat
-        sizes = np.array([len(x) for x in firsts], np.int64)
-        self.flat, self.ends = np.concatenate([flat, *firsts]), np.concatenate([ends, ends[-1] + np.cumsum(sizes)])
         number = number[code]
-        number[at] = np.arange(stay, stay + len(texts))
-        ids, per = self.gather(number)
-        keep = min(stay, REMEMBERED)
-        self.flat, self.ends = flat[:ends[keep]].copy(), ends[:keep + 1].copy()
-        for _ in range(stay - keep):
-            self.known.popitem()  # the last ones
-        return ids, np.add.reduceat(per, at)
-
-
-def split_words(texts: list[str]) -> tuple[np.ndarray, pa.Array, np.ndarray]:
-    """The texts cut at spaces before non-spaces (which are dropped): a code
-    for each piece, the distinct pieces, and how many each text has."""
-    marks = map(chr, chain(range(1, 9), range(14, 32), range(0xE000, 0xF900)))
-    mark = next(c for c in marks if not any(c in t for t in texts))
-    cut = pa.array([BEFORE_WORD.sub(mark, t) if OPEN_SPACE.search(t) else t.replace(" ", mark) for t in texts], pa.large_string())
-    parts = pc.split_pattern(cut, mark)
-    codes = parts.flatten().dictionary_encode()
-    return codes.indices.to_numpy().astype(np.int64), codes.dictionary, np.diff(parts.offsets.to_numpy())
+        number[at] = stay + len(new) + which
+        taken = table.take(pa.array(number))
+        ends = np.frombuffer(taken.buffers()[1], np.int64, len(number) + 1)[np.append(at, len(number))]
+        if stay < REMEMBERED:
+            again = times[used[fresh]]
+            keep = np.argsort(-again, kind="stable")[:min(REMEMBERED - stay, int((again > 1).sum()))]
+            self.known = pa.concat_arrays([self.known, new.take(pa.array(keep))])
+            self.known_ids = pa.concat_arrays([self.known_ids, learned.take(pa.array(keep))])
+        return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(ends), taken.buffers()[2]])
 
 
 _PIECES: dict[tuple[str, int], Pieces] = {}
 
 
-#: Characters a worker encodes at a time; their words, codes and ids take
-#: some 50 bytes each meanwhile.
+#: Characters a worker cuts into words at a time, as Python strings.
 PORTION = 1 << 19
+#: Characters whose words a worker collects before it encodes them.
+BLOCK = 1 << 20
 
 
 def portions(texts: pa.Array, size: int = PORTION) -> Iterator[list[str]]:
@@ -316,7 +326,21 @@ def portions(texts: pa.Array, size: int = PORTION) -> Iterator[list[str]]:
         yield own
 
 
+def blocks(texts: Iterator[Split], size: int | None = None) -> Iterator[list[Split]]:
+    """Portions in lists of about ``size`` characters."""
+    own, held = [], 0
+    for split in texts:
+        own.append(split)
+        held += split.chars
+        if held >= (size or BLOCK):
+            yield own
+            own, held = [], 0
+    if own:
+        yield own
+
+
 def load_tokenizer(path: str):
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks are the parallelism; threads hold memory of their own
     from tokenizers import Tokenizer
     return Tokenizer.from_file(path)
 
@@ -339,15 +363,21 @@ def write_token_files(docs: DataFrame, out: str, tokenizer: str, end_id: int = 2
             _PIECES[tokenizer, width] = Pieces(tokenizer, width)
         pieces = _PIECES[tokenizer, width]
         keys, lengths, payload = [], [], 0
-        for batch in batches:
-            keys += batch.column(0).to_pylist()
-            for texts in portions(batch.column(1)):
-                ids, n = pieces.encode_all(texts)
-                lengths += (n + 1).tolist()
-                payload += (len(ids) + len(n)) * width
-                ends = np.concatenate([[0], np.cumsum(n * width)])
-                rows = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(ends), pa.py_buffer(ids)])
-                yield pa.RecordBatch.from_arrays([rows.cast(pa.binary())], ["ids"])
+
+        def texts() -> Iterator[Split]:
+            for batch in batches:
+                keys.extend(batch.column(0).to_pylist())
+                yield from map(Split, portions(batch.column(1)))
+
+        for block in blocks(texts()):
+            rows = pieces.encode_all(block)
+            n = pc.binary_length(rows).to_numpy() // width + 1
+            lengths += n.tolist()
+            payload += int(n.sum()) * width
+            at = 0
+            for split in block:  # batches as small as the portions: both sides hold one whole
+                yield pa.RecordBatch.from_arrays([rows.slice(at, len(split.n)).cast(pa.binary())], ["ids"])
+                at += len(split.n)
         pa.default_memory_pool().release_unused()  # the batches are done
         if keys:
             yield pa.RecordBatch.from_arrays([pa.array([directory(keys, lengths, payload)], pa.binary())], ["ids"])
