@@ -70,3 +70,19 @@ def test_segmented_fill_equals_per_segment_runs(spark):
         part = seg.where(F.col("country") == country).drop("country")
         assert part.exceptAll(solo.select(*part.columns)).count() == 0
         assert solo.select(*part.columns).exceptAll(part).count() == 0
+
+
+def test_queries_are_dealt_out_by_number(spark):
+    """Candidates are many where queries are few bytes: with all joins broadcast the run-time planner would bring them to one task."""
+    train = [("s", r, c, float(r * c % 7)) for r in range(30) for c in range(30 - r)]
+    queries = [("s", r, c) for r in range(30) for c in range(30 - r, 30)]
+    tdf, qdf = spark.createDataFrame(train, "seg string, row_idx int, col_idx int, value double"), spark.createDataFrame(queries, "seg string, row_idx int, col_idx int")
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "10m")
+    try:
+        got = knn_regress(tdf, qdf, 5, 1, ("seg",)).select("*", F.spark_partition_id().alias("part")).collect()
+    finally:
+        spark.conf.set(key, before)
+    assert {(x.seg, x.row_idx, x.col_idx): x.prediction for x in got} == brute(train, queries, 5)
+    assert len({x.part for x in got}) > 1

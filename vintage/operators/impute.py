@@ -29,7 +29,7 @@ from vintage.functions import exact_sum, fixed, stable_avg
 from vintage.operators.matrix import abs_rates, observed
 from vintage.operators.trees import ordered_sum, predictions, search_predictions
 from vintage.params import FOREST_TREES, MODEL_SEED, Params
-from vintage.session import materialize
+from vintage.session import dealt, materialize
 
 # measure -> (cell column, decimals of its values)
 MATRIX_MEASURES = {"retention": ("retention_rate_abs_val", 4), "ltv": ("traditional_ltv", 1)}
@@ -97,13 +97,14 @@ def knn_regress(train: DataFrame, query: DataFrame, k: int, places: int,
     join then collects the training cells in the box [r-R, r+R] x [c-R, c+R]
     (equi-join on the exploded row window, filter on the column), and the k
     best by (squared distance, row, col) are averaged. No loop and no cross
-    join; each query's candidates are bounded by its box.
+    join; each query's candidates are bounded by its box. Queries are few
+    bytes and many candidates, so they are dealt out by number.
     """
     seg = list(seg)
     qk = [*seg, "row_idx", "col_idx"]
     r, c = F.col("row_idx"), F.col("col_idx")
     t = materialize(train.select(*seg, F.col("row_idx").alias("_tr"), F.col("col_idx").alias("_tc"), "value"))
-    q = query.select(*qk).distinct()
+    q = dealt(query.select(*qk), *qk).distinct()  # the other way round, the planner would leave out the repartition
 
     def kth_on_line(line: str, other: str, t_line: str, t_other: str, out: str) -> DataFrame:
         d = (q.join(t.withColumnRenamed(t_line, line), [*seg, line])
@@ -124,7 +125,7 @@ def knn_regress(train: DataFrame, query: DataFrame, k: int, places: int,
               .join(kth_on_line("col_idx", "row_idx", "_tc", "_tr", "_cb"), qk, "left")
               .select(*qk, F.least("_rb", "_cb", "_cover").alias("_R"))
               .where(F.col("_R").isNotNull()))
-    band = radius.select(*qk, "_R", F.explode(F.sequence(r - F.col("_R"), r + F.col("_R"))).alias("_tr"))
+    band = dealt(radius, *qk).select(*qk, "_R", F.explode(F.sequence(r - F.col("_R"), r + F.col("_R"))).alias("_tr"))
     cand = (band.join(t, [*seg, "_tr"])
             .where(F.abs(F.col("_tc") - c) <= F.col("_R"))
             .withColumn("_d2", (F.col("_tr") - r) * (F.col("_tr") - r) + (F.col("_tc") - c) * (F.col("_tc") - c)))

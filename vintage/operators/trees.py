@@ -35,7 +35,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vintage.session import materialize, ship
+from vintage.session import dealt, materialize, ship
 
 _M64 = (1 << 64) - 1
 #: Trees of a forest that one task grows.
@@ -232,8 +232,6 @@ def run_units(cells: DataFrame, units: list[Forest | Boosting], seg: list[str],
     finite = F.when(~F.isnan("value") & (F.abs("value") != float("inf")), F.col("value"))
     rows = cells.select(*seg, "row_idx", "col_idx", finite.alias("value"), "is_query", "fold",
                         F.explode(F.sequence(F.lit(0), F.lit(len(units) - 1))).alias("unit"))
-    # a number of partitions of its own: these groups are small in bytes, not in work
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
     kinds = dict(cells.dtypes)
     schema = ", ".join([*[f"`{c}` {kinds[c]}" for c in seg], "row_idx int, col_idx int, unit int, variant int, total double"])
     scale = 10.0 ** places
@@ -252,7 +250,7 @@ def run_units(cells: DataFrame, units: list[Forest | Boosting], seg: list[str],
         found = unit.run(learn[where].to_numpy(np.int64), learn["value"].to_numpy(float), query[where].to_numpy(np.int64), scale)
         return pd.concat([base.assign(variant=v, total=t) for v, t in enumerate(found)])
 
-    return rows.repartition(tasks, *key).groupBy(*key).applyInPandas(run, schema)
+    return dealt(rows, *key).groupBy(*key).applyInPandas(run, schema)
 
 
 def forest_units(trees: int, block: int = BLOCK, **settings) -> list[Forest]:

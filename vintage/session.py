@@ -75,6 +75,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def dealt(df, *key):
+    """``df`` dealt out by ``key`` into a number of partitions of its own: for
+    groups that are small in bytes, by which the run-time planner would put
+    them together, but not in the rows or the work made of them."""
+    spark = df.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+    return df.repartition(tasks, *key)
+
+
 def materialize(df):
     """Write a small, reused intermediate (cell tables, matrices) once to the
     checkpoint directory and cut its lineage, so later branches and loop
