@@ -1,13 +1,17 @@
 """Cohort state after each batch against one run over all rows so far."""
 
 import random
+import re
 
 import pytest
 from conftest import GOLDEN_PARAMS as P
-from conftest import F_, M, UK, make_txn
+from conftest import F_, M, SF, UK, make_txn
 
 from vintage.operators import cells as C
 from vintage.operators.incremental import CohortState
+from vintage.params import FIXTURE_PARAMS
+from vintage.plans import catalog
+from vintage.sources import transactions_from_tables
 
 
 def rows_of(df):
@@ -61,3 +65,71 @@ def test_a_failed_batch_is_appended_again(spark, tmp_path):
 def test_segments_are_refused(spark, tmp_path):
     with pytest.raises(ValueError):
         CohortState(spark, str(tmp_path), P.with_(segment_cols=("country",)))
+
+
+def test_rows_of_a_batch_are_asked_for_twice(spark, tmp_path):
+    """An input that is a plan of its own isn't run again in each step."""
+    asked = spark.sparkContext.accumulator(0)
+
+    def counted(part):
+        asked.add(1)
+        return part
+
+    rng = random.Random(5)
+    state = CohortState(spark, str(tmp_path), P)
+    for months in ([5, 6], [2, 6, 7]):
+        rows = make_txn(spark, batch(rng, 60, months)).coalesce(1)
+        before = asked.value
+        state.append(spark.createDataFrame(rows.rdd.mapPartitions(counted), rows.schema))
+        assert asked.value - before == 2
+
+
+def test_files_grow_with_months_and_not_with_tasks(spark, tmp_path):
+    rng = random.Random(6)
+    months = [1, 2, 3, 4, 5, 6]
+    state = CohortState(spark, str(tmp_path), P)
+    key = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(key, "false")  # as many tasks as a large batch has
+    try:
+        for k in range(2):
+            state.append(make_txn(spark, batch(rng, 600, months)))
+            assert len(list(tmp_path.glob(f"pairs/{k:06d}/*/*.parquet"))) == len(months)
+    finally:
+        spark.conf.unset(key)
+
+
+def test_rows_per_customer_and_transaction_are_not_broadcast(spark, tmp_path):
+    """Neither by the size of files nor by what a stage turned out to have; only the batch's cells are."""
+    rng = random.Random(7)
+    state = CohortState(spark, str(tmp_path), P)
+    key, plans = "spark.sql.autoBroadcastJoinThreshold", []
+    before, write = spark.conf.get(key), state._write
+    state._write = lambda df, kind, *by: (plans.append(df), write(df, kind, *by))
+    spark.conf.set(key, "10m")
+    try:
+        for months in ([5, 6], [2, 6, 7]):
+            state.append(make_txn(spark, batch(rng, 200, months)))
+            for df in plans:
+                df.collect()
+                joins = re.findall(r"BroadcastHashJoin \[(.*)", df._jdf.queryExecution().executedPlan().toString())
+                assert not [j for j in joins if not j.startswith("cohort#")], joins
+            plans.clear()
+    finally:
+        spark.conf.set(key, before)
+
+
+def test_the_query_maps_its_table_once(spark, monkeypatch):
+    asked = spark.sparkContext.accumulator(0)
+
+    def counted(part):
+        asked.add(1)
+        return part
+
+    def table(spark, sf):
+        rows = transactions_from_tables(spark, sf).coalesce(1)
+        return spark.createDataFrame(rows.rdd.mapPartitions(counted), rows.schema)
+
+    want = rows_of(C.cohort_cells(transactions_from_tables(spark, SF), FIXTURE_PARAMS))
+    monkeypatch.setattr(catalog, "txn", table)
+    assert rows_of(catalog.q_cohort_cells_incremental(spark, SF)) == want
+    assert asked.value == 1

@@ -14,7 +14,13 @@ Distinct counts don't add up, and an earlier first date moves a customer's
 cells to another cohort. So a batch finds the cells it touches (months with new
 pairs, and for customers who moved, their months in the old and the new
 cohort), counts these anew from the pairs of their months, and keeps the rest.
-A batch that failed is appended again: its parts are overwritten."""
+A batch that failed is appended again: its parts are overwritten.
+
+The driver plans and lists, so that is kept bounded: a batch's rows are asked
+for twice (states; transactions, which are staged), each part of ``pairs`` is listed
+once a batch, its files grow with its bytes and months and not with tasks x
+months, and a part with a row per customer or transaction is merged, never
+broadcast: its files are many times smaller than its rows in memory."""
 
 from __future__ import annotations
 
@@ -22,13 +28,14 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from vintage.functions import month_diff, month_start, rnd
 from vintage.operators import cells as C
 from vintage.operators.clean import dated, first_transaction
 from vintage.operators.levels import cell_states
 from vintage.params import Params
-from vintage.session import materialize
+from vintage.session import materialize, staged
 
 SCHEMAS = {
     "a": "cohort date, txn_month date, no_of_customers long, revenue_dec decimal(38,2)",
@@ -38,6 +45,19 @@ SCHEMAS = {
 }
 
 
+def columns(p: Params) -> list[str]:
+    """What a state reads of a transaction."""
+    return ["transaction_id", "customer_id", "transaction_date", "first_transaction_month", "transaction_amount", "quantity", *p.filters]
+
+
+def transactions_of(rows: DataFrame) -> DataFrame:
+    """The distinct (customer, month, transaction) of rows with a customer and
+    a date, each with its earliest day, from one pass, written once."""
+    return staged(rows.where(F.col("transaction_date").isNotNull() & F.col("customer_id").isNotNull())
+                  .groupBy("customer_id", "transaction_id", month_start("transaction_date").alias("txn_month"))
+                  .agg(F.min("transaction_date").alias("transaction_date")))
+
+
 class CohortState:
     """State below ``path`` (a folder that driver and executors share) after
     ``batches`` batches. Without segments; rows, not distinct customers."""
@@ -51,15 +71,17 @@ class CohortState:
         return self.spark.read.schema(SCHEMAS[kind]).parquet(f"{self.path}/{kind}/{batch:06d}")
 
     def _all(self, kind: str, batches: int) -> DataFrame:
-        empty = self.spark.createDataFrame([], SCHEMAS[kind])
-        return reduce(DataFrame.unionByName, [self._part(kind, k) for k in range(batches)], empty)
+        if not batches:
+            columns = T.StructType.fromDDL(SCHEMAS[kind])
+            return self.spark.range(1).select(*[F.lit(None).cast(c.dataType).alias(c.name) for c in columns]).where(F.lit(False))
+        return reduce(DataFrame.unionByName, [self._part(kind, k) for k in range(batches)])
 
     def _write(self, df: DataFrame, kind: str, *by: str) -> None:
         df.write.mode("overwrite").partitionBy(*by).parquet(f"{self.path}/{kind}/{self.batches:06d}")
 
     def _first(self, batches: int) -> DataFrame:
         return (self._all("first", batches).groupBy("customer_id")
-                .agg(F.min("first_transaction_date").alias("first_transaction_date")))
+                .agg(F.min("first_transaction_date").alias("first_transaction_date")).hint("merge"))
 
     def append(self, rows: DataFrame) -> DataFrame:
         """Add a batch; returns the cells (cohort, txn_month) it touched."""
@@ -67,26 +89,30 @@ class CohortState:
         states = cell_states(rows, p, [])
         self._write(states.select("cohort", "txn_month", "no_of_customers", F.col("revenue_dec").cast("decimal(38,2)").alias("revenue_dec")), "a")
 
+        made = transactions_of(rows)
         old = self._first(k).withColumnRenamed("first_transaction_date", "_old")
-        brought = first_transaction(rows).join(old, "customer_id", "left")
+        brought = first_transaction(made).join(old, "customer_id", "left")
         earlier = materialize(brought.where(F.col("_old").isNull() | (F.col("first_transaction_date") < F.col("_old"))))
         self._write(earlier.select("customer_id", "first_transaction_date"), "first")
 
-        pairs = dated(rows, p).select("customer_id", "transaction_id", "txn_month").distinct()
+        pairs, before = dated(made, p).select("customer_id", "transaction_id", "txn_month"), self._all("pairs", k)
         months = [r[0] for r in pairs.select("txn_month").distinct().collect()]  # a row a month
-        seen = self._all("pairs", k).where(F.col("txn_month").isin(months)).select(*[F.col(c).alias(f"_{c}") for c in pairs.columns])
+        seen = before.where(F.col("txn_month").isin(months)).select(*[F.col(c).alias(f"_{c}") for c in pairs.columns])
         same = [pairs[c].eqNullSafe(seen[f"_{c}"]) for c in pairs.columns]
-        self._write(pairs.join(seen, same, "left_anti"), "pairs", "txn_month")
+        # by month: else every task would write a file of every month
+        self._write(pairs.join(seen.hint("merge"), same, "left_anti").hint("rebalance", "txn_month"), "pairs", "txn_month")
+        new = self._part("pairs", k)
+        so_far = before.unionByName(new)
 
         first = self._first(k + 1).select("customer_id", month_start("first_transaction_date").alias("cohort"))
-        moved = earlier.where(month_start("_old") != month_start("first_transaction_date")).select("customer_id", month_start("_old").alias("cohort"))
+        moved = earlier.where(month_start("_old") != month_start("first_transaction_date")).select("customer_id", month_start("_old").alias("_from")).hint("merge")
         there = lambda df: df.select("customer_id", "txn_month").distinct()
-        of_moved = there(self._all("pairs", k + 1).join(moved.select("customer_id"), "customer_id", "left_semi"))
-        touched = (there(self._part("pairs", k)).union(of_moved).join(first, "customer_id").select("cohort", "txn_month")
-                   .union(of_moved.join(moved, "customer_id").select("cohort", "txn_month")))
+        changed = there(new).withColumn("_from", F.lit(None).cast("date")).unionByName(there(so_far).join(moved, "customer_id"))
+        touched = (changed.join(first, "customer_id").select("cohort", "_from", "txn_month").distinct()
+                   .select(F.explode(F.array_compact(F.array("cohort", "_from"))).alias("cohort"), "txn_month"))
         touched = materialize(touched.distinct())  # months² rows at most
         months = [r[0] for r in touched.select("txn_month").distinct().collect()]
-        fresh = (self._all("pairs", k + 1).where(F.col("txn_month").isin(months)).join(first, "customer_id")
+        fresh = (so_far.where(F.col("txn_month").isin(months)).join(first, "customer_id")
                  .join(touched, ["cohort", "txn_month"], "left_semi")
                  .groupBy("cohort", "txn_month")
                  .agg(F.countDistinct("transaction_id").alias("total_transactions"), F.countDistinct("customer_id").alias("total_customers")))
