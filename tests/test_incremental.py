@@ -125,11 +125,25 @@ def test_the_query_maps_its_table_once(spark, monkeypatch):
         asked.add(1)
         return part
 
-    def table(spark, sf):
-        rows = transactions_from_tables(spark, sf).coalesce(1)
+    def table(spark, sf, **how):
+        rows = transactions_from_tables(spark, sf, **how).coalesce(1)
         return spark.createDataFrame(rows.rdd.mapPartitions(counted), rows.schema)
 
     want = rows_of(C.cohort_cells(transactions_from_tables(spark, SF), FIXTURE_PARAMS))
     monkeypatch.setattr(catalog, "txn", table)
     assert rows_of(catalog.q_cohort_cells_incremental(spark, SF)) == want
     assert asked.value == 1
+
+
+def test_merged_parts_are_not_broadcast(spark):
+    """Two relations of all parts came to the driver where their files are small."""
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "10m")
+    try:
+        rows, merged = (transactions_from_tables(spark, SF, merge_parts=m) for m in (False, True))
+        assert rows_of(merged) == rows_of(rows)
+        plan = lambda df: (df.collect(), df._jdf.queryExecution().executedPlan().toString())[1]
+        assert re.search(r"BroadcastHashJoin \[l_partkey", plan(rows)) and not re.search(r"BroadcastHashJoin \[l_partkey", plan(merged))
+    finally:
+        spark.conf.set(key, before)

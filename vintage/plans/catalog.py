@@ -35,9 +35,9 @@ def register(name: str, sql: Callable[[], str] | None = None):
     return deco
 
 
-def txn(spark: SparkSession, sf_dir: str) -> DataFrame:
+def txn(spark: SparkSession, sf_dir: str, merge_parts: bool = False) -> DataFrame:
     """The transaction table (see ``sources.transactions``)."""
-    return transactions(spark, sf_dir)
+    return transactions(spark, sf_dir, merge_parts)
 
 
 def _sql(ctes, final):
@@ -550,9 +550,9 @@ def q_cohort_cells_by_level(spark, sf):
 def q_cohort_cells_incremental(spark, sf):
     """K13 from a state that three batches were added to: odd customers' rows
     from 1998 on, even customers' ones, then all earlier rows (which move first
-    dates) and those without a date. The table is mapped once, not
-    in each step of each batch."""
-    rows = staged(txn(spark, sf).select(*INC.columns(P)))
+    dates) and those without a date. The table is mapped once, not in
+    each step of each batch."""
+    rows = staged(txn(spark, sf, merge_parts=True).select(*INC.columns(P)))
     late, odd = F.coalesce(F.col("transaction_date") >= "1998-01-01", F.lit(False)), F.coalesce(F.col("customer_id").cast("long") % 2 == 1, F.lit(False))
     state = INC.CohortState(spark, f"{ensure_checkpoint_dir(spark).rstrip('/')}/cohorts_{uuid.uuid4().hex[:12]}", P)
     for batch in (late & odd, late & ~odd, ~late):

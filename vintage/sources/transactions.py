@@ -64,7 +64,7 @@ def write_transactions(df: DataFrame, path: str, fmt: str = "parquet",
     w.save(path)
 
 
-def transactions_from_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+def transactions_from_tables(spark: SparkSession, sf_dir: str, merge_parts: bool = False) -> DataFrame:
     """Build ``transactions`` from lineitem ⋈ orders ⋈ customer ⋈ nation ⋈ part.
 
     Join order keeps the big side shuffled as little as possible: country and
@@ -76,6 +76,10 @@ def transactions_from_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     transaction, computed on the orders that have a line as a partial aggregate
     (one row per customer), so a customer that owns a third of all rows does
     not land in one task; a plan that doesn't ask for it doesn't compute it.
+
+    Parts are broadcast if the columns read are small in their files. In memory
+    they are many times that, and the driver holds them twice (all parts, and
+    for the first months); ``merge_parts`` deals out the lines by part instead.
     """
     rd = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -96,7 +100,8 @@ def transactions_from_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(F.lit("monthly")).alias("frequency_of_payment"),
         "country",
     )
-    part = rd("part").select(
+    parts = rd("part").hint("merge") if merge_parts else rd("part")
+    part = parts.select(
         "p_partkey", "p_name", F.col("p_type").isin("MEDIUM", "STANDARD", "LARGE", "PROMO").alias("_consumer"))
     lineitem = rd("lineitem").select(
         "l_orderkey", "l_partkey",
@@ -109,7 +114,7 @@ def transactions_from_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = lineitem.join(part, lineitem.l_partkey == part.p_partkey).drop("p_partkey")
 
     # a customer's first month: the dated orders that have a line are enough
-    keyed = rd("lineitem").select("l_orderkey", "l_partkey").join(rd("part").select("p_partkey"), F.col("l_partkey") == F.col("p_partkey"))
+    keyed = rd("lineitem").select("l_orderkey", "l_partkey").join(parts.select("p_partkey"), F.col("l_partkey") == F.col("p_partkey"))
     dated = (orders_c.where("transaction_date is not null")
              .join(keyed.select("l_orderkey"), F.col("o_orderkey") == F.col("l_orderkey"), "left_semi"))
     month = F.trunc(F.min("transaction_date"), "MM").alias("_first_month")
@@ -150,8 +155,8 @@ def share_transactions(spark: SparkSession, sf_dir: str, path: str) -> DataFrame
     return shared
 
 
-def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+def transactions(spark: SparkSession, sf_dir: str, merge_parts: bool = False) -> DataFrame:
     """The transaction table of ``sf_dir``: shared, if that was asked for,
     else planned on the source tables."""
     shared = _SHARED.get((spark.sparkContext.applicationId, sf_dir))
-    return transactions_from_tables(spark, sf_dir) if shared is None else shared
+    return transactions_from_tables(spark, sf_dir, merge_parts) if shared is None else shared
